@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from peakloom.llm.decontam import op9_decontam
+from peakloom.llm.minhash import OP1_SQL, op1_minhash
 from peakloom.llm.mixing import OP2_SQL, op2_mix
 from peakloom.llm.quality import OP4_SQL, op4_quality
 from peakloom.llm.secrets import op6_secrets
 from peakloom.llm.tokens import op7_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
     "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_tokens": op7_tokens,
+    "op9_decontam": op9_decontam,
 }
-SQL: dict[str, str] = {"op2_mix": OP2_SQL, "op4_quality": OP4_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_mix": OP2_SQL, "op4_quality": OP4_SQL}
