@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.llm.decontam import op9_decontam
+from peakloom.llm.html import op8_html
 from peakloom.llm.minhash import OP1_SQL, op1_minhash
 from peakloom.llm.mixing import OP2_SQL, op2_mix
 from peakloom.llm.quality import OP4_SQL, op4_quality
 from peakloom.llm.secrets import op6_secrets
 from peakloom.llm.tokens import op7_tokens
+from peakloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op6_secrets": op6_secrets,
     "op7_tokens": op7_tokens,
+    "op8_html": op8_html,
     "op9_decontam": op9_decontam,
+    "op10_warc": op10_warc,
 }
-SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_mix": OP2_SQL, "op4_quality": OP4_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_mix": OP2_SQL, "op4_quality": OP4_SQL, "op10_warc": OP10_SQL}
