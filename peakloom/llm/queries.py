@@ -12,6 +12,7 @@ from peakloom.llm.minhash import OP1_SQL, op1_minhash
 from peakloom.llm.mixing import OP2_SQL, op2_mix
 from peakloom.llm.quality import OP4_SQL, op4_quality
 from peakloom.llm.secrets import op6_secrets
+from peakloom.llm.suffixes import op3_suffixes
 from peakloom.llm.tokens import op7_tokens
 from peakloom.llm.toxicity import op5_toxicity
 from peakloom.llm.warc import OP10_SQL, op10_warc
@@ -19,6 +20,7 @@ from peakloom.llm.warc import OP10_SQL, op10_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_mix": op2_mix,
+    "op3_suffixes": op3_suffixes,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_secrets": op6_secrets,
