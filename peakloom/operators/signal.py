@@ -8,25 +8,35 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("pattern_id")
-ORDER = OWN.orderBy("x")
-ALL = ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def own() -> WindowSpec:
+    """A whole trace."""
+    return Window.partitionBy("pattern_id")
+
+
+def by_x() -> WindowSpec:
+    return own().orderBy("x")
+
+
+def whole() -> WindowSpec:
+    """A whole trace by x."""
+    return by_x().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def around(radius: int, value: str = "y") -> list[Column]:
     """The values from `radius` rows before to `radius` rows after, the edge value beyond the ends."""
-    first, last = F.first(value).over(ALL), F.last(value).over(ALL)
-    before = [F.coalesce(F.lag(value, k).over(ORDER), first) for k in range(radius, 0, -1)]
-    return [*before, F.col(value), *(F.coalesce(F.lead(value, k).over(ORDER), last) for k in range(1, radius + 1))]
+    first, last = F.first(value).over(whole()), F.last(value).over(whole())
+    before = [F.coalesce(F.lag(value, k).over(by_x()), first) for k in range(radius, 0, -1)]
+    return [*before, F.col(value), *(F.coalesce(F.lead(value, k).over(by_x()), last) for k in range(1, radius + 1))]
 
 
 def noise_and_step(trace: DataFrame) -> DataFrame:
     """Per pattern: points, robust noise (from first differences, else from values) and median step."""
-    d = trace.withColumn("dy", F.col("y") - F.lag("y").over(ORDER)).withColumn("dx", F.col("x") - F.lag("x").over(ORDER))
-    d = d.withColumn("mid_dy", F.expr("percentile(dy, 0.5)").over(OWN)).withColumn("mid_y", F.expr("percentile(y, 0.5)").over(OWN))
+    d = trace.withColumn("dy", F.col("y") - F.lag("y").over(by_x())).withColumn("dx", F.col("x") - F.lag("x").over(by_x()))
+    d = d.withColumn("mid_dy", F.expr("percentile(dy, 0.5)").over(own())).withColumn("mid_y", F.expr("percentile(y, 0.5)").over(own()))
     half = lambda e: F.expr(f"percentile({e}, 0.5)")
     g = d.groupBy("pattern_id").agg(F.count("*").alias("n"), half("abs(dy - mid_dy)").alias("mad"), half("abs(y - mid_y)").alias("mad_y"), half("CASE WHEN dx > 0 THEN dx END").alias("step"))
     noise = F.when(F.col("mad") > 0, F.greatest(1.4826 * F.col("mad") / math.sqrt(2.0), F.lit(1.0))).otherwise(F.greatest(1.4826 * F.col("mad_y"), F.lit(1.0)))
@@ -36,7 +46,7 @@ def noise_and_step(trace: DataFrame) -> DataFrame:
 def moving_mean(window: int) -> Column:
     """Mean with a fixed divisor: beyond the ends lie zeros."""
     r = window // 2
-    return F.sum("y").over(ORDER.rowsBetween(-r, r)) / window
+    return F.sum("y").over(by_x().rowsBetween(-r, r)) / window
 
 
 def gaussian_smooth(sigma: float) -> Column:
@@ -51,14 +61,14 @@ def gaussian_smooth(sigma: float) -> Column:
 
 def savgol5() -> Column:
     """Savitzky-Golay smoothing by quadratics over five points, with the fitted quadratic at the ends."""
-    n, i = F.count("*").over(OWN), F.row_number().over(ORDER)
-    head = [F.nth_value("y", k).over(ALL) for k in range(1, 6)]
-    middle = [F.lag("y", 2).over(ORDER), F.lag("y", 1).over(ORDER), F.col("y"), F.lead("y", 1).over(ORDER), F.lead("y", 2).over(ORDER)]
-    back = [F.lag("y", k).over(ORDER) for k in range(5)]
-    ahead = F.lead("y", 1).over(ORDER)
+    n, i = F.count("*").over(own()), F.row_number().over(by_x())
+    head = [F.nth_value("y", k).over(whole()) for k in range(1, 6)]
+    middle = [F.lag("y", 2).over(by_x()), F.lag("y", 1).over(by_x()), F.col("y"), F.lead("y", 1).over(by_x()), F.lead("y", 2).over(by_x())]
+    back = [F.lag("y", k).over(by_x()) for k in range(5)]
+    ahead = F.lead("y", 1).over(by_x())
     dot = lambda w, v: sum((a * b for a, b in zip(w, v, strict=True)), F.lit(0.0)) / 35.0
     first, second = (31, 9, -3, -5, 3), (9, 13, 12, 6, -5)
-    before_end = [F.lag("y", 3).over(ORDER), F.lag("y", 2).over(ORDER), F.lag("y", 1).over(ORDER), F.col("y"), ahead]
+    before_end = [F.lag("y", 3).over(by_x()), F.lag("y", 2).over(by_x()), F.lag("y", 1).over(by_x()), F.col("y"), ahead]
     return (
         F.when(i == 1, dot(first, head))
         .when(i == 2, dot(second, head))
@@ -76,7 +86,7 @@ def percentile_filter(percent: float, size: int) -> Column:
 
 def rolling_ball(trace: DataFrame, half: int) -> DataFrame:
     """Adds baseline: minimum, then maximum, then mean over the rows within `half`."""
-    frame = ORDER.rowsBetween(-half, half)
+    frame = by_x().rowsBetween(-half, half)
     low = trace.withColumn("low", F.min("y").over(frame))
     return low.withColumn("low", F.max("low").over(frame)).withColumn("baseline", F.avg("low").over(frame)).drop("low")
 
@@ -102,7 +112,7 @@ def as_arrays(trace: DataFrame) -> DataFrame:
 
 def node_baseline(trace: DataFrame, bins: int, percent: float = 0.1) -> DataFrame:
     """Adds baseline: a low quantile in equal bins of x, a running median of seven over the nodes, linear between them."""
-    lo, hi = F.min("x").over(OWN), F.max("x").over(OWN)
+    lo, hi = F.min("x").over(own()), F.max("x").over(own())
     cut = trace.withColumn("bin", F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins), F.lit(bins - 1)))
     nodes = cut.groupBy("pattern_id", "bin").agg(F.avg("x").alias("nx"), F.expr(f"percentile(y, {percent})").alias("ny"))
     by_bin = Window.partitionBy("pattern_id").orderBy("bin")
@@ -141,8 +151,8 @@ def resample(trace: DataFrame, low: float, high: float, points: int) -> DataFram
 
 def local_maxima(trace: DataFrame) -> DataFrame:
     """(pattern_id, i, y) of local maxima; of a plateau the middle one, the left of two. i counts from 0 by x."""
-    numbered = trace.withColumn("k", F.row_number().over(ORDER) - 1).withColumn("run", F.when(F.col("y") == F.lag("y").over(ORDER), 0).otherwise(1))
-    numbered = numbered.withColumn("run", F.sum("run").over(ORDER))
+    numbered = trace.withColumn("k", F.row_number().over(by_x()) - 1).withColumn("run", F.when(F.col("y") == F.lag("y").over(by_x()), 0).otherwise(1))
+    numbered = numbered.withColumn("run", F.sum("run").over(by_x()))
     runs = numbered.groupBy("pattern_id", "run").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.first("y").alias("y"))
     w = Window.partitionBy("pattern_id").orderBy("run")
     return runs.withColumn("p", F.lag("y").over(w)).withColumn("q", F.lead("y").over(w)).where("p < y AND q < y").select("pattern_id", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("i"), "y")
@@ -191,8 +201,8 @@ def merge_close(peaks: DataFrame, gap: float = 0.035) -> DataFrame:
 
 def features(trace: DataFrame) -> DataFrame:
     """Per pattern: points, intensity span, noise, noise ratio, step, range, 10th and 50th percentile, ends, gradient and curvature."""
-    mid = trace.withColumn("g", (F.lead("y").over(ORDER) - F.lag("y").over(ORDER)) / 2)
-    mid = mid.withColumn("c", (F.lead("g").over(ORDER) - F.lag("g").over(ORDER)) / 2)
+    mid = trace.withColumn("g", (F.lead("y").over(by_x()) - F.lag("y").over(by_x())) / 2)
+    mid = mid.withColumn("c", (F.lead("g").over(by_x()) - F.lag("g").over(by_x())) / 2)
     q = lambda e, p: F.expr(f"percentile({e}, {p})")
     g = mid.groupBy("pattern_id").agg(
         F.count("*").alias("points"), F.greatest(q("y", 0.99) - q("y", 0.01), F.lit(1.0)).alias("span"), (F.max("x") - F.min("x")).alias("x_range"),

@@ -178,7 +178,7 @@ def signal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f22_normalise", f"{W} SELECT pattern_id, i, round(CAST(y AS DOUBLE) * 100 / nullif(max(CAST(y AS DOUBLE)) OVER ({OWN}), 0), 6) AS y FROM trace_week")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _week(spark, sf_dir).select("pattern_id", "i", F.round(F.col("y") * 100 / F.nullif(F.max("y").over(G.OWN), F.lit(0.0)), 6).alias("y"))
+    return _week(spark, sf_dir).select("pattern_id", "i", F.round(F.col("y") * 100 / F.nullif(F.max("y").over(G.own()), F.lit(0.0)), 6).alias("y"))
 
 
 @query("p8_crop", f"{W} SELECT pattern_id, i FROM trace_week WHERE (x BETWEEN 15 AND 20 OR x BETWEEN 40 AND 60)")
@@ -193,7 +193,7 @@ def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{W}, {T0}, l AS (SELECT *, lag(x) OVER ({P}) AS x0, lag(y) OVER ({P}) AS y0 FROM t0) SELECT pattern_id, round(sum((x - x0) * (y + y0) / 2), 5) AS area FROM l GROUP BY pattern_id""",
 )
 def trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _week(spark, sf_dir).withColumn("a", (F.col("x") - F.lag("x").over(G.ORDER)) * (F.col("y") + F.lag("y").over(G.ORDER)) / 2)
+    t = _week(spark, sf_dir).withColumn("a", (F.col("x") - F.lag("x").over(G.by_x())) * (F.col("y") + F.lag("y").over(G.by_x())) / 2)
     return t.groupBy("pattern_id").agg(F.round(F.sum("a"), 5).alias("area"))
 
 
@@ -205,7 +205,7 @@ SELECT pattern_id, round(least(greatest(100 * (1 - sum(pow(y - calc, 2)) / nulli
 )
 def profile_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit quality of a calculated curve, and its gain: what it covers against three times what it exceeds."""
-    c = _week(spark, sf_dir).withColumn("calc", F.avg("y").over(G.ORDER.rowsBetween(-3, 3)))
+    c = _week(spark, sf_dir).withColumn("calc", F.avg("y").over(G.by_x().rowsBetween(-3, 3)))
     y, k = F.col("y"), F.col("calc")
     covered, over = F.sum(F.least(y, k)), F.sum(F.greatest(k - y, F.lit(0.0)))
     fit = F.least(F.greatest(100 * (1 - F.sum((y - k) * (y - k)) / F.nullif(F.sum(y * y), F.lit(0.0))), F.lit(0.0)), F.lit(100.0))
