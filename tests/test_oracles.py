@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from peakloom.plans import library_queries, matching_queries, search_queries, signal_queries, stream_queries
+from peakloom.plans import fit_queries, library_queries, matching_queries, search_queries, signal_queries, stream_queries
 
-MODULES = (search_queries, matching_queries, signal_queries, library_queries, stream_queries)
+MODULES = (fit_queries, search_queries, matching_queries, signal_queries, library_queries, stream_queries)
 CASES = [(m, name) for m in MODULES for name in m.SQL]
 
 
