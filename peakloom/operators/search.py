@@ -52,7 +52,7 @@ def search_metrics(library: DataFrame, plan: DataFrame, policy: SearchPolicy = S
     lines = library.select("entry_id", "peak_index", "two_theta", "intensity", "norm_intensity", "top_rank")
     pairs = range_join(lines, plan, "two_theta", "position", max(policy.tolerance, 0.02))
     support = F.greatest("norm_intensity", F.lit(0.0))
-    strong = ((F.col("anchor_weight") > 0) & F.col("top_rank").between(1, policy.top_ranks)).cast("int")
+    strong = ((F.col("anchor_weight") > 0) & F.coalesce(F.col("top_rank").between(1, policy.top_ranks), F.lit(False))).cast("int")
     # a query position holds several library peaks at most: counting them by (q) first keeps distinct counts cheap
     by_q = pairs.groupBy("pattern_id", "entry_id", "q").agg(
         F.count("*").alias("n"), F.collect_set("peak_index").alias("peaks"), F.min(F.abs(F.col("two_theta") - F.col("position"))).alias("delta"),
