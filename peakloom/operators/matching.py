@@ -79,7 +79,7 @@ def alignments(peaks: DataFrame, observed: DataFrame) -> DataFrame:
     penalty = F.when(kept > 0, F.greatest(F.lit(0.15), 1 - F.least(kept / 0.45, F.lit(1.0)))).otherwise(1.0)
     probability = F.least(F.greatest(100 * fraction * penalty * F.least(F.col("matched") / 8.0, F.lit(1.0)), F.lit(0.0)), F.lit(100.0))
     zero = F.when(few | weak, 0.0).otherwise(F.least(F.greatest("zero", F.lit(-0.5)), F.lit(0.5)))
-    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), F.round(probability, 8).alias("probability"))
+    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), F.round(probability + 1e-9, 4).alias("probability"))
 
 
 def zero_shifts(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:

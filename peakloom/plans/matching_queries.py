@@ -66,7 +66,7 @@ s AS (SELECT f.pattern_id, f.entry_id, any_value(matched) AS matched, any_value(
 t AS (SELECT s.*, total, matched / total AS fr, CASE WHEN matched < 3 THEN 0.0::DOUBLE ELSE score END AS kept, matched < 3 OR score > 0.18 OR matched / total < 0.18 AS weak FROM s JOIN tot ON s.entry_id = tot.entry_id)
 SELECT pattern_id, entry_id, matched, total, round(CASE WHEN weak THEN 0.0::DOUBLE ELSE least(greatest(zero, -0.5::DOUBLE), 0.5::DOUBLE) END, 6) AS zero_shift, kept AS score,
   CASE WHEN weak THEN 'weak' WHEN score <= 0.08 AND fr >= 0.3 THEN 'good shift-only' ELSE 'ok shift-only' END AS status,
-  round(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE), 8) AS probability FROM t""",
+  round(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE) + 1e-9::DOUBLE, 4) AS probability FROM t""",
 )
 def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.alignments(*_tables(spark, sf_dir))
