@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import bounded_broadcast, materialize, table
 
 THRESHOLD = 0.7
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 2400, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 600, 1800, 8_000
 #: Lengths of the prefixes that are terms.
 PREFIXES = (4, 5, 6, 7)
 #: Terms with weights of their own, the most frequent of the sample.
@@ -218,8 +218,8 @@ def lexicon(rows: DataFrame) -> list[str]:
     if not n1:
         return []
     toxic = materialize(_term_sets(rows.where("toxic = 1")))
-    least = max(LEAST_DOCS, n1 // 500)
-    # a document has a bounded number of terms, so at most some 500 times as many terms are in a 500th of the documents
+    least = max(LEAST_DOCS, n1 // 50)
+    # a document has a bounded number of terms, so at most some 50 times as many terms are in a 50th of the documents
     often = materialize(toxic.groupBy("term").agg(F.count("*").alias("n1")).where(F.col("n1") >= least))
     clean = _term_sets(rows.where("toxic = 0"), often.select("term")).groupBy("term").agg(F.count("*").alias("n0"))
     odds = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.coalesce("n0", F.lit(0)) + 0.5) / (n0 + 1))
@@ -227,7 +227,7 @@ def lexicon(rows: DataFrame) -> list[str]:
     open_ = materialize(toxic.join(bounded_broadcast(marked), "term"))
     chosen: list[str] = []
     for _ in range(ROUNDS):
-        support = open_.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST_DOCS, n1 // 50))
+        support = open_.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         best = [(r.term, r.n) for r in support.orderBy(F.desc("n"), "term").limit(1000).collect()]
         new = [w for w, n in best if n >= NEAR_BEST * best[0][1]]
         if not new:
