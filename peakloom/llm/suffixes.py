@@ -38,7 +38,7 @@ LENGTH, GRAM = 100, 32
 #: Runs of a name beyond which it is dealt over several tasks, each with about so many.
 HOT_RUNS = 2000
 #: Windows of a run, runs that are compared before the shuffle, bytes of contexts and shards that a task merges at once.
-RUN, FLUSH, CHUNK_BYTES, SHARDS = 1024, 1_000_000, 8 << 20, 4
+RUN, FLUSH, CHUNK_BYTES, SHARDS = 1024, 1_000_000, 3 << 20, 4
 LAST_ID = (1 << 63) - 1
 
 _SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64))
