@@ -59,6 +59,11 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def narrowed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in no more tasks than a known bound of its rows needs; without a shuffle."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -54,7 +54,6 @@ def test_against_all_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(df) == brute(rows)
     monkeypatch.setattr(M, "BLOCK", 7)  # open classes go in many blocks
-    monkeypatch.setattr(M, "CENTRE_ROUNDS", 0)
     assert run(df.repartition(5)) == brute(rows)
 
 
