@@ -1,6 +1,7 @@
 """Views over the driver's tables that stand for phases, library peaks, observed peaks, traces and logs.
 
-The text of a view is common to Spark SQL and DuckDB, but for trace_vec, which has one of each.
+The text of a view is common to Spark SQL and DuckDB, but for trace_vec, which has one of each, and obs_peak: the
+queries read all observed peaks of all patterns, the text in the SQL has every 25th pattern and its 80 strongest peaks.
 """
 
 from __future__ import annotations
@@ -67,6 +68,14 @@ FROM part""",
 SELECT p_partkey AS n, p_name || ' oxide / ' || p_name || '  Ca' || CAST(1 + p_size % 4 AS STRING) || 'O3  ' || CAST(1 + p_size % 60 AS STRING) || '- ' || CAST(1 + p_partkey AS STRING) || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'I' END AS record
 FROM part""",
 }
+SPARK_OBS_PEAK = """
+SELECT o_custkey AS pattern_id,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS INT) AS peak_id,
+       5.0E0 + CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 11500 + o_custkey % 7 - 3 AS DOUBLE) / 100 AS two_theta,
+       CAST(l_quantity AS DOUBLE) * 10 AS height,
+       CAST(l_quantity AS DOUBLE) * (2 + l_linenumber % 3) AS area,
+       0.08E0 + CAST(l_linenumber % 5 AS DOUBLE) * 0.04E0 AS fwhm
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 SPARK_TRACE_VEC = """
 SELECT vec_id, pos AS i, 10.0E0 + pos / 2 AS x, 1000.0E0 * (1.0E0 + CAST(e AS DOUBLE)) AS y
 FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, e"""
@@ -74,10 +83,12 @@ DUCKDB_TRACE_VEC = """
 SELECT vec_id, i - 1 AS i, 10.0 + CAST(i - 1 AS DOUBLE) / 2 AS x, 1000.0::DOUBLE * (1.0::DOUBLE + CAST(embedding[i] AS DOUBLE)) AS y
 FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
 
+SPARK_ONLY = {"obs_peak": SPARK_OBS_PEAK, "trace_vec": SPARK_TRACE_VEC}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named view over the Parquet tables of sf_dir."""
-    text = SPARK_TRACE_VEC if name == "trace_vec" else VIEWS[name]
+    text = SPARK_ONLY.get(name) or VIEWS[name]
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", rf"\1 parquet.`{sf_dir}/\2.parquet` AS \2", text))
 
 
