@@ -10,6 +10,7 @@ from peakloom.operators import fitting as Q
 from peakloom.operators import signal as G
 from peakloom.operators.matching import strong_lines
 from peakloom.plans.fixtures import view, with_views
+from peakloom.plans.matching_queries import selected
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,17 +26,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _selected(spark: SparkSession, sf_dir: str, by: int = 40) -> DataFrame:
-    patterns = view(spark, sf_dir, "obs_peak").select("pattern_id").distinct()
-    phases = view(spark, sf_dir, "ref_phase").select("entry_id", (F.col("entry_id").cast("int") % by).alias("k"))
-    return patterns.withColumn("k", F.col("pattern_id") % by).join(phases, "k").select("pattern_id", "entry_id")
-
-
 @query("j6_one_to_one")
 def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 42 strongest lines of selected phases against the observed peaks, each peak once."""
     key = F.concat_ws("/", "pattern_id", "entry_id")
-    chosen = _selected(spark, sf_dir)
+    chosen = selected(spark, sf_dir)
     lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42, None).join(chosen, "entry_id").select(key.alias("key"), F.col("line_rank").alias("rank"), "two_theta")
     records = view(spark, sf_dir, "obs_peak").join(chosen, "pattern_id").select(key.alias("key"), F.col("peak_id").alias("record"), "two_theta", "fwhm")
     return Q.greedy_matches(lines, records)
@@ -59,7 +54,7 @@ def cell_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joint_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scales of the selected phases' profiles against the profile of each pattern's observed peaks."""
     lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42).select("entry_id", "two_theta", "intensity")
-    profiles = G.rasterise(lines, 5.0, 0.1, 850, 0.4).join(_selected(spark, sf_dir, 200), "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
+    profiles = G.rasterise(lines, 5.0, 0.1, 850, 0.4).join(selected(spark, sf_dir), "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
     seen = view(spark, sf_dir, "obs_peak").select(F.col("pattern_id").cast("string").alias("entry_id"), "two_theta", F.col("height").alias("intensity"))
     target = G.rasterise(seen, 5.0, 0.1, 850, 0.4).select(F.col("entry_id").cast("long").alias("pattern_id"), "g", "y", F.lit(1.0).alias("w"))
     return Q.joint_scales(profiles, target).withColumn("scale", F.round("scale", 6))
@@ -69,7 +64,7 @@ def joint_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scale_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heaviest clusters of the ratios of observed to library scattering vectors, by pattern and selected phase."""
     q = lambda c: F.sin(F.radians(F.col(c) / 2))
-    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 1, 24).join(_selected(spark, sf_dir), "entry_id").select("pattern_id", "entry_id", "two_theta", "intensity")
+    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 1, 24).join(selected(spark, sf_dir), "entry_id").select("pattern_id", "entry_id", "two_theta", "intensity")
     seen = view(spark, sf_dir, "obs_peak").select("pattern_id", F.col("two_theta").alias("observed"), "height")
     pairs = lines.join(seen, "pattern_id").where(F.abs(F.col("observed") - F.col("two_theta")) <= 0.55)
     votes = pairs.select(F.concat_ws("/", "pattern_id", "entry_id").alias("key"), (q("observed") / q("two_theta")).alias("scale"), (F.col("intensity") * F.col("height") / 1000).alias("weight"))

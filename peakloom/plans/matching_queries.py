@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import matching as M
+from peakloom.operators.search import search_by_peaks
 from peakloom.plans.fixtures import view, with_views
 
 QUERIES: dict = {}
@@ -102,17 +103,15 @@ asg AS (SELECT * FROM (SELECT o.pattern_id, o.peak_id, r.entry_id, r.peak_index,
   FROM (SELECT *, greatest(0.3::DOUBLE, least(0.75::DOUBLE, greatest(0.12::DOUBLE, 1.35::DOUBLE * fwhm))) AS reach FROM obs_peak) o JOIN sel s ON o.pattern_id = s.pattern_id JOIN ref_peak r ON r.entry_id = s.entry_id AND r.intensity >= 5 AND r.two_theta BETWEEN o.two_theta - reach AND o.two_theta + reach) WHERE n = 1)"""
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A few phases for every pattern, as a user would select them."""
-    patterns = view(spark, sf_dir, "obs_peak").select("pattern_id").distinct()
-    phases = view(spark, sf_dir, "ref_phase").select("entry_id", (F.col("entry_id").cast("int") % 40).alias("k"))
-    return patterns.withColumn("k", F.col("pattern_id") % 40).join(phases, "k").select("pattern_id", "entry_id")
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases that the peak search ranks for every pattern; the SQL's sel pairs equal remainders instead."""
+    return search_by_peaks(view(spark, sf_dir, "obs_peak"), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase")).select("pattern_id", "entry_id")
 
 
 @query("j5_assignments", with_views("ref_phase", "ref_peak", "obs_peak") + f", {_ASSIGNED} SELECT pattern_id, peak_id, entry_id, peak_index, two_theta, observed FROM asg")
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, observed = _tables(spark, sf_dir)
-    return M.assignments(observed, peaks, _selected(spark, sf_dir))
+    return M.assignments(observed, peaks, selected(spark, sf_dir))
 
 
 @query(
@@ -122,7 +121,7 @@ SELECT o.pattern_id, o.peak_id, coalesce(n, 0) AS n_phases, CASE WHEN n IS NULL
 )
 def peak_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, observed = _tables(spark, sf_dir)
-    return M.peak_status(observed, M.assignments(observed, peaks, _selected(spark, sf_dir)))
+    return M.peak_status(observed, M.assignments(observed, peaks, selected(spark, sf_dir)))
 
 
 @query(
@@ -132,7 +131,7 @@ SELECT pattern_id, peak_id FROM obs_peak o WHERE NOT EXISTS (SELECT 1 FROM cl WH
 )
 def unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     peaks, observed = _tables(spark, sf_dir)
-    claimed = peaks.where("intensity >= 40").join(_selected(spark, sf_dir), "entry_id").select("pattern_id", F.col("two_theta").alias("claimed"), (0.05 + 0.01 * (F.col("peak_index") % 5)).alias("claimed_fwhm"))
+    claimed = peaks.where("intensity >= 40").join(selected(spark, sf_dir), "entry_id").select("pattern_id", F.col("two_theta").alias("claimed"), (0.05 + 0.01 * (F.col("peak_index") % 5)).alias("claimed_fwhm"))
     return M.unclaimed(observed, claimed).select("pattern_id", "peak_id")
 
 

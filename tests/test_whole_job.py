@@ -49,3 +49,25 @@ def test_every_observed_peak_of_every_pattern(spark, duck, sf):
 @pytest.mark.parametrize(("module", "name"), PATTERNS, ids=[n for _, n in PATTERNS])
 def test_query_over_all_patterns(spark, duck, sf, module, name):
     assert same_rows(module.QUERIES[name](spark, sf), duck, over_all_patterns(module.SQL[name]))
+
+
+@pytest.fixture(scope="module")
+def chosen(duck):
+    duck.execute(f"CREATE TABLE chosen AS SELECT pattern_id, entry_id FROM ({over_all_patterns(search_queries.SQL['q2_search_by_peaks'])})")
+    return set(duck.execute("SELECT pattern_id, entry_id FROM chosen").fetchall())
+
+
+@pytest.mark.parametrize("name", ["j5_assignments", "a29_peak_status", "j7_unclaimed_peaks"])
+def test_selected_phases_come_from_the_search(spark, duck, sf, chosen, name):
+    sql = matching_queries.SQL[name]
+    assert matching_queries._SELECTED in sql
+    sql = sql.replace(matching_queries._SELECTED, "sel AS (SELECT pattern_id, entry_id FROM chosen)")
+    assert same_rows(matching_queries.QUERIES[name](spark, sf), duck, over_all_patterns(sql))
+
+
+def test_fits_take_the_phases_of_the_search(spark, sf, chosen):
+    scales = fit_queries.QUERIES["a15_joint_scales"](spark, sf).select("pattern_id", "phase").collect()
+    assert {tuple(r) for r in scales} == chosen
+    for name in ("j6_one_to_one", "a4_scale_votes"):
+        pairs = {(int(k.split("/")[0]), k.split("/")[1]) for (k,) in fit_queries.QUERIES[name](spark, sf).select("key").distinct().collect()}
+        assert pairs <= chosen and {p for p, _ in pairs} == {p for p, _ in chosen}
