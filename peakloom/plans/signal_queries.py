@@ -222,5 +222,5 @@ _PV = "(0.5 / (1 + 4 * pow((5.0::DOUBLE + g * 0.05::DOUBLE - two_theta) / 0.2, 2
 y AS (SELECT entry_id, g, sum(intensity * {_PV}) AS y FROM h GROUP BY entry_id, g) SELECT entry_id, g, round(y * 100 / max(y) OVER (PARTITION BY entry_id), 4) AS y FROM y""",
 )
 def rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = view(spark, sf_dir, "ref_peak").where("peak_index < 10 AND two_theta <= 91").select("entry_id", "two_theta", "intensity")
+    lines = view(spark, sf_dir, "ref_peak").select("entry_id", "two_theta", "intensity")
     return G.rasterise(lines, 5.0, 0.05, 1700, 0.2).withColumn("y", F.round("y", 4))

@@ -1,11 +1,13 @@
 """Queries give all rows of the job where their registered SQL gives a part only."""
 
+import math
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
 
-from peakloom.plans import fit_queries, matching_queries, search_queries
+from peakloom.plans import fit_queries, matching_queries, search_queries, signal_queries
 from peakloom.plans.fixtures import view
 
 PATTERNS = [
@@ -71,3 +73,22 @@ def test_fits_take_the_phases_of_the_search(spark, sf, chosen):
     for name in ("j6_one_to_one", "a4_scale_votes"):
         pairs = {(int(k.split("/")[0]), k.split("/")[1]) for (k,) in fit_queries.QUERIES[name](spark, sf).select("key").distinct().collect()}
         assert pairs <= chosen and {p for p, _ in pairs} == {p for p, _ in chosen}
+
+
+def test_profiles_hold_every_line(spark, sf):
+    want = defaultdict(lambda: defaultdict(float))
+    for entry, position, height in view(spark, sf, "ref_peak").select("entry_id", "two_theta", "intensity").collect():
+        for g in range(max(math.ceil(round((position - 6.0) / 0.05, 9)), 0), min(math.floor(round((position - 4.0) / 0.05, 9)), 1699) + 1):
+            z = (5.0 + g * 0.05 - position) / 0.2
+            want[entry][g] += height * (0.5 / (1 + 4 * z * z) + 0.5 * math.exp(-4 * math.log(2) * z * z))
+    got = defaultdict(dict)
+    for entry, g, y in signal_queries.QUERIES["j10_rasterise"](spark, sf).select("entry_id", "g", "y").collect():
+        got[entry][g] = y
+    assert got.keys() == want.keys()
+    for entry, profile in want.items():
+        top = max(profile.values())
+        # a grid point at exactly 5 FWHM may fall to either side by the last bit; its share is 0.5 % of its line
+        both = got[entry].keys() & profile.keys()
+        assert len(both) >= 0.97 * max(len(profile), len(got[entry]))
+        off = [g for g in both if abs(got[entry][g] - 100 * profile[g] / top) > 2e-4]
+        assert len(off) <= 0.05 * len(both) and all(abs(got[entry][g] - 100 * profile[g] / top) < 1 for g in off)
