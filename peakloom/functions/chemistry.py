@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 ELEMENT = "[A-Z][a-z]?"
 TOKEN = "([A-Z][a-z]?)([0-9.]+)?"
+#: The main table by rows, then lanthanides, then actinides (fixed values).
+ELEMENT_ORDER = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe "
+    "Cs Ba La Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og "
+    "Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr"
+).split()
 
 
 def _text(c: Column) -> Column:
@@ -18,6 +24,12 @@ def formula_elements(formula: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(_text(formula), F.lit(ELEMENT), F.lit(0))))
 
 
+def element_order(element: Column) -> Column:
+    """Position of a symbol in ELEMENT_ORDER from 1; unknown ones come after all others."""
+    at = F.array_position(F.array(*(F.lit(x) for x in ELEMENT_ORDER)), element).cast("int")
+    return F.when(at > 0, at).otherwise(len(ELEMENT_ORDER) + 1)
+
+
 def formula_tokens(formula: Column) -> Column:
     """Array of struct(element, amount), amount as written or empty."""
     pairs = F.arrays_zip(F.regexp_extract_all(_text(formula), F.lit(TOKEN), F.lit(1)).alias("element"), F.regexp_extract_all(_text(formula), F.lit(TOKEN), F.lit(2)).alias("amount"))

@@ -296,6 +296,5 @@ def top_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k6_element_order", with_views("ref_phase") + f", e AS (SELECT DISTINCT unnest({ELEMENTS}) AS element FROM ref_phase) SELECT element, list_position(['H','He','Li','Be','B','C','N','O','F','Ne','Na','Mg','Al','Si','P','S','Cl','Ar','K','Ca','Sc','Ti','V','Cr','Mn','Fe','Co','Ni','Cu','Zn'], element) AS z FROM e WHERE element <> 'Ba'")
 def element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = "H,He,Li,Be,B,C,N,O,F,Ne,Na,Mg,Al,Si,P,S,Cl,Ar,K,Ca,Sc,Ti,V,Cr,Mn,Fe,Co,Ni,Cu,Zn".split(",")  # fixed values: the periodic table's first rows
-    e = view(spark, sf_dir, "ref_phase").select(F.explode(C.formula_elements(F.col("formula"))).alias("element")).distinct().where("element <> 'Ba'")
-    return e.select("element", F.array_position(F.array(*(F.lit(x) for x in order)), F.col("element")).cast("int").alias("z")).orderBy("z")
+    e = view(spark, sf_dir, "ref_phase").select(F.explode(C.formula_elements(F.col("formula"))).alias("element")).distinct()
+    return e.select("element", C.element_order(F.col("element")).alias("z")).orderBy("z", "element")

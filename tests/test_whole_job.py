@@ -6,7 +6,9 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from peakloom.functions import chemistry as C
 from peakloom.plans import fit_queries, matching_queries, search_queries, signal_queries
 from peakloom.plans.fixtures import view
 
@@ -92,3 +94,14 @@ def test_profiles_hold_every_line(spark, sf):
         assert len(both) >= 0.97 * max(len(profile), len(got[entry]))
         off = [g for g in both if abs(got[entry][g] - 100 * profile[g] / top) > 2e-4]
         assert len(off) <= 0.05 * len(both) and all(abs(got[entry][g] - 100 * profile[g] / top) < 1 for g in off)
+
+
+def test_element_order_has_the_whole_table(spark, sf):
+    symbols = ["H", "Zn", "Ga", "Ba", "La", "Hf", "Og", "Ce", "Lu", "Th", "Lr", "Xx"]
+    df = spark.createDataFrame([(x,) for x in symbols], "e string").select("e", C.element_order(F.col("e")).alias("z"))
+    assert [r.e for r in df.orderBy("z").collect()] == symbols
+    assert df.where("e = 'Lr'").first().z == 118 and df.where("e = 'Xx'").first().z == 119
+    rows = search_queries.QUERIES["k6_element_order"](spark, sf).collect()
+    seen = {r[0] for r in view(spark, sf, "ref_phase").select(F.explode(C.formula_elements(F.col("formula")))).distinct().collect()}
+    assert {r.element for r in rows} == seen and dict(map(tuple, rows))["Ba"] == 56
+    assert [r.z for r in rows] == sorted(r.z for r in rows)
