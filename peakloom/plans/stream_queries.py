@@ -1,4 +1,4 @@
-"""Registered queries of the stream operators, run over the tables as batches; tests run them as streams, too."""
+"""Registered queries of the stream operators, run over the tables as batches; tests run the operators as streams, too."""
 
 from __future__ import annotations
 
