@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by merging shard suffix orders.
+"""Removal of repeated byte strings: windows are grouped by their least gram hash and sorted by keys of eight symbols.
 
 A byte goes if it lies in a LENGTH-byte string that also starts earlier: in a document of a smaller id, or
 earlier in the same one. Strings are judged on the input, overlaps count, matches end with a document.
@@ -6,16 +6,17 @@ earlier in the same one. Strings are judged on the input, overlaps count, matche
 1. Every LENGTH-byte window names the least hash of the GRAM-byte strings in it. Equal windows name the same
    one, so a window whose hash no other run of windows names can't be repeated. What remains are runs of
    windows of one name, as byte contexts; all windows of a name come to one task, in shards by document.
-2. Each shard sorts its windows (the suffixes cut at LENGTH). Shards are merged by interleave refinement: the
-   shards' orders are interleaved by the first eight symbols, then only blocks that hold several windows are
-   refined by the next eight, until the blocks share LENGTH symbols. No suffix is sorted anew: in a block each
-   shard's windows are in order already. The last blocks are the repeated intervals; all but the earliest
-   window of one are removed.
+2. Each shard, a range of the documents in a task's chunk, sorts its windows (the suffixes cut at LENGTH) by their
+   first eight symbols, then refines only blocks that hold several windows by the next eight, until the blocks share
+   LENGTH symbols. The shards' orders, less windows equal to an earlier one of their shard, are then sorted together
+   in the same way. The last blocks are the repeated intervals; all but the earliest window of one are removed.
 3. A name that very many runs share is dealt over several tasks; windows that are the first of their task
    are then compared once more by 128-bit fingerprints, in an aggregation.
 
-Refinement reads the symbols from the contexts, eight a round, instead of stepping through the transforms'
-symbol counts one a round; it yields the same interleave in an eighth of the rounds.
+This is not the merge of shard Burrows-Wheeler transforms: there is no transform and no array of common prefixes, and
+blocks are sorted by keys of eight symbols (argsort, lexsort) instead of interleaved by symbol counts. Only blocks of
+LENGTH equal symbols are asked for, so no longer prefix is needed, and the grouping by name (1.) puts equal windows
+into one task, which shards of all suffixes would have to be merged over all tasks for.
 
 Defined cases: a null text is empty; a null doc_id comes after all others; rows of one doc_id are one
 document, so equal starts in them are not earlier than each other; equal rows give equal rows; extra columns
