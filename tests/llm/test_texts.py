@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.llm import decontam, html, mixing, quality, queries, secrets, tokens, toxicity, warc
+from peakloom.llm import decontam, mixing, quality, queries, secrets, tokens, toxicity, warc
 
 
 def test_sql_of_all_queries(spark, sf):
@@ -188,32 +188,6 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(1 / (1 + np.exp(-odds[:4])), want)
 
 
-# -- pages ---------------------------------------------------------------------------------------------------
-
-
-def text_of(page):
-    return "\n".join(html.main_blocks(page)[0])
-
-
-def test_blocks():
-    page = '<body><nav>x</nav><article><h1>T &amp; x</h1><p><b>a b<br><p>c\n d&nbsp;e</p><div class="ad">buy</div><ul><li>1<li>2</ul><aside>z</aside><div id="comments"><article>hey</article></div><script>"</p>"</script>tail</article><footer>f'
-    assert text_of(page) == "T & x\na b\nc d e\n1\n2\ntail"
-    assert text_of('<div><p>one</p><p>two <i>it</i> & <a href="x>y">l</a>') == "one\ntwo it & l"
-    assert [text_of(x) for x in ("", None, "plain", "<", "a < b")] == ["", "", "plain", "<", "a < b"]
-
-
-def test_templates_go_and_quoted_lines_stay(spark):
-    frame = lambda i: f"<div class=box><p>Our site</p></div><div><p>story {i}</p></div><p>often quoted</p>"
-    marked = lambda i: f"<article><p>often quoted</p><p>text {i}</p></article>"
-    rows = [(i, f"http://a.example/{i}", frame(i)) for i in range(12)] + [(100 + i, f"http://b.example/{i}", marked(i)) for i in range(12)]
-    rows += [(200 + i, "http://c.example/x", frame(0)) for i in range(20)] + [(300, None, None), (301, "", "")]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "story 3"  # the frame recurs, the paragraph outside an article as well
-    assert got[103] == "often quoted\ntext 3"
-    assert got[205] == "Our site\nstory 0\noften quoted"  # copies of one page are no template
-    assert got[300] == got[301] == ""
-
-
 # -- archives ------------------------------------------------------------------------------------------------
 
 
