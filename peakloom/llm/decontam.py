@@ -5,16 +5,18 @@ exactly. All pieces of a block of items go into one automaton, texts are searche
 each hit is verified with Myers' bit-parallel edit distance on the span it implies. Letters are compared in
 lower case, and every run of white space as one space, in items and texts alike.
 
-Items come in blocks of a bounded number of characters, one pass a block, so neither the driver nor a task
-holds more than a block of the benchmark. Defined cases: null and empty texts match nothing; null, empty and
-very short items (below MIN_ITEM characters) are not searched for; equal items match each under its own id;
-rows are searched one by one, also with repeated or null doc_ids; empty tables give no rows.
+Items come in blocks of a bounded number of characters, one pass over the texts a block, so neither the driver nor a
+task holds more than a block of the benchmark; a task builds a block's automaton once. Items below SHORT characters
+have no budget for edits and must occur exactly, between characters that are no letters or digits.
+
+Defined cases: null and empty texts match nothing; null and empty items, and items of white space, match nothing;
+equal items match each under its own id; texts of any length are searched whole; rows are searched one by one, also
+with repeated or null doc_ids; extra columns are ignored, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +26,10 @@ from peakloom.llm.common import table
 
 #: One edit is allowed for each so many characters; pieces are about as long.
 CHARS_PER_EDIT = 24
-MIN_ITEM = 24
-#: Characters of items in one pass.
-BLOCK_CHARS = 20_000_000
+#: Items of fewer characters are whole words.
+SHORT = 24
+#: Characters of items in one pass; an automaton takes some 100 bytes a character in every Python worker.
+BLOCK_CHARS = 2_000_000
 
 
 def normalize(text: str | None) -> str:
@@ -80,42 +83,58 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best
 
 
-@lru_cache(maxsize=2)
-def _automaton(items: tuple[str, ...]):
-    import ahocorasick
-
-    where: dict[str, list[tuple[int, int]]] = {}
-    for k, item in enumerate(items):
-        for offset, piece in pieces(item):
-            where.setdefault(piece, []).append((k, offset))
-    a = ahocorasick.Automaton()
-    for piece, places in where.items():
-        a.add_word(piece, (len(piece), places))
-    a.make_automaton()
-    return a
-
-
-def occurrences(text: str, items: tuple[str, ...]) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, distance) of the best occurrence of every item found in a normalised text."""
-    starts: dict[int, set[int]] = {}
-    for last, (length, places) in _automaton(items).iter(text):
-        for k, offset in places:
-            starts.setdefault(k, set()).add(last + 1 - length - offset)
-    found = []
-    for k, guesses in starts.items():
-        item = items[k]
-        most, best = budget(len(item)), None
-        for lo, hi in _spans(sorted(guesses), len(item), most):
-            exact = text.find(item, lo, hi)
-            got = (0, exact - lo + len(item)) if exact >= 0 else myers(item, text[lo:hi], most)
-            if got and (best is None or got[0] < best[2]):
-                end = lo + got[1]
-                # the start is where the reversed item ends in the reversed span
-                back = myers(item[::-1], text[max(0, end - len(item) - most) : end][::-1], got[0])
-                best = (end - back[1], end, got[0])
-        if best:
-            found.append((k, *best))
-    return sorted(found)
+class Matcher:
+    """The automaton of a block of normalised items."""
+
+    def __init__(self, items: list[str]):
+        import ahocorasick
+
+        where: dict[str, list[tuple[int, int]]] = {}
+        for k, item in enumerate(items):
+            for offset, piece in pieces(item):
+                where.setdefault(piece, []).append((k, offset))
+        self.items, self.automaton = items, ahocorasick.Automaton()
+        for piece, places in where.items():
+            self.automaton.add_word(piece, (len(piece), places))
+        self.automaton.make_automaton()
+
+    def occurrences(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, distance) of the best occurrence of every item found in a normalised text."""
+        starts: dict[int, set[int]] = {}
+        if not self.items:
+            return []
+        for last, (length, places) in self.automaton.iter(text):
+            for k, offset in places:
+                starts.setdefault(k, set()).add(last + 1 - length - offset)
+        found = []
+        for k, guesses in starts.items():
+            best = _whole_words(self.items[k], text, guesses) if len(self.items[k]) < SHORT else _verified(self.items[k], text, guesses)
+            if best:
+                found.append((k, *best))
+        return sorted(found)
+
+
+def _whole_words(item: str, text: str, starts: set[int]) -> tuple[int, int, int] | None:
+    """The first of the exact occurrences that no letter or digit adjoins."""
+    for at in sorted(starts):
+        end = at + len(item)
+        if not (at and text[at - 1].isalnum() and item[0].isalnum() or text[end : end + 1].isalnum() and item[-1].isalnum()):
+            return at, end, 0
+    return None
+
+
+def _verified(item: str, text: str, guesses: set[int]) -> tuple[int, int, int] | None:
+    """(start, end, distance) of the best occurrence within the item's budget near the guessed starts."""
+    most, best = budget(len(item)), None
+    for lo, hi in _spans(sorted(guesses), len(item), most):
+        exact = text.find(item, lo, hi)
+        got = (0, exact - lo + len(item)) if exact >= 0 else myers(item, text[lo:hi], most)
+        if got and (best is None or got[0] < best[2]):
+            end = lo + got[1]
+            # the start is where the reversed item ends in the reversed span
+            back = myers(item[::-1], text[max(0, end - len(item) - most) : end][::-1], got[0])
+            best = (end - back[1], end, got[0])
+    return best
 
 
 def _spans(guesses: list[int], length: int, most: int) -> Iterator[tuple[int, int]]:
@@ -132,15 +151,18 @@ def _spans(guesses: list[int], length: int, most: int) -> Iterator[tuple[int, in
         yield max(lo, 0), hi
 
 
-def _search(docs: DataFrame, ids: list, items: tuple[str, ...], id_type: str) -> DataFrame:
+def _search(docs: DataFrame, items: list[tuple], id_type: str) -> DataFrame:
     key = docs.select("doc_id").schema[0].dataType.simpleString()
     arrow_id = pa.int64() if id_type == "bigint" else pa.string()
+    block = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matcher = [i for i, _ in block.value], None
         for b in batches:
+            matcher = matcher or Matcher([t for _, t in block.value])
             at, cols = [], ([], [], [], [])
             for i, t in enumerate(b.column("text")):
-                for k, start, end, distance in occurrences(normalize(t.as_py()), items):
+                for k, start, end, distance in matcher.occurrences(normalize(t.as_py())):
                     at.append(i)
                     for c, x in zip(cols, (ids[k], start, end, distance), strict=True):
                         c.append(x)
@@ -157,14 +179,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLO
     """
     kind = benchmark.select("item_id").schema[0].dataType.simpleString()
     kind, cast = ("bigint", "long") if kind in ("int", "bigint", "smallint", "tinyint") else ("string", "string")
-    items = benchmark.select(F.col("item_id").cast(cast).alias("item_id"), "text").where(f"length(text) >= {MIN_ITEM}")
+    items = benchmark.select(F.col("item_id").cast(cast).alias("item_id"), "text").where("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     found = None
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # at most about block_chars
-        rows = sorted(((r.item_id, t) for r in rows if len(t := normalize(r.text)) >= MIN_ITEM), key=lambda x: (x[1], str(x[0])))
-        part = _search(docs, [r for r, _ in rows], tuple(t for _, t in rows), kind)
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()  # about block_chars
+        part = _search(docs, sorted(((r.item_id, t) for r in rows if (t := normalize(r.text))), key=lambda x: (x[1], str(x[0]))), kind)
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -11,7 +11,7 @@ are compared exactly, family by family, in blocks of bounded size: a task
 holds two blocks, counts common shingles by matrix products, and returns one link for two components. Blocks
 that lie in one component are not compared.
 
-Defined cases: a null or empty text, or one of white space, has n_shingles 0 and links with nothing; rows
+Defined cases: a very long text is hashed whole, in slices; a null or empty text, or one of white space, has n_shingles 0 and links with nothing; rows
 with a null doc_id link with nothing and have a null component; rows of one doc_id are one node; equal rows
 give equal rows; other columns are ignored; an empty table gives no rows.
 """

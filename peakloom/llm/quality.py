@@ -4,8 +4,9 @@ measure() evaluates every rule once per document and stores the measurements wit
 Policies are versioned masks over those bits, so another policy, or the effect of leaving a rule out, needs
 no second pass over the texts: verdicts and ablations are bitwise work on the ledger.
 
-Defined cases: a null or empty text has no words and fails RULES[0]; repeated rows and repeated or null
-doc_ids are measured row by row; other columns are ignored; an empty table gives an empty ledger.
+Defined cases: a null or empty text has no words and fails RULES[0]; a very long text is measured whole, in memory in
+proportion to its words; repeated rows and repeated or null doc_ids are measured row by row; other columns are ignored
+by the ledger and kept by keep_documents(), whatever their names; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ from peakloom.llm.common import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
+#: Runs of capitals and of letters.
+KINDS = (regex.compile(r"\p{Lu}+"), regex.compile(r"\p{L}+"))
+ASCII_KINDS = (re.compile(r"[A-Z]+"), re.compile(r"[A-Za-z]+"))
 
 #: Rule name and condition over the ledger's measurements, by bit number.
 RULES: list[tuple[str, str]] = [
@@ -68,26 +73,33 @@ def measures(text: str | None) -> tuple[int, ...]:
             lines += 1
             dup += line in earlier
             earlier.add(line)
-    upper = sum(map(len, re.findall(r"[A-Z]+", text))) if text.isascii() else sum(map(str.isupper, text))
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
+    kinds = ASCII_KINDS if text.isascii() else KINDS
+    upper, letters = (sum(map(len, k.findall(text))) for k in kinds)
     return (
         len(words), sum(map(len, words)), len(SYMBOL.findall(text)), dup, repeated_words(words),
         lines, upper, letters, text.count("!"),
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """One row a document: doc (a struct of the columns in keep), the measurements, failures (bit i set where RULES[i] holds)."""
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    for b in batches:
-        cols = zip(*(measures(t.as_py()) for t in b.column("text")), strict=True) if b.num_rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *names])
+    inside = "text" in keep
+    rows = docs.select(F.struct(*keep).alias("doc"), *([] if inside else ["text"]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("doc").field(keep.index("text")) if inside else b.column("text")
+            cols = zip(*(measures(t.as_py()) for t in texts), strict=True) if b.num_rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c, pa.int64()) for c in cols)], ["doc", *names])
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, the measurements, failures (bit i set where RULES[i] holds)."""
-    rows = docs.select("doc_id", "text").mapInArrow(_measure, f"{docs.select('doc_id').schema[0].simpleString().replace(':', ' ')}, {MEASURES}")
     bits = [f"(CASE WHEN {cond} THEN {1 << i}L ELSE 0L END)" for i, (_, cond) in enumerate(RULES)]
-    return rows.withColumn("failures", F.expr(" | ".join(bits)))
+    return rows.mapInArrow(run, f"doc {rows.schema['doc'].dataType.simpleString()}, {MEASURES}").withColumn("failures", F.expr(" | ".join(bits)))
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, the measurements, failures."""
+    return measured(docs, ["doc_id"]).select("doc.doc_id", *(x.split()[0] for x in MEASURES.split(", ")), "failures")
 
 
 def verdict(failures: F.Column, policy: str = "v1") -> F.Column:
@@ -115,21 +127,17 @@ def ablations(book: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def keep_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The documents that the policy keeps, with all their columns; measured and filtered in one pass."""
-    names = docs.columns
-    n = len(MEASURES.split(","))
+def only_rule(failures: F.Column, policy: str = "v1") -> F.Column:
+    """The rule without which a policy would keep the document: the name of a single failure bit, else null."""
+    own, at = failures.bitwiseAND(F.lit(POLICIES[policy])), F.lit(None).cast("string")
+    for i, (rule, _) in enumerate(RULES):
+        at = F.when(own == 1 << i, rule).otherwise(at)
+    return at
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = zip(*(measures(t.as_py()) for t in b.column("text")), strict=True) if b.num_rows else [[]] * n
-            extra = [pa.array(c, pa.int64()) for c in got]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*names, *(x.split()[0] for x in MEASURES.split(", "))])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    bits = [f"(CASE WHEN {cond} THEN {1 << i}L ELSE 0L END)" for i, (_, cond) in enumerate(RULES)]
-    rows = docs.mapInArrow(run, f"{fields}, {MEASURES}").withColumn("failures", F.expr(" | ".join(bits)))
-    return rows.where(verdict(F.col("failures"), policy)).select(*names)
+def keep_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
+    """The documents that the policy keeps, with all their columns; measured and filtered in one pass."""
+    return measured(docs, docs.columns).where(verdict(F.col("failures"), policy)).select("doc.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +146,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & verdict(F.col("failures"))).alias("kept"), "failures",
+        only_rule(F.col("failures")).alias("only_rule"),
     )
 
 
@@ -164,5 +173,6 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100
   + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
   + (CASE WHEN 100 * n_upper > 60 * n_letters THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_exclaims > 3 * n_words THEN 32 ELSE 0 END)
   + (CASE WHEN word_chars > 20 * n_words OR (n_words > 0 AND word_chars < 2 * n_words) THEN 64 ELSE 0 END) AS BIGINT) AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures,
+  CASE failures WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'symbols' WHEN 8 THEN 'duplicate_lines' WHEN 16 THEN 'shouting' WHEN 32 THEN 'exclamations' WHEN 64 THEN 'word_length' END AS only_rule FROM f
 """

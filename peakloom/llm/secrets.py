@@ -3,10 +3,12 @@
 Base patterns are cut out of a text with split() beside regexp_extract_all(): the pieces between matches give
 the start of every match as a running sum of lengths. On top of them, candidate strings go through a sliding
 window whose Shannon entropy is kept by incremental counts, per character class; an allow-list suppresses
-public identifiers, and spans inside a base span are not repeated.
+public identifiers, and spans inside a base span are not repeated. A candidate must hold a digit and a letter to be
+measured: runs of digits are numbers, runs of letters are words.
 
-Positions are code points, ends exclusive. Defined cases: a null text is empty and has no spans; every row
-gives a row, also for repeated or null doc_ids; other columns are ignored; an empty table gives no rows.
+Positions are code points, ends exclusive. Defined cases: a null text is empty and has no spans; a very long text is
+searched whole; every row gives a row, also for repeated or null doc_ids; other columns are ignored by the scan and kept
+by redact(), whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import table
+from peakloom.llm.common import materialize, table
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -96,15 +98,15 @@ def spell(spans: F.Column) -> F.Column:
 
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
-    """The documents with every span replaced by `mask`; n_chars follows. All rows stay.
+    """The documents with every span replaced by `mask`; n_chars, if there, follows. All rows and columns stay.
 
-    Texts without a match, nearly all, keep out of the shuffle; the others are cut up and joined again.
+    Matches are found once and written with their documents, so the row number that joins them is fixed. Texts without
+    a match, nearly all, keep out of the shuffle; the others are cut up and joined again.
     """
-    names = docs.columns
-    whole = docs.withColumn("found", matches_column())
-    clean = whole.where(F.size("found") == 0).select(*names)
-    hit = whole.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id())
-    cut = hit.select("row", "doc_id", F.struct(*names).alias("doc"), F.explode_outer("found").alias("f")).select("row", "doc", "f.*")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), matches_column().alias("found"), F.monotonically_increasing_id().alias("row"))
+    whole = materialize(whole)
+    hit = whole.where(F.size("found") > 0)
+    cut = hit.select("row", F.explode("found").alias("f")).select("row", "f.*")
     end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("row", "kind").orderBy("n"))
     spans = cut.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).where("ok")
     # spans of different kinds can overlap: an island is a run of spans without a gap
@@ -113,14 +115,15 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     spans = spans.withColumn("island", F.sum(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(by_start))
     runs = spans.groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     runs = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
-    joined = hit.select("row", *names).join(runs, "row", "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
     prior = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("runs.end"), i))
     kept = F.transform("runs", lambda r, i: F.concat(F.substring(text, prior(i).cast("int") + 1, (r["start"] - prior(i)).cast("int")), F.lit(mask)))
     tail = F.substring(text, F.element_at(F.col("runs.end"), -1).cast("int") + 1, F.lit(2**31 - 1))
-    new = F.when(F.col("runs").isNotNull(), F.concat(F.array_join(kept, ""), tail)).otherwise(F.col("text"))
-    out = joined.withColumn("text", new).withColumn("n_chars", F.when(F.col("runs").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in names else joined.withColumn("text", new)
-    return clean.unionByName(out.select(*names))
+    new = F.col("doc").withField("text", F.concat(F.array_join(kept, ""), tail))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length(new["text"]).cast(docs.schema["n_chars"].dataType))
+    masked = hit.select("row", "doc").join(runs, "row", "left").select(F.when(F.col("runs").isNotNull(), new).otherwise(F.col("doc")).alias("doc"))
+    return whole.where(F.size("found") == 0).select("doc").union(masked).select("doc.*")
 
 
 def matches_column() -> F.Column:

@@ -18,7 +18,8 @@ blocks are sorted by keys of eight symbols (argsort, lexsort) instead of interle
 LENGTH equal symbols are asked for, so no longer prefix is needed, and the grouping by name (1.) puts equal windows
 into one task, which shards of all suffixes would have to be merged over all tasks for.
 
-Defined cases: a null text is empty; a null doc_id comes after all others; rows of one doc_id are one
+Defined cases: a null text is empty; a very long text is cut into runs of windows, so no task holds it more than a few
+times; a null doc_id comes after all others, as if it were LAST_ID; rows of one doc_id are one
 document, so equal starts in them are not earlier than each other; equal rows give equal rows; extra columns
 are ignored; an empty table gives no rows.
 """

@@ -7,9 +7,10 @@ reads single records from the archive at their byte offsets.
 
 Records of equal payload: the one with the largest page_id is the response, the others revisit it.
 
-Defined cases: a null payload is empty; small payloads are never revisits; rows that share the largest
-page_id and the payload are all responses; a null page_id counts as smaller than any; extra columns are
-ignored; an empty table writes no archive and gives no rows.
+Defined cases: a null payload is empty; a very long payload is one record, held in memory by one task; small payloads
+are never revisits; rows that share the largest page_id and the payload are all responses; a null page_id counts as
+smaller than any, and records whose ids are all null are all responses; extra columns are ignored, whatever their names;
+an empty table writes no archive and gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from peakloom.llm.common import bounded_broadcast, materialize, shared_dir, tabl
 LEAST_REVISIT = 1000
 #: Compressed bytes after which an archive is closed and the next one begun.
 ARCHIVE_BYTES = 32 << 20
+#: Compressed bytes that a reading task takes on.
+READ_BYTES = 4 << 20
 DATA, INDEX = "data/records.warc.gz", "indexes/records.cdxj"
 
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -95,9 +98,12 @@ def read_directory(f, size: int) -> dict[str, tuple[int, int]]:
         f.seek(offset)
         return f.read(n)
 
-    tail_at = max(0, size - 65_557)
+    # the end record, the longest comment, and the ZIP64 locator before them
+    tail_at = max(0, size - (22 + 65_535 + 20))
     tail = at(tail_at, size - tail_at)
     end = tail.rfind(_END)
+    while end >= 0 and end + 22 + int.from_bytes(tail[end + 20 : end + 22], "little") != len(tail):
+        end = tail.rfind(_END, 0, end)  # the letters stood in the comment
     if end < 0:
         raise ValueError("no end of central directory")
     entries, length, offset = struct.unpack_from("<HII", tail, end + 10)
@@ -231,7 +237,10 @@ def read_records(located: DataFrame, id_type: str = "bigint") -> DataFrame:
         if f:
             f.close()
 
-    spread = located.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
+    # as many ranges as the records' bytes need: their places alone would look like little work
+    located = materialize(located)
+    tasks = max(1, -(-(located.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
+    spread = located.repartitionByRange(tasks, "path", "offset").sortWithinPartitions("path", "offset")
     return spread.select("path", "offset", "length").mapInArrow(run, schema)
 
 

@@ -6,6 +6,7 @@ import re
 import zipfile
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,18 @@ def test_kept_documents_keep_their_columns(spark, odd_docs):
     good = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(80)), "en", "s", 9, "k", 4)], odd_docs.schema)
     out = quality.keep_documents(odd_docs.unionByName(good))
     assert out.columns == odd_docs.columns and [r.doc_id for r in out.collect()] == [1]
+    clash = good.select("doc_id", "text", F.lit(1).alias("n_words"), F.lit(2).alias("failures"), F.lit(3).alias("doc"), F.lit("x").alias("row"))
+    assert quality.keep_documents(clash).collect() == clash.collect()
+
+
+def test_letters_of_all_alphabets():
+    got = quality.measures("Ab ² ½ Ⅷ ª É漢 _1")
+    assert got[6:8] == (2, 5)  # numerals are no letters, however they are written
+
+
+def test_only_rule(spark):
+    rows = spark.createDataFrame([(0,), (1,), (3,), (64,)], "f long").select(quality.only_rule(F.col("f"))).collect()
+    assert [r[0] for r in rows] == [None, "few_words", None, "word_length"]
 
 
 # -- mixing --------------------------------------------------------------------------------------------------
@@ -84,7 +97,31 @@ def test_mix_of_awkward_rows(spark, odd_docs, no_docs):
     assert all(r.taken == 0 for r in rows if r["size"] == 0)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd_docs.repartition(3)).collect()))
     assert mixing.mix(no_docs).count() == 0
-    assert [r.finish for r in mixing.served_order(mixing.mix(odd_docs), 1).collect()] == sorted(r.finish for r in rows if r.taken)
+    served = mixing.served_order(mixing.mix(odd_docs)).collect()
+    assert [r.finish for r in served] == sorted(r.finish for r in served)
+    assert sum(r.taken for r in served) == sum(r.taken for r in rows) and sum(r.copy for r in served) > 0
+
+
+def test_served_copies_in_order(spark, sf):
+    mixed = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    served = mixing.served_order(mixed).collect()
+    at = 0
+    for r in served:
+        assert r.position == at and 0 < r.taken <= r["size"]
+        at += r.taken
+    by = {}
+    for r in served:
+        by[r.doc_id] = by.get(r.doc_id, 0) + r.taken
+    assert by == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
+    # each source has served about its share of any moment's time
+    for r in served[len(served) // 3 :: 50]:
+        got = sum(x.taken for x in served if x.source == r.source and x.position <= r.position)
+        assert abs(got - r.finish * r.target) <= 1 or r.finish > 1
+
+
+def test_null_ids_are_shuffled_apart(spark):
+    docs = spark.createDataFrame([(None, f"word{i} x", "s") for i in range(50)], "doc_id long, text string, source string")
+    assert mixing.sized(docs).select("key").distinct().count() == 50
 
 
 # -- secrets -------------------------------------------------------------------------------------------------
@@ -134,6 +171,10 @@ def test_redaction(spark, odd_docs):
         assert out[i].n_chars == len(out[i].text)
     assert out[2].text == "👍é hex [secret] end " + "f" * 31 and out[7].text == SECRETS[7]
     assert secrets.redact(odd_docs).count() == odd_docs.count()
+    clash = df.select("doc_id", "text", F.lit(1).alias("found"), F.lit(2).alias("row"), F.lit(3).alias("doc"), F.lit(4).alias("runs"), F.lit(5).alias("n_chars"))
+    got = secrets.redact(clash)
+    assert got.columns == clash.columns and {tuple(r)[2:6] for r in got.collect()} == {(1, 2, 3, 4)}
+    assert {r.doc_id: r.text for r in got.collect()} == {i: r.text for i, r in out.items()}
 
 
 # -- tokens --------------------------------------------------------------------------------------------------
@@ -166,6 +207,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.spans for r in bad if r.predicted)
 
 
+def test_offsets_are_of_the_text_itself():
+    field = toxicity.Field({"bad": 9.0}, -4.0, np.zeros((2, 2)), 0.0, np.array([0.0, 1.0, 0.0, 0.0]))
+    texts = ["bad İstanbul BAD word", "", "12 !", "İ bad"]
+    facts, spans = toxicity.tag(texts, field, toxicity.Emissions(field))
+    assert [[texts[i][a:z] for a, z in s] for i, s in enumerate(spans)] == [["bad", "BAD"], [], [], ["bad"]] and facts.shape == (4, 4)
+
+
+def test_neighbours_don_t_reach_over_texts():
+    rng = np.random.default_rng(0)
+    words = [f"w{i}" for i in range(6)]
+    field = toxicity.Field({p + w: float(rng.normal()) for w in words for p in ("", "<", ">")}, 0.1, np.zeros((2, 2)), 0.0, np.zeros(4))
+    texts = [[], ["w1"], ["w2", "w3", "w1"], [], [], ["w5", "w5"], []]
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    get = field.weights.get
+    want = [0.1 + get(w, 0) + (get("<" + t[i - 1], 0) if i else 0) + (get(">" + t[i + 1], 0) if i + 1 < len(t) else 0) for t in texts for i, w in enumerate(t)]
+    assert np.allclose(toxicity.Emissions(field).of(texts, first), want)
+
+
+def test_long_texts_train(spark):
+    rows = [(i, "calm words here and there " * 900 + ("vile vile vile " * 500 if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = docs.withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert all((r.score >= 0.7) == (r.doc_id % 2 == 1) for r in got)
+
+
 def test_toxicity_of_awkward_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)] + [(4, None), (None, 1)], "doc_id long, toxic int")
     field = toxicity.train(odd_docs, labels)
@@ -211,6 +279,16 @@ def test_archives_round_trip(spark):
     with zipfile.ZipFile(path) as z:  # another reader agrees
         assert z.testzip() is None and set(z.namelist()) == {warc.DATA, warc.INDEX}
     assert warc.write_archives(records.limit(0), shared_dir(spark)).count() == 0
+    empty = materialize(warc.write_archives(records.limit(0), shared_dir(spark)))
+    assert warc.read_records(warc.locate_records(empty)).count() == 0
+
+
+def test_revisits_of_null_and_repeated_ids(spark):
+    big = "y" * 2000
+    rows = [(None, "u", big, "d", 1), (None, "v", big, "d", 2), (3, "w", big, "d", 3), (3, "x", big, "d", 4), (1, "z", big, "d", 5), (None, "n", "m" * 1500, "d", 6), (None, "o", "m" * 1500, "d", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string, first_id int")
+    got = sorted((str(r.page_id), r.url, str(r.refers_to)) for r in warc.with_revisits(pages).collect())
+    assert got == [("1", "z", "3"), ("3", "w", "None"), ("3", "x", "None"), ("None", "n", "None"), ("None", "o", "None"), ("None", "u", "3"), ("None", "v", "3")]
 
 
 def test_directories_with_and_without_zip64():
@@ -222,6 +300,8 @@ def test_directories_with_and_without_zip64():
                     m.write(content)
             z.comment = b"note"
         data = out.getvalue()
+        if not wide:  # the longest comment, with the letters of an end record in it
+            data = data[:-6] + (65_535).to_bytes(2, "little") + (b"PK\x05\x06" + b"c" * 65_535)[:65_535]
         found = warc.read_directory(io.BytesIO(data), len(data))
         assert {n: data[a : a + k] for n, (a, k) in found.items()} == {"a/b.txt": b"hello", "c": b""}
 
@@ -237,9 +317,49 @@ def test_contaminations(spark, odd_docs, no_docs):
     got = {(r.doc_id, r.item_id): r.distance for r in decontam.contaminations(docs, bench).collect()}
     assert got == {(1, 7): 0, (1, 8): 0, (2, 7): 2, (2, 8): 2, (5, 7): 0, (5, 8): 0}
     assert {(r.doc_id, r.item_id): r.distance for r in decontam.contaminations(docs, bench, block_chars=100).collect()} == got
+    short = spark.createDataFrame([(1, "Say short."), (2, "shorter"), (3, "it is SHORT"), (4, "cut-short")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in decontam.contaminations(short, bench).collect()) == [(1, 10, 4, 9, 0), (3, 10, 6, 11, 0), (4, 10, 4, 9, 0)]
     assert decontam.contaminations(odd_docs, bench).count() == 0 and decontam.contaminations(no_docs, bench.limit(0)).count() == 0
 
 
+def test_all_items_in_all_documents_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 6)))
+    items = [(k, " ".join(word() for _ in range(rng.choice((1, 2, 8, 20, 40))))) for k in range(40)]
+
+    def edited(t, n):
+        for _ in range(n):
+            i, kind = rng.randrange(len(t)), rng.random()
+            t = t[:i] + (rng.choice("abcde ") if kind < 0.7 else "") + t[i + (kind > 0.3) :]
+        return t
+
+    docs = []
+    for d in range(80):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 30)))]
+        for _ in range(rng.randint(0, 2)):
+            item = rng.choice(items)[1]
+            parts += [edited(item, rng.randint(0, decontam.budget(len(item)) + 2)), " ".join(word() for _ in range(5))]
+        docs.append((d, " ".join(parts)))
+    want = {}
+    for d, text in docs:
+        t = decontam.normalize(text)
+        for k, raw in items:
+            item = decontam.normalize(raw)
+            if len(item) < decontam.SHORT:
+                if re.search(rf"(?<![a-z]){re.escape(item)}(?![a-z])", t):
+                    want[d, k] = 0
+            elif best := decontam.myers(item, t, decontam.budget(len(item))):
+                want[d, k] = best[0]
+    df = spark.createDataFrame([(*x, "c", 1) for x in docs], "doc_id long, text string, item_id string, start int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for chars in (100_000, 500):
+        found = decontam.contaminations(df, bench, chars).collect()
+        assert {(r.doc_id, r.item_id): r.distance for r in found} == want and len(found) == len(want)
+    assert len(want) > 60 and any(want.values())
+
+
 def test_myers_against_the_table():
     import random
 
