@@ -229,3 +229,13 @@ def site_tokens(text: Column) -> Column:
     parts = F.split(F.trim(F.regexp_extract(_text(text), "@(.*)$", 1)), r"\s+")
     at = lambda i: F.get(parts, F.lit(i)).try_cast("double")
     return F.struct(F.regexp_extract(_text(text), ELEMENT, 0).alias("element"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+def ratio_text(ratio: Column, version: Column, current: int) -> Column:
+    """An intensity ratio with three significant digits, if it is positive and of the current derived version; else empty."""
+    digits = F.greatest(2 - F.floor(F.log10(ratio)).cast("int"), F.lit(0))
+    # the rounding may have carried into a further digit, which the plain text shows as well
+    places = [F.when(digits == k, F.format_string(f"%.{k}f", ratio)) for k in range(8)]
+    text = F.coalesce(*places)
+    short = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+    return F.when((version == current) & (ratio > 0), short).otherwise("")

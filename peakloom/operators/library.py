@@ -99,3 +99,50 @@ def link_cascade(phases: DataFrame, candidates: DataFrame) -> DataFrame:
 def content_hash(*parts: Column) -> Column:
     """SHA-256 of the parts as JSON, in the order given; parts of integers and text have one spelling only."""
     return F.sha2(F.to_json(F.struct(*(p.alias(f"p{i}") for i, p in enumerate(parts)))), 256)
+
+
+# -- results -------------------------------------------------------------------------------------------------
+
+
+def phase_catalogue(phases: DataFrame) -> DataFrame:
+    """One row a phase_id of result phases (pattern_id, phase_id, name, formula, source, source_id): that of the least pattern."""
+    one = F.min_by(F.struct("name", "formula", "source", "source_id"), F.struct("pattern_id", "name"))
+    return phases.groupBy("phase_id").agg(one.alias("p")).select("phase_id", "p.*")
+
+
+def result_snapshots(phases: DataFrame, fits: DataFrame, unknown: DataFrame) -> DataFrame:
+    """(pattern_id, phases, fit, unknown_peaks): a nested row a pattern, phases by id and unknown peaks by position."""
+    own = phases.groupBy("pattern_id").agg(F.array_sort(F.collect_set(F.struct("phase_id", "fraction_percent"))).alias("phases"))
+    rest = unknown.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("two_theta", "height"))).alias("unknown_peaks"))
+    rows = fits.join(own, "pattern_id", "left").join(rest, "pattern_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    kinds = {f.name: f.dataType for f in rows.schema}
+    return rows.select("pattern_id", empty("phases", kinds["phases"]).alias("phases"), F.struct("fit_percent").alias("fit"), empty("unknown_peaks", kinds["unknown_peaks"]).alias("unknown_peaks"))
+
+
+def canonical(value: Column) -> Column:
+    """A number's one spelling: whole numbers without a point, others with six digits at most and no trailing zeros."""
+    text = F.format_string("%.6f", F.round(value.cast("double"), 6))
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
+def result_hash(snapshots: DataFrame) -> DataFrame:
+    """Adds result_sha256, of what a result says and nothing else: phases, fractions, fit and unknown peaks in canonical spelling."""
+    parts = F.transform("phases", lambda p: F.concat_ws("=", p["phase_id"], F.coalesce(canonical(p["fraction_percent"]), F.lit("null"))))
+    peaks = F.transform("unknown_peaks", lambda p: F.concat_ws("@", canonical(p["height"]), canonical(p["two_theta"])))
+    text = F.concat_ws("|", F.col("pattern_id").cast("string"), F.array_join(parts, ","), canonical(F.col("fit.fit_percent")), F.array_join(peaks, ","))
+    return snapshots.withColumn("result_sha256", F.sha2(text, 256))
+
+
+def revised(current: DataFrame, previous: DataFrame, revision: str) -> DataFrame:
+    """(pattern_id, result_sha256, revision_id): the previous revision where the hash is unchanged, else the new one."""
+    old = previous.select("pattern_id", F.col("result_sha256").alias("__h"), F.col("revision_id").alias("__r"))
+    kept = F.when(F.col("result_sha256") == F.col("__h"), F.col("__r")).otherwise(F.lit(revision))
+    return current.join(old, "pattern_id", "left").select("pattern_id", "result_sha256", kept.alias("revision_id"))
+
+
+def series_report(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """(series_id, place, pattern_id, a, change): fitted cells in the order of a series, and the change from the one before."""
+    w = Window.partitionBy("series_id").orderBy("sample", "pattern_id")
+    rows = members.join(cells, "pattern_id").withColumn("place", F.row_number().over(w))
+    return rows.select("series_id", "place", "pattern_id", "a", (F.col("a") - F.lag("a").over(w)).alias("change"))

@@ -40,63 +40,99 @@ def strong_lines(peaks: DataFrame, least: float, most: int, low: float | None =
     return found.withColumn("line_rank", rank).where(F.col("line_rank") <= most)
 
 
-def nearest_observed(lines: DataFrame, observed: DataFrame, tolerance: float, higher_wins: bool = False) -> DataFrame:
-    """Per pattern and line: the nearest observed position within the tolerance, with delta = observed - line."""
+def near_pairs(lines: DataFrame, observed: DataFrame, tolerance: float, candidates: DataFrame | None = None) -> DataFrame:
+    """Pairs of lines and observed positions within the tolerance, with delta = observed - line.
+
+    Without candidates every pattern meets the whole library. candidates (pattern_id, entry_id), such as the phases
+    that search_by_peaks() ranks, are the only pairs that are compared.
+    """
+    lines, keys = lines.select("entry_id", "peak_index", "two_theta", "intensity"), []
+    if candidates is not None:
+        lines, keys = lines.join(candidates.select("pattern_id", "entry_id"), "entry_id"), ["pattern_id"]
     probes = observed.select("pattern_id", F.col("two_theta").alias("observed"))
-    pairs = range_join(lines.select("entry_id", "peak_index", "two_theta", "intensity"), probes, "two_theta", "observed", tolerance)
-    delta = F.col("observed") - F.col("two_theta")
+    return range_join(lines, probes, "two_theta", "observed", tolerance, keys).withColumn("delta", F.col("observed") - F.col("two_theta"))
+
+
+def nearest_observed(lines: DataFrame, observed: DataFrame, tolerance: float, higher_wins: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """Per pattern and line: the nearest observed position within the tolerance, with delta = observed - line."""
     tie = -F.col("observed") if higher_wins else F.col("observed")
-    return nearest(pairs.withColumn("delta", delta), ["pattern_id", "entry_id", "peak_index"], F.round(F.abs(delta), 9), tie, ["two_theta", "intensity", "observed", "delta"])
+    return nearest(near_pairs(lines, observed, tolerance, candidates), ["pattern_id", "entry_id", "peak_index"], F.round(F.abs("delta"), 9), tie, ["two_theta", "intensity", "observed", "delta"])
+
+
+MICRO = 1_000_000
+
+
+def line_hits(lines: DataFrame, observed: DataFrame, tolerance: float, candidates: DataFrame | None = None) -> DataFrame:
+    """(pattern_id, entry_id, hits): per line with an observed position within the tolerance the nearest one's delta and the weight.
+
+    hits is an array of struct(d, w): delta in millionths of a degree and the intensity, 1 at least, in thousandths, as
+    whole numbers, so that sums don't depend on their order. A phase has a few dozen strong lines, which fit a row:
+    one shuffle serves all passes over them.
+    """
+    one = F.struct("peak_index", F.round(F.abs("delta"), 9).alias("off"), "observed", "delta", "intensity")
+    packed = near_pairs(lines, observed, tolerance, candidates).groupBy("pattern_id", "entry_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    first = F.filter("p", lambda x, i: (i == 0) | (x["peak_index"] != F.get("p", i - 1)["peak_index"]))
+    whole = lambda x, unit: F.round(x * unit).cast("long")
+    return packed.select("pattern_id", "entry_id", F.transform(first, lambda x: F.struct(whole(x["delta"], MICRO).alias("d"), whole(F.greatest(x["intensity"], F.lit(1.0)), 1000).alias("w"))).alias("hits"))
+
+
+def _total(hits: Column, value) -> Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda a, x: a + value(x))
+
+
+def _centre(hits: Column) -> Column:
+    """Weighted mean of the deltas in whole millionths of a degree."""
+    return F.round(_total(hits, lambda x: x["w"] * x["d"]) / F.nullif(_total(hits, lambda x: x["w"]), F.lit(0))).cast("long")
+
+
+def _spread(hits: Column, centre: Column) -> Column:
+    """Weighted mean distance from the centre in degrees."""
+    return _total(hits, lambda x: x["w"] * F.abs(x["d"] - centre)) / F.nullif(_total(hits, lambda x: x["w"]), F.lit(0)) / MICRO
 
 
 def status(matched: Column, coverage: Column, policy: MatchPolicy) -> Column:
     return F.when(matched < policy.min_matched, "weak").when(coverage >= policy.good, "good").when(coverage >= policy.ok, "ok").otherwise("weak")
 
 
-def match_scores(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
+def match_scores(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy(), candidates: DataFrame | None = None) -> DataFrame:
     """Per pattern and phase with a match: matched and total strong lines, coverage, mean distance, status."""
     strong = strong_lines(peaks, policy.intensity_min, policy.lines, None)
     totals = strong.groupBy("entry_id").agg(F.count("*").alias("total"))
-    hits = nearest_observed(strong, observed, policy.tolerance, higher_wins=True)
+    hits = nearest_observed(strong, observed, policy.tolerance, True, candidates)
     found = hits.groupBy("pattern_id", "entry_id").agg(F.count("*").alias("matched"), F.round(F.avg(F.abs("delta")), 6).alias("mean_delta"))
     coverage = F.col("matched") / F.col("total")
     return found.join(totals, "entry_id").select("pattern_id", "entry_id", "matched", "total", F.round(coverage, 6).alias("coverage"), "mean_delta", status(F.col("matched"), coverage, policy).alias("status"))
 
 
-def alignments(peaks: DataFrame, observed: DataFrame) -> DataFrame:
+def alignments(peaks: DataFrame, observed: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Per pattern and phase: zero shift, matched and total lines, weighted mean residual, status, probability."""
     strong = strong_lines(peaks, 5.0, 35)
     totals = strong.groupBy("entry_id").agg(F.count("*").alias("total"))
-    hits = nearest_observed(strong, observed, 0.45).withColumn("w", F.greatest("intensity", F.lit(1.0)))
     own = ["pattern_id", "entry_id"]
-    first = hits.groupBy(*own).agg(F.count("*").alias("matched"), F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("zero"))
-    second = hits.join(first, own).groupBy(*own).agg(F.first("matched").alias("matched"), F.first("zero").alias("zero"), (F.sum(F.col("w") * F.abs(F.col("delta") - F.col("zero"))) / F.first("sw")).alias("score"))
-    rows = second.join(totals, "entry_id")
-    fraction, score = F.col("matched") / F.col("total"), F.round("score", 6)
+    rows = line_hits(strong, observed, 0.45, candidates).select(*own, "hits", F.size("hits").cast("long").alias("matched"), _centre(F.col("hits")).alias("zero"))
+    rows = rows.withColumn("score", F.round(_spread(F.col("hits"), F.col("zero")), 6)).join(totals, "entry_id")
+    fraction, score = F.col("matched") / F.col("total"), F.col("score")
     few, weak = F.col("matched") < 3, (score > 0.18) | (fraction < 0.18)
     kept = F.when(few, 0.0).otherwise(score)
     label = F.when(few | weak, "weak").when((score <= 0.08) & (fraction >= 0.3), "good shift-only").otherwise("ok shift-only")
     penalty = F.when(kept > 0, F.greatest(F.lit(0.15), 1 - F.least(kept / 0.45, F.lit(1.0)))).otherwise(1.0)
     probability = F.least(F.greatest(100 * fraction * penalty * F.least(F.col("matched") / 8.0, F.lit(1.0)), F.lit(0.0)), F.lit(100.0))
-    zero = F.when(few | weak, 0.0).otherwise(F.least(F.greatest("zero", F.lit(-0.5)), F.lit(0.5)))
-    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), F.round(probability + 1e-9, 4).alias("probability"))
+    zero = F.when(few | weak, 0.0).otherwise(F.least(F.greatest(F.col("zero") / MICRO, F.lit(-0.5)), F.lit(0.5)))
+    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), F.round(probability, 8).alias("probability"))
 
 
-def zero_shifts(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy()) -> DataFrame:
+def zero_shifts(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy(), candidates: DataFrame | None = None) -> DataFrame:
     """Per pattern and phase that passes the gates: zero shift, residual and quality after one trim."""
     strong = strong_lines(peaks, policy.zero_intensity_min, policy.zero_lines, None)
     totals = strong.groupBy("entry_id").agg(F.count("*").alias("total"))
     own = ["pattern_id", "entry_id"]
-    hits = nearest_observed(strong, observed, policy.zero_tolerance).withColumn("w", F.greatest("intensity", F.lit(1.0)))
-    centre = hits.groupBy(*own).agg((F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("c0"), F.count("*").alias("n0"))
-    near = hits.join(centre, own).where("n0 >= 3").withColumn("near", F.round(F.abs(F.col("delta") - F.col("c0")), 9) <= policy.zero_trim)
-    kept = near.groupBy(*own).agg(F.sum(F.col("near").cast("int")).alias("n_near"))
-    used = near.join(kept, own).where("near OR n_near < 3")
-    second = used.groupBy(*own).agg(F.count("*").alias("n"), F.avg("w").alias("mean_w"), F.sum("w").alias("sw"), (F.sum(F.col("w") * F.col("delta")) / F.sum("w")).alias("c"))
-    last = used.join(second, own).groupBy(*own).agg(F.first("n").alias("n"), F.first("mean_w").alias("mean_w"), F.first("c").alias("c"), (F.sum(F.col("w") * F.abs(F.col("delta") - F.col("c"))) / F.first("sw")).alias("residual"))
+    rows = line_hits(strong, observed, policy.zero_tolerance, candidates).where(F.size("hits") >= 3).withColumn("c0", _centre(F.col("hits")))
+    rows = rows.withColumn("near", F.filter("hits", lambda x: F.abs(x["d"] - F.col("c0")) <= round(policy.zero_trim * MICRO)))
+    rows = rows.withColumn("used", F.when(F.size("near") >= 3, F.col("near")).otherwise(F.col("hits"))).withColumn("c", _centre(F.col("used")))
+    rows = rows.withColumn("n", F.size("used")).withColumn("residual", _spread(F.col("used"), F.col("c"))).withColumn("mean_w", _total(F.col("used"), lambda x: x["w"]) / F.col("n") / 1000)
     fraction = F.col("n") / F.col("total")
-    good = last.join(totals, "entry_id").where((F.col("n") >= 3) & (fraction >= policy.zero_min_fraction) & (F.round("residual", 9) <= policy.zero_max_residual))
-    zero = F.least(F.greatest("c", F.lit(-0.5)), F.lit(0.5))
+    good = rows.join(totals, "entry_id").where((F.col("n") >= 3) & (fraction >= policy.zero_min_fraction) & (F.round("residual", 9) <= policy.zero_max_residual))
+    zero = F.least(F.greatest(F.col("c") / MICRO, F.lit(-0.5)), F.lit(0.5))
     return good.select(*own, F.round(zero, 6).alias("zero"), F.round("residual", 6).alias("residual"), F.round(F.col("n") * fraction * F.col("mean_w") / (F.col("residual") + 0.03), 4).alias("quality"))
 
 

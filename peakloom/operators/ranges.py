@@ -21,19 +21,15 @@ def range_join(lines: DataFrame, probes: DataFrame, line_pos: str, probe_pos: st
     reach = F.col(tolerance) if isinstance(tolerance, str) else F.lit(float(tolerance))
     width = width or 2 * float(tolerance)
     low, high = F.floor((F.col(probe_pos) - reach) / width), F.floor((F.col(probe_pos) + reach) / width)
-    dealt = probes.withColumn(BUCKET, F.explode(F.sequence(low, high)))
+    # the probes' keys get names of their own: both sides may come from one table
+    own = {k: f"__probe_{k}" for k in keys}
+    dealt = probes.select(*(F.col(c).alias(own.get(c, c)) for c in probes.columns)).withColumn("__dealt", F.explode(F.sequence(low, high)))
     keyed = lines.withColumn(BUCKET, F.floor(F.col(line_pos) / width))
-    on: Column = keyed[BUCKET] == dealt[BUCKET]
-    for k in keys:
-        on &= keyed[k] == dealt[k]
-    reach = dealt[tolerance] if isinstance(tolerance, str) else F.lit(float(tolerance))
-    on &= keyed[line_pos].between(dealt[probe_pos] - reach, dealt[probe_pos] + reach)
-    if how != "inner":
-        return keyed.join(dealt, on, how).drop(BUCKET)
-    joined = keyed.join(dealt, on).drop(keyed[BUCKET]).drop(dealt[BUCKET])
-    for k in keys:
-        joined = joined.drop(dealt[k])
-    return joined
+    on: Column = F.col(BUCKET) == F.col("__dealt")
+    for k, name in own.items():
+        on &= F.col(k) == F.col(name)
+    on &= F.col(line_pos).between(F.col(probe_pos) - reach, F.col(probe_pos) + reach)
+    return keyed.join(dealt, on, how).drop(BUCKET, "__dealt", *own.values())
 
 
 def nearest(pairs: DataFrame, by: Sequence[str], distance: Column, tie: Column, take: Sequence[str]) -> DataFrame:

@@ -47,26 +47,62 @@ def query_plan(observed: DataFrame, policy: SearchPolicy = SearchPolicy()) -> Da
     )
 
 
-def search_metrics(library: DataFrame, plan: DataFrame, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
-    """Per pattern and phase: the hit counts and supports of the peaks within the tolerance of a query position."""
+def _marked(library: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines with the position of the line before in their phase, query positions with the one before in their pattern."""
     lines = library.select("entry_id", "peak_index", "two_theta", "intensity", "norm_intensity", "top_rank")
-    pairs = range_join(lines, plan, "two_theta", "position", max(policy.tolerance, 0.02))
+    lines = lines.withColumn("line_before", F.lag("two_theta").over(Window.partitionBy("entry_id").orderBy("two_theta", "peak_index")))
+    plan = plan.withColumn("position_before", F.lag("position").over(Window.partitionBy("pattern_id").orderBy("position", "q")))
+    return lines, plan
+
+
+def _metrics(pairs: DataFrame, tolerance: float, policy: SearchPolicy) -> DataFrame:
+    """One aggregation of pairs, with partial sums before the shuffle.
+
+    The positions near a line are neighbours in their pattern, and so are the lines near a position in their phase. A
+    pair counts for its line where the position before is not near it, too, and for its position where the line before is
+    not: distinct counts are sums.
+    """
     support = F.greatest("norm_intensity", F.lit(0.0))
     strong = ((F.col("anchor_weight") > 0) & F.coalesce(F.col("top_rank").between(1, policy.top_ranks), F.lit(False))).cast("int")
-    # a query position holds several library peaks at most: counting them by (q) first keeps distinct counts cheap
-    by_q = pairs.groupBy("pattern_id", "entry_id", "q").agg(
-        F.count("*").alias("n"), F.collect_set("peak_index").alias("peaks"), F.min(F.abs(F.col("two_theta") - F.col("position"))).alias("delta"),
-        F.sum("anchor_weight").alias("aw"), F.sum(strong).alias("sa"), F.sum(F.col("anchor_weight") * support).alias("ais"),
-        F.first("query_weight").alias("qw"), F.sum(F.col("query_weight") * support).alias("wis"), F.sum(F.greatest("intensity", F.lit(0.0))).alias("mi"),
-    )
-    return by_q.groupBy("pattern_id", "entry_id").agg(
-        F.count("*").alias("observed_hits"), F.size(F.array_distinct(F.flatten(F.collect_list("peaks")))).cast("long").alias("peak_hits"),
-        F.round(F.min("delta"), 6).alias("best_delta"), F.sum("aw").alias("anchor_hits"), F.sum("sa").alias("strong_anchor_hits"),
-        F.round(F.sum("ais"), 6).alias("anchor_intensity_support"), F.round(F.sum(F.col("qw") * F.col("n")), 6).alias("weighted_observed_hits"),
-        F.round(F.sum("wis"), 6).alias("weighted_intensity_support"), F.round(F.sum("mi"), 6).alias("matched_intensity"),
+    new_line = F.coalesce(F.col("two_theta") > F.col("position_before") + tolerance, F.lit(True))
+    new_position = F.coalesce(F.col("line_before") < F.col("position") - tolerance, F.lit(True))
+    total = lambda c: F.round(F.sum(c), 6)
+    return pairs.groupBy("pattern_id", "entry_id").agg(
+        F.sum(new_position.cast("long")).alias("observed_hits"), F.sum(new_line.cast("long")).alias("peak_hits"),
+        F.round(F.min(F.abs(F.col("two_theta") - F.col("position"))), 6).alias("best_delta"), F.sum("anchor_weight").alias("anchor_hits"), F.sum(strong).alias("strong_anchor_hits"),
+        total(F.col("anchor_weight") * support).alias("anchor_intensity_support"), total("query_weight").alias("weighted_observed_hits"),
+        total(F.col("query_weight") * support).alias("weighted_intensity_support"), total(F.greatest("intensity", F.lit(0.0))).alias("matched_intensity"),
     )
 
 
+def search_metrics(library: DataFrame, plan: DataFrame, policy: SearchPolicy = SearchPolicy(), candidates: DataFrame | None = None) -> DataFrame:
+    """Per pattern and phase: the hit counts and supports of the peaks within the tolerance of a query position.
+
+    candidates (pattern_id, entry_id), if given, are the only pairs that are compared.
+    """
+    tolerance = max(policy.tolerance, 0.02)
+    lines, plan = _marked(library, plan)
+    if candidates is None:
+        return _metrics(range_join(lines, plan, "two_theta", "position", tolerance), tolerance, policy)
+    return _metrics(range_join(lines.join(candidates, "entry_id"), plan, "two_theta", "position", tolerance, ["pattern_id"]), tolerance, policy)
+
+
+def strong_candidates(library: DataFrame, plan: DataFrame, most: int, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
+    """(pattern_id, entry_id, enough) of the phases that can be among the `most` best of a pattern.
+
+    The first key of the order is the number of strong anchor hits, which needs the ten top lines of a phase and the
+    ten anchors of a pattern only. A phase with fewer hits than the one of rank `most` is behind it whatever its other
+    keys are; phases that tie with it stay. enough is false where the pattern has fewer than `most` such phases, so
+    phases without a strong hit count as well.
+    """
+    lines = library.where(F.col("top_rank").isNotNull()).select("entry_id", "two_theta")
+    anchors = plan.where("anchor_weight > 0").select("pattern_id", "position")
+    hits = range_join(lines, anchors, "two_theta", "position", max(policy.tolerance, 0.02)).groupBy("pattern_id", "entry_id").agg(F.count("*").alias("hits"))
+    own = Window.partitionBy("pattern_id")
+    best = hits.withColumn("r", F.rank().over(own.orderBy(F.desc("hits")))).where(F.col("r") <= most)
+    return best.select("pattern_id", "entry_id", (F.count("*").over(own) >= most).alias("enough"))
+
+
 ORDER = (
     F.desc, ("strong_anchor_hits", "anchor_intensity_support", "anchor_hits", "weighted_intensity_support", "weighted_observed_hits", "observed_hits", "peak_hits", "matched_intensity"),
 )
@@ -92,8 +128,15 @@ def crystal_key(cell_names: tuple[str, ...] = ("a", "b", "c", "alpha", "beta", "
 
 
 def search_by_peaks(observed: DataFrame, peaks: DataFrame, phases: DataFrame, limit: int = 20, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
-    """The `limit` best phases of every pattern: metrics, ten-key order, overfetch, crystallographic dedupe, cut."""
-    metrics = search_metrics(ranked_library(peaks, policy), query_plan(observed, policy), policy)
+    """The `limit` best phases of every pattern: preselection, metrics, ten-key order, overfetch, crystallographic dedupe, cut.
+
+    The metrics are computed for the phases that can be among the best; for patterns with few of these, for all.
+    """
+    library, plan = ranked_library(peaks, policy), query_plan(observed, policy)
+    able = strong_candidates(library, plan, policy.overfetch * limit, policy)
+    chosen = able.where("enough").select("pattern_id", "entry_id")
+    rest = plan.join(chosen.select("pattern_id").distinct(), "pattern_id", "left_anti")
+    metrics = search_metrics(library, plan, policy, chosen).unionByName(search_metrics(library, rest, policy))
     rows = metrics.join(phases, "entry_id")
     own = Window.partitionBy("pattern_id").orderBy(*candidate_order())
     first = rows.withColumn("r", F.row_number().over(own)).where(F.col("r") <= policy.overfetch * limit).withColumn("k", crystal_key())

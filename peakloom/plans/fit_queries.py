@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.functions.chemistry import d_spacing, two_theta_of_d
 from peakloom.operators import fitting as Q
 from peakloom.operators import signal as G
 from peakloom.operators.matching import strong_lines
-from peakloom.plans.fixtures import view, with_views
+from peakloom.operators.ranges import range_join
+from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_views
 from peakloom.plans.matching_queries import selected
 
 QUERIES: dict = {}
@@ -27,46 +27,37 @@ def query(name: str, sql: str | None = None):
 
 
 @query("j6_one_to_one")
-def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+def one_to_one(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     """The 42 strongest lines of selected phases against the observed peaks, each peak once."""
     key = F.concat_ws("/", "pattern_id", "entry_id")
-    chosen = selected(spark, sf_dir)
+    chosen = selected(spark, sf_dir, every)
     lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42, None).join(chosen, "entry_id").select(key.alias("key"), F.col("line_rank").alias("rank"), "two_theta")
-    records = view(spark, sf_dir, "obs_peak").join(chosen, "pattern_id").select(key.alias("key"), F.col("peak_id").alias("record"), "two_theta", "fwhm")
+    records = searches(spark, sf_dir, every).join(chosen, "pattern_id").select(key.alias("key"), F.col("peak_id").alias("record"), "two_theta", "fwhm")
     return Q.greedy_matches(lines, records)
 
 
 @query("a11_cell_scales")
-def cell_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.cell_scales(view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "obs_peak"))
-
-
-@query("a12_cell_fit")
-def cell_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of all phases from the angles that their cells give: the fit must return them."""
-    rows = view(spark, sf_dir, "ref_peak").join(view(spark, sf_dir, "ref_phase"), "entry_id").withColumn("t", two_theta_of_d(d_spacing())).where("t IS NOT NULL")
-    system = F.when(F.col("gamma") == 120, "hexagonal").when(F.col("a") != F.col("b"), "orthorhombic").when(F.col("a") != F.col("c"), "tetragonal").otherwise("cubic")
-    lines = rows.select(F.col("entry_id").alias("key"), system.alias("system"), "h", "k", "l", F.col("t").alias("two_theta"), F.col("intensity").alias("weight"))
-    return Q.cell_fit(lines).select("key", "system", *(F.round(c, 4).alias(c) for c in ("a", "b", "c")), "n_lines")
+def cell_scales(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    return Q.cell_scales(view(spark, sf_dir, "ref_peak"), searches(spark, sf_dir, every))
 
 
 @query("a15_joint_scales")
-def joint_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joint_scales(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     """Scales of the selected phases' profiles against the profile of each pattern's observed peaks."""
     lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42).select("entry_id", "two_theta", "intensity")
-    profiles = G.rasterise(lines, 5.0, 0.1, 850, 0.4).join(selected(spark, sf_dir), "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
-    seen = view(spark, sf_dir, "obs_peak").select(F.col("pattern_id").cast("string").alias("entry_id"), "two_theta", F.col("height").alias("intensity"))
+    profiles = G.rasterise(lines, 5.0, 0.1, 850, 0.4).join(selected(spark, sf_dir, every), "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
+    seen = searches(spark, sf_dir, every).select(F.col("pattern_id").cast("string").alias("entry_id"), "two_theta", F.col("height").alias("intensity"))
     target = G.rasterise(seen, 5.0, 0.1, 850, 0.4).select(F.col("entry_id").cast("long").alias("pattern_id"), "g", "y", F.lit(1.0).alias("w"))
     return Q.joint_scales(profiles, target).withColumn("scale", F.round("scale", 6))
 
 
 @query("a4_scale_votes")
-def scale_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scale_votes(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     """Heaviest clusters of the ratios of observed to library scattering vectors, by pattern and selected phase."""
     q = lambda c: F.sin(F.radians(F.col(c) / 2))
-    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 1, 24).join(selected(spark, sf_dir), "entry_id").select("pattern_id", "entry_id", "two_theta", "intensity")
-    seen = view(spark, sf_dir, "obs_peak").select("pattern_id", F.col("two_theta").alias("observed"), "height")
-    pairs = lines.join(seen, "pattern_id").where(F.abs(F.col("observed") - F.col("two_theta")) <= 0.55)
+    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 1, 24).join(selected(spark, sf_dir, every), "entry_id").select("pattern_id", "entry_id", "two_theta", "intensity")
+    seen = searches(spark, sf_dir, every).select("pattern_id", F.col("two_theta").alias("observed"), "height")
+    pairs = range_join(lines, seen, "two_theta", "observed", 0.55, ["pattern_id"])
     votes = pairs.select(F.concat_ws("/", "pattern_id", "entry_id").alias("key"), (q("observed") / q("two_theta")).alias("scale"), (F.col("intensity") * F.col("height") / 1000).alias("weight"))
     return Q.scale_votes(votes.where("scale BETWEEN 0.965 AND 1.035")).select("key", F.round("centre", 6).alias("centre"), F.round("seed_weight", 6).alias("seed_weight"))
 

@@ -1,7 +1,8 @@
 """Views over the driver's tables that stand for phases, library peaks, observed peaks, traces and logs.
 
-The text of a view is common to Spark SQL and DuckDB, but for trace_vec, which has one of each, and obs_peak: the
-queries read all observed peaks of all patterns, the text in the SQL has every 25th pattern and its 80 strongest peaks.
+The text of a view is common to Spark SQL and DuckDB, but for trace_vec, which has one of each. Queries that compare
+patterns with the whole library are searches: they take the patterns whose id is divisible by SEARCH_EVERY, with all their
+observed peaks, against all phases.
 """
 
 from __future__ import annotations
@@ -34,15 +35,13 @@ SELECT CAST(l_partkey AS STRING) AS entry_id,
        CAST(l_linenumber AS INT) AS h, CAST(l_orderkey % 4 AS INT) AS k, CAST(l_suppkey % 5 AS INT) AS l
 FROM lineitem""",
     "obs_peak": """
-SELECT pattern_id, peak_id, two_theta, height, area, fwhm FROM (
-  SELECT o_custkey AS pattern_id,
-         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS INT) AS peak_id,
-         5.0E0 + CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 11500 + o_custkey % 7 - 3 AS DOUBLE) / 100 AS two_theta,
-         CAST(l_quantity AS DOUBLE) * 10 AS height,
-         CAST(l_quantity AS DOUBLE) * (2 + l_linenumber % 3) AS area,
-         0.08E0 + CAST(l_linenumber % 5 AS DOUBLE) * 0.04E0 AS fwhm
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 25 = 0) t
-WHERE peak_id <= 80""",
+SELECT o_custkey AS pattern_id,
+       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS INT) AS peak_id,
+       5.0E0 + CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 11500 + o_custkey % 7 - 3 AS DOUBLE) / 100 AS two_theta,
+       CAST(l_quantity AS DOUBLE) * 10 AS height,
+       CAST(l_quantity AS DOUBLE) * (2 + l_linenumber % 3) AS area,
+       0.08E0 + CAST(l_linenumber % 5 AS DOUBLE) * 0.04E0 AS fwhm
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "trace_week": """
 SELECT g.pattern_id, g.i, 10.0E0 + CAST(g.i AS DOUBLE) / 5 AS x, coalesce(s.y, 0.0E0) AS y FROM
  (SELECT p.pattern_id, w.i FROM (SELECT DISTINCT l_suppkey AS pattern_id FROM lineitem) p CROSS JOIN
@@ -68,14 +67,6 @@ FROM part""",
 SELECT p_partkey AS n, p_name || ' oxide / ' || p_name || '  Ca' || CAST(1 + p_size % 4 AS STRING) || 'O3  ' || CAST(1 + p_size % 60 AS STRING) || '- ' || CAST(1 + p_partkey AS STRING) || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'C' ELSE 'I' END AS record
 FROM part""",
 }
-SPARK_OBS_PEAK = """
-SELECT o_custkey AS pattern_id,
-       CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS INT) AS peak_id,
-       5.0E0 + CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 11500 + o_custkey % 7 - 3 AS DOUBLE) / 100 AS two_theta,
-       CAST(l_quantity AS DOUBLE) * 10 AS height,
-       CAST(l_quantity AS DOUBLE) * (2 + l_linenumber % 3) AS area,
-       0.08E0 + CAST(l_linenumber % 5 AS DOUBLE) * 0.04E0 AS fwhm
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 SPARK_TRACE_VEC = """
 SELECT vec_id, pos AS i, 10.0E0 + pos / 2 AS x, 1000.0E0 * (1.0E0 + CAST(e AS DOUBLE)) AS y
 FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, e"""
@@ -83,7 +74,9 @@ DUCKDB_TRACE_VEC = """
 SELECT vec_id, i - 1 AS i, 10.0 + CAST(i - 1 AS DOUBLE) / 2 AS x, 1000.0::DOUBLE * (1.0::DOUBLE + CAST(embedding[i] AS DOUBLE)) AS y
 FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
 
-SPARK_ONLY = {"obs_peak": SPARK_OBS_PEAK, "trace_vec": SPARK_TRACE_VEC}
+SPARK_ONLY = {"trace_vec": SPARK_TRACE_VEC}
+#: The query set of searches.
+SEARCH_EVERY = 100
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,3 +89,13 @@ def with_views(*names: str) -> str:
     """The WITH clause that defines the named views for DuckDB; further tables may follow after a comma."""
     text = dict(VIEWS, trace_vec=DUCKDB_TRACE_VEC)
     return "WITH " + ", ".join(f"{n} AS ({text[n]})" for n in names)
+
+
+def searches(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """Observed peaks of the patterns that are searched for: those whose id is divisible by `every`."""
+    return view(spark, sf_dir, "obs_peak").where(f"pattern_id % {every} = 0")
+
+
+def with_searches(*names: str) -> str:
+    """with_views(), where obs_peak holds the patterns that are searched for."""
+    return with_views(*names).replace(VIEWS["obs_peak"], f"SELECT * FROM ({VIEWS['obs_peak']}) WHERE pattern_id % {SEARCH_EVERY} = 0")

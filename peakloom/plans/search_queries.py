@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import chemistry as C
 from peakloom.operators import search as S
 from peakloom.operators.ranges import range_join
-from peakloom.plans.fixtures import view, with_views
+from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_searches, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -253,31 +253,35 @@ def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j1_range_join",
-    with_views("ref_peak", "obs_peak") + " SELECT pattern_id, entry_id, count(*) AS n_pairs, count(DISTINCT peak_id) AS n_observed FROM ref_peak r JOIN obs_peak o ON r.two_theta BETWEEN o.two_theta - 0.35::DOUBLE AND o.two_theta + 0.35::DOUBLE GROUP BY pattern_id, entry_id",
+    with_searches("ref_peak", "obs_peak") + " SELECT pattern_id, entry_id, count(*) AS n_pairs, count(DISTINCT peak_id) AS n_observed FROM ref_peak r JOIN obs_peak o ON r.two_theta BETWEEN o.two_theta - 0.35::DOUBLE AND o.two_theta + 0.35::DOUBLE GROUP BY pattern_id, entry_id",
 )
-def peak_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probes = view(spark, sf_dir, "obs_peak").select("pattern_id", "peak_id", F.col("two_theta").alias("position"))
+def peak_range_join(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    probes = searches(spark, sf_dir, every).select("pattern_id", "peak_id", F.col("two_theta").alias("position"))
     pairs = range_join(view(spark, sf_dir, "ref_peak").select("entry_id", "two_theta"), probes, "two_theta", "position", 0.35)
     by_peak = pairs.groupBy("pattern_id", "entry_id", "peak_id").agg(F.count("*").alias("n"))
     return by_peak.groupBy("pattern_id", "entry_id").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_observed"))
 
 
-@query("a1_search_metrics", with_views("ref_peak", "obs_peak") + f", {_RANKED}, {_PLAN}, {_METRICS} SELECT * FROM met")
-def search_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_metrics(S.ranked_library(view(spark, sf_dir, "ref_peak")), S.query_plan(view(spark, sf_dir, "obs_peak")))
+@query("a1_search_metrics", with_searches("ref_peak", "obs_peak") + f", {_RANKED}, {_PLAN}, {_METRICS} SELECT * FROM met")
+def search_metrics(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    return S.search_metrics(S.ranked_library(view(spark, sf_dir, "ref_peak")), S.query_plan(searches(spark, sf_dir, every)))
 
 
-@query(
-    "q2_search_by_peaks",
-    with_views("ref_phase", "ref_peak", "obs_peak") + f""", {_RANKED}, {_PLAN}, {_METRICS},
+#: From the views ref_phase, ref_peak and obs_peak to t, the ranked phases of every pattern.
+SEARCHED = f"""{_RANKED}, {_PLAN}, {_METRICS},
 o AS (SELECT met.*, p.source, p.formula, p.name, p.spacegroup, p.a, p.b, p.c, p.gamma, p.updated_rank, row_number() OVER (PARTITION BY pattern_id ORDER BY strong_anchor_hits DESC, anchor_intensity_support DESC, anchor_hits DESC, weighted_intensity_support DESC, weighted_observed_hits DESC, observed_hits DESC, peak_hits DESC, matched_intensity DESC, best_delta, updated_rank DESC, met.entry_id) AS r FROM met JOIN ref_phase p ON met.entry_id = p.entry_id),
 k AS (SELECT *, concat_ws('|', {NORMAL}, {NORMAL_TEXT}, CAST(round(a, 2) AS VARCHAR), CAST(round(b, 2) AS VARCHAR), CAST(round(c, 2) AS VARCHAR), CAST(gamma AS VARCHAR)) AS key FROM o WHERE r <= 60),
 u AS (SELECT *, row_number() OVER (PARTITION BY pattern_id, key ORDER BY r) AS d FROM k),
-t AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY r) AS rank FROM u WHERE d = 1)
+t AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY r) AS rank FROM u WHERE d = 1)"""
+
+
+@query(
+    "q2_search_by_peaks",
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {SEARCHED}
 SELECT pattern_id, CAST(rank AS INT) AS rank, entry_id, source, formula, strong_anchor_hits, anchor_intensity_support, observed_hits, peak_hits, best_delta FROM t WHERE rank <= 20""",
 )
-def search_by_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.search_by_peaks(view(spark, sf_dir, "obs_peak"), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase"))
+def search_by_peaks(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    rows = S.search_by_peaks(searches(spark, sf_dir, every), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase"))
     return rows.select("pattern_id", "rank", "entry_id", "source", "formula", "strong_anchor_hits", "anchor_intensity_support", "observed_hits", "peak_hits", "best_delta")
 
 
@@ -294,7 +298,7 @@ def top_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("entry_id", F.array_join(F.transform("p", lambda x: x["t"]), ",").alias("top_peaks"))
 
 
-@query("k6_element_order", with_views("ref_phase") + f", e AS (SELECT DISTINCT unnest({ELEMENTS}) AS element FROM ref_phase) SELECT element, list_position(['H','He','Li','Be','B','C','N','O','F','Ne','Na','Mg','Al','Si','P','S','Cl','Ar','K','Ca','Sc','Ti','V','Cr','Mn','Fe','Co','Ni','Cu','Zn'], element) AS z FROM e WHERE element <> 'Ba'")
+@query("k6_element_order", with_views("ref_phase") + f", e AS (SELECT DISTINCT unnest({ELEMENTS}) AS element FROM ref_phase) SELECT element, coalesce(list_position(string_split('{" ".join(C.ELEMENT_ORDER)}', ' '), element), 119) AS z FROM e")
 def element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = view(spark, sf_dir, "ref_phase").select(F.explode(C.formula_elements(F.col("formula"))).alias("element")).distinct()
     return e.select("element", C.element_order(F.col("element")).alias("z")).orderBy("z", "element")

@@ -218,7 +218,7 @@ _PV = "(0.5 / (1 + 4 * pow((5.0::DOUBLE + g * 0.05::DOUBLE - two_theta) / 0.2, 2
 
 @query(
     "j10_rasterise",
-    with_views("ref_peak") + f""", l AS (SELECT * FROM ref_peak WHERE peak_index < 10), h AS (SELECT *, unnest(range(CAST(greatest(ceil((two_theta - 1.0 - 5.0) / 0.05::DOUBLE), 0) AS BIGINT), CAST(least(floor((two_theta + 1.0 - 5.0) / 0.05::DOUBLE), 1699) AS BIGINT) + 1)) AS g FROM l WHERE two_theta <= 91),
+    with_views("ref_peak") + f""", h AS (SELECT *, unnest(range(CAST(greatest(ceil((two_theta - 1.0 - 5.0) / 0.05::DOUBLE), 0) AS BIGINT), CAST(least(floor((two_theta + 1.0 - 5.0) / 0.05::DOUBLE), 1699) AS BIGINT) + 1)) AS g FROM ref_peak WHERE two_theta <= 91),
 y AS (SELECT entry_id, g, sum(intensity * {_PV}) AS y FROM h GROUP BY entry_id, g) SELECT entry_id, g, round(y * 100 / max(y) OVER (PARTITION BY entry_id), 4) AS y FROM y""",
 )
 def rasterise(spark: SparkSession, sf_dir: str) -> DataFrame:

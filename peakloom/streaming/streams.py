@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPERATIONS = "ts timestamp, operation string, status string, elapsed_ms double, correlation string"
@@ -46,9 +46,10 @@ def best_rows(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.groupBy(*keys).agg(F.min_by(F.struct("tier", "payload"), F.struct("tier", "payload")).alias("b")).select(*keys, "b.tier", "b.payload")
 
 
-def fresh(marks: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+def fresh(marks: DataFrame, as_of: str | Column, days: int = 7) -> DataFrame:
     """Search marks (source, query_key, updated_at) younger than `days` at a given time, which is a parameter."""
-    return marks.where(F.col("updated_at") > F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+    now = F.lit(as_of) if isinstance(as_of, str) else as_of
+    return marks.where(F.col("updated_at") > now.cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
 
 
 def expiring_marks(marks: DataFrame, days: int = 7) -> DataFrame:
@@ -77,3 +78,21 @@ def intake(spark: SparkSession, folder: str, checkpoint: str, score: Callable[[D
     schema = "pattern_id long, peak_id int, two_theta double, height double, area double, fwhm double"
     stream = spark.readStream.schema(schema).parquet(folder)
     run_batches(stream, lambda df, n: score(df).write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint)
+
+
+def maintain(spark: SparkSession, folder: str, checkpoint: str, library: str, keep: list[str]) -> None:
+    """Entry records that arrive as JSON files in `folder`, upserted into the library table by batches.
+
+    Every batch writes the next version of the table in a folder of its own, so one that is repeated replaces itself;
+    the newest version below `library` is the table. Rows of a batch keep stored values of `keep` where they have none.
+    """
+    from peakloom.operators.library import upsert
+
+    schema = spark.read.parquet(f"{library}/version=0").schema
+    stream = spark.readStream.schema(schema).json(folder)
+
+    def work(batch: DataFrame, n: int) -> None:
+        old = batch.sparkSession.read.schema(schema).parquet(f"{library}/version={n}")
+        upsert(old, batch, keep, "updated_rank").write.mode("overwrite").parquet(f"{library}/version={n + 1}")
+
+    run_batches(stream, work, checkpoint)

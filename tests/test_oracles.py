@@ -6,10 +6,9 @@ import os
 import duckdb
 import pytest
 
-from peakloom.plans import fit_queries, library_queries, matching_queries, search_queries, signal_queries, stream_queries
+import __spark_entry__
 
-MODULES = (fit_queries, search_queries, matching_queries, signal_queries, library_queries, stream_queries)
-CASES = [(m, name) for m in MODULES for name in m.SQL]
+CASES = [(m, name) for m in __spark_entry__.REFERENCE for name in m.SQL]
 
 
 @pytest.fixture(scope="module")
