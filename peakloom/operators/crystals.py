@@ -151,11 +151,19 @@ def reflections(cells: DataFrame, symops: DataFrame, low: float = 5.0, high: flo
     reach = lambda q: F.when(v > 0, F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(1 / dmin / F.greatest(q, F.lit(1e-12))).cast("int") + 1))).otherwise(most)
     ops = symops.select("entry_id", parse_symop(F.col("op")).alias("m")).where(F.size("m") == 3).groupBy("entry_id").agg(F.collect_set("m").alias("ops"))
     rows = cells.select("entry_id", *CELL, reach(edge("b", "c", "alpha")).alias("hm"), reach(edge("a", "c", "beta")).alias("km"), reach(edge("a", "b", "gamma")).alias("lm")).join(ops, "entry_id")
-    for name in "hkl":
+    # 1/d^2 is a quadratic form of the indices, computed once a phase; of h k l and its opposite only the lesser is listed
+    ca, cb, cg = (F.cos(F.radians(F.col(x))) for x in ("alpha", "beta", "gamma"))
+    bottom = 1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg
+    axis = {"a": (1 - ca * ca) / (F.col("a") * F.col("a")), "b": (1 - cb * cb) / (F.col("b") * F.col("b")), "c": (1 - cg * cg) / (F.col("c") * F.col("c"))}
+    mixed = {"ab": 2 * (ca * cb - cg) / (F.col("a") * F.col("b")), "bc": 2 * (cb * cg - ca) / (F.col("b") * F.col("c")), "ac": 2 * (ca * cg - cb) / (F.col("a") * F.col("c"))}
+    rows = rows.select("entry_id", "hm", "km", "lm", "ops", *((e / bottom).alias(f"q_{n}") for n, e in (axis | mixed).items()))
+    rows = rows.withColumn("h", F.explode(F.sequence(-F.col("hm"), F.lit(0))))
+    for name in "kl":
         rows = rows.withColumn(name, F.explode(F.sequence(-F.col(f"{name}m"), F.col(f"{name}m"))))
-    rows = rows.where("h <> 0 OR k <> 0 OR l <> 0").withColumn("d", d_spacing()).where(F.col("d").between(dmin, dmax))
+    rows = rows.where("h < 0 OR (h = 0 AND k < 0) OR (h = 0 AND k = 0 AND l < 0)")
+    rows = rows.withColumn("q", F.expr("h*h*q_a + k*k*q_b + l*l*q_c + h*k*q_ab + k*l*q_bc + h*l*q_ac")).where("q > 0").withColumn("d", 1 / F.sqrt("q")).where(F.col("d").between(dmin, dmax))
     rows = rows.withColumn("class", F.array_min(hkl_images(F.col("h"), F.col("k"), F.col("l"), F.col("ops"))))
-    best = rows.groupBy("entry_id", "class").agg(F.min(F.struct("h", "k", "l", "d")).alias("r"), F.count("*").alias("multiplicity"))
+    best = rows.groupBy("entry_id", "class").agg(F.min(F.struct("h", "k", "l", "d")).alias("r"), (2 * F.count("*")).alias("multiplicity"))
     return best.select("entry_id", "r.h", "r.k", "r.l", "r.d", two_theta_of_d(F.col("r.d"), wavelength).alias("two_theta"), "multiplicity").where("two_theta IS NOT NULL")
 
 

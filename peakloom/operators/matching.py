@@ -85,6 +85,12 @@ def _centre(hits: Column) -> Column:
     return F.round(_total(hits, lambda x: x["w"] * x["d"]) / F.nullif(_total(hits, lambda x: x["w"]), F.lit(0))).cast("long")
 
 
+def _whole_spread(hits: Column, centre: Column) -> Column:
+    """Weighted mean distance from the centre, rounded to whole millionths of a degree by whole numbers."""
+    off, weight = _total(hits, lambda x: x["w"] * F.abs(x["d"] - centre)), _total(hits, lambda x: x["w"])
+    return F.floor((2 * off + weight) / F.nullif(2 * weight, F.lit(0)))
+
+
 def _spread(hits: Column, centre: Column) -> Column:
     """Weighted mean distance from the centre in degrees."""
     return _total(hits, lambda x: x["w"] * F.abs(x["d"] - centre)) / F.nullif(_total(hits, lambda x: x["w"]), F.lit(0)) / MICRO
@@ -110,7 +116,7 @@ def alignments(peaks: DataFrame, observed: DataFrame, candidates: DataFrame | No
     totals = strong.groupBy("entry_id").agg(F.count("*").alias("total"))
     own = ["pattern_id", "entry_id"]
     rows = line_hits(strong, observed, 0.45, candidates).select(*own, "hits", F.size("hits").cast("long").alias("matched"), _centre(F.col("hits")).alias("zero"))
-    rows = rows.withColumn("score", F.round(_spread(F.col("hits"), F.col("zero")), 6)).join(totals, "entry_id")
+    rows = rows.withColumn("score", _whole_spread(F.col("hits"), F.col("zero")) / MICRO).join(totals, "entry_id")
     fraction, score = F.col("matched") / F.col("total"), F.col("score")
     few, weak = F.col("matched") < 3, (score > 0.18) | (fraction < 0.18)
     kept = F.when(few, 0.0).otherwise(score)
@@ -118,7 +124,7 @@ def alignments(peaks: DataFrame, observed: DataFrame, candidates: DataFrame | No
     penalty = F.when(kept > 0, F.greatest(F.lit(0.15), 1 - F.least(kept / 0.45, F.lit(1.0)))).otherwise(1.0)
     probability = F.least(F.greatest(100 * fraction * penalty * F.least(F.col("matched") / 8.0, F.lit(1.0)), F.lit(0.0)), F.lit(100.0))
     zero = F.when(few | weak, 0.0).otherwise(F.least(F.greatest(F.col("zero") / MICRO, F.lit(-0.5)), F.lit(0.5)))
-    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), F.round(probability, 8).alias("probability"))
+    return rows.select(*own, "matched", "total", F.round(zero, 6).alias("zero_shift"), kept.alias("score"), label.alias("status"), (F.floor(probability * 1e6 + 0.5) / 1e6).alias("probability"))
 
 
 def zero_shifts(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = MatchPolicy(), candidates: DataFrame | None = None) -> DataFrame:
@@ -126,8 +132,10 @@ def zero_shifts(peaks: DataFrame, observed: DataFrame, policy: MatchPolicy = Mat
     strong = strong_lines(peaks, policy.zero_intensity_min, policy.zero_lines, None)
     totals = strong.groupBy("entry_id").agg(F.count("*").alias("total"))
     own = ["pattern_id", "entry_id"]
-    rows = line_hits(strong, observed, policy.zero_tolerance, candidates).where(F.size("hits") >= 3).withColumn("c0", _centre(F.col("hits")))
-    rows = rows.withColumn("near", F.filter("hits", lambda x: F.abs(x["d"] - F.col("c0")) <= round(policy.zero_trim * MICRO)))
+    rows = line_hits(strong, observed, policy.zero_tolerance, candidates).where(F.size("hits") >= 3)
+    # the centre is bound to a variable once: inside the filter it would be computed for every line
+    close = lambda c: F.filter("hits", lambda x: F.abs(x["d"] - c) <= round(policy.zero_trim * MICRO))
+    rows = rows.withColumn("near", F.transform(F.array(_centre(F.col("hits"))), close)[0])
     rows = rows.withColumn("used", F.when(F.size("near") >= 3, F.col("near")).otherwise(F.col("hits"))).withColumn("c", _centre(F.col("used")))
     rows = rows.withColumn("n", F.size("used")).withColumn("residual", _spread(F.col("used"), F.col("c"))).withColumn("mean_w", _total(F.col("used"), lambda x: x["w"]) / F.col("n") / 1000)
     fraction = F.col("n") / F.col("total")

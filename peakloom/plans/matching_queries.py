@@ -69,11 +69,11 @@ def match_scores(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) ->
     "a5_a6_alignment",
     with_searches("ref_peak", "obs_peak") + f""", {_strong(5, 35, True)}, {_near(0.45, '')}, {_WHOLE},
 f AS (SELECT pattern_id, entry_id, count(*) AS matched, CAST(sum(w) AS BIGINT) AS sw, {_CENTRE} AS zero FROM w GROUP BY pattern_id, entry_id),
-s AS (SELECT f.pattern_id, f.entry_id, any_value(matched) AS matched, any_value(zero) AS zero, round(CAST(CAST(sum(w * abs(d - zero)) AS BIGINT) AS DOUBLE) / CAST(any_value(sw) AS DOUBLE) / 1000000, 6) AS score FROM w JOIN f ON w.pattern_id = f.pattern_id AND w.entry_id = f.entry_id GROUP BY f.pattern_id, f.entry_id),
+s AS (SELECT f.pattern_id, f.entry_id, any_value(matched) AS matched, any_value(zero) AS zero, floor(CAST(CAST(sum(w * abs(d - zero)) AS BIGINT) * 2 + any_value(sw) AS DOUBLE) / CAST(2 * any_value(sw) AS DOUBLE)) / 1000000 AS score FROM w JOIN f ON w.pattern_id = f.pattern_id AND w.entry_id = f.entry_id GROUP BY f.pattern_id, f.entry_id),
 t AS (SELECT s.*, total, matched / total AS fr, CASE WHEN matched < 3 THEN 0.0::DOUBLE ELSE score END AS kept, matched < 3 OR score > 0.18 OR matched / total < 0.18 AS weak FROM s JOIN tot ON s.entry_id = tot.entry_id)
 SELECT pattern_id, entry_id, matched, total, round(CASE WHEN weak THEN 0.0::DOUBLE ELSE least(greatest(zero / 1000000, -0.5::DOUBLE), 0.5::DOUBLE) END, 6) AS zero_shift, kept AS score,
   CASE WHEN weak THEN 'weak' WHEN score <= 0.08 AND fr >= 0.3 THEN 'good shift-only' ELSE 'ok shift-only' END AS status,
-  round(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE), 8) AS probability FROM t""",
+  floor(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS probability FROM t""",
 )
 def alignment(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     return M.alignments(*_tables(spark, sf_dir, every))
