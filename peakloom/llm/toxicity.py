@@ -161,33 +161,30 @@ def fit(texts: list[list[str]], labels: list[list[int]], rounds: int = 60, rate:
     for w, n in words.items():
         for t in (*terms(w), "<" + w, ">" + w):
             counts[t] += n
-    names = [t for t, n in sorted(counts.most_common(VOCABULARY)) if n > 1]
+    names = sorted(t for t, n in counts.most_common(VOCABULARY) if n > 1)
+    del counts
     number = {t: i + 1 for i, t in enumerate(names)}  # 0: no weight
-    wide = len(PREFIXES) + 1
     place = {w: i for i, w in enumerate(words)}
-    rows = np.zeros((len(words), wide + 2), np.int32)
-    for w, i in place.items():
-        own = [number.get(t, 0) for t in terms(w)]
-        rows[i, : len(own)] = own
-        rows[i, wide:] = number.get("<" + w, 0), number.get(">" + w, 0)
-    at = np.fromiter((place[w] for text in texts for w in text), np.int64)
+    at = np.fromiter((place[w] for text in texts for w in text), np.int32)
     y = np.array([v for t in labels for v in t], float)
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     head = np.zeros(len(at), bool)
     head[first[:-1][first[:-1] < first[1:]]] = True
-    ids = rows[at]
-    left, right = ids[:, wide].copy(), ids[:, wide + 1].copy()
-    ids[1:, wide], ids[:-1, wide + 1] = left[:-1], right[1:]
-    ids[head, wide] = 0
-    ids[np.append(head[1:], True), wide + 1] = 0
-    wide += 2
+    # a column of term numbers by token for the word, each prefix, and the words to the left and right
+    own_terms = [terms(w) for w in words]
+    columns = [np.array([number.get(t[k], 0) if k < len(t) else 0 for t in own_terms], np.int32)[at] for k in range(len(PREFIXES) + 1)]
+    left, right = (np.array([number.get(mark + w, 0) for w in words], np.int32)[at] for mark in "<>")
+    left, right = np.append(0, left[:-1]).astype(np.int32), np.append(right[1:], 0).astype(np.int32)
+    left[head], right[np.append(head[1:], True)] = 0, 0
+    columns += [left, right]
+    del own_terms, place, words
     own, bias, moves, start = np.zeros(len(names) + 1), -2.0, np.zeros((2, 2)), 0.0
     here, heads = np.flatnonzero(~head), np.flatnonzero(head)  # tokens with and without a left neighbour
     ya, yb = y[here - 1], y[here]
     true = np.stack([(1 - ya) * (1 - yb), (1 - ya) * yb, ya * (1 - yb), ya * yb]).sum(axis=1)
     seen = [np.full(len(own), 1e-2), np.full(1, 1e-2), np.full(4, 1e-2), np.full(1, 1e-2)]
     for _ in range(rounds):
-        emit = bias + own[ids].sum(axis=1)
+        emit = bias + sum(own[c] for c in columns)
         odds, alpha = forward_backward(emit, first, moves, start)
         gap = y - _logistic(odds)
         # pair marginals: left message, move, and all that the right token and what follows say
@@ -196,7 +193,7 @@ def fit(texts: list[list[str]], labels: list[list[int]], rounds: int = 60, rate:
         joint = np.stack([np.full(len(here), m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
         joint = (joint / joint.sum(axis=0)).sum(axis=1)
         steps = [
-            np.bincount(ids.ravel(), np.repeat(gap, wide), len(own)) - ridge * own,
+            sum(np.bincount(c, gap, len(own)) for c in columns) - ridge * own,
             np.array([gap.sum()]),
             true - joint - ridge * moves.ravel(),
             np.array([gap[heads].sum() - ridge * start]),
