@@ -133,11 +133,11 @@ def residual_lines(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY)
     with_searches(*_ALL) + f""", {_SET}, {_FLOORS}, a AS (SELECT *, greatest(0.28::DOUBLE, least(0.85::DOUBLE, greatest(fwhm, 0.18::DOUBLE) * 1.7::DOUBLE)) AS reach FROM obs_peak),
 n AS (SELECT *, greatest(reach, fwhm * 1.25::DOUBLE) AS half FROM a WHERE EXISTS (SELECT 1 FROM st WHERE st.pattern_id = a.pattern_id AND stick BETWEEN a.two_theta - reach AND a.two_theta + reach)),
 m AS (SELECT n.pattern_id, n.peak_id, any_value(two_theta) AS two_theta, any_value(area) AS area, max(target) AS t, max(total) AS c, max(residual) AS r FROM n JOIN cv ON cv.pattern_id = n.pattern_id AND cv.g BETWEEN ceil(round((n.two_theta - half - 5.0::DOUBLE) / 0.1::DOUBLE, 6)) AND floor(round((n.two_theta + half - 5.0::DOUBLE) / 0.1::DOUBLE, 6)) GROUP BY n.pattern_id, n.peak_id)
-SELECT m.pattern_id, peak_id, two_theta, round(greatest(t - c, r, 0), 5) AS height, round(greatest(area * (greatest(t - c, r, 0) / greatest(t, 1e-12)), greatest(t - c, r, 0)), 5) AS area FROM m JOIN fl ON m.pattern_id = fl.pattern_id WHERE greatest(t - c, r, 0) >= df AND greatest(t - c, r, 0) / greatest(t, 1e-12) >= 0.12""",
+SELECT m.pattern_id, peak_id, two_theta, round(greatest(t - c, r, 0), 6) AS height, round(greatest(area * (greatest(t - c, r, 0) / greatest(t, 1e-12)), greatest(t - c, r, 0)), 6) AS area FROM m JOIN fl ON m.pattern_id = fl.pattern_id WHERE greatest(t - c, r, 0) >= df AND greatest(t - c, r, 0) / greatest(t, 1e-12) >= 0.12""",
 )
 def overlap_lines(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     rows = G.overlap_lines(searches(spark, sf_dir, every), _sticks(spark, sf_dir, every), curves(spark, sf_dir, every))
-    return rows.select("pattern_id", "peak_id", "two_theta", F.round("height", 5).alias("height"), F.round("area", 5).alias("area"))
+    return rows.select("pattern_id", "peak_id", "two_theta", F.round("height", 6).alias("height"), F.round("area", 6).alias("area"))
 
 
 @query("k5_gain_positions", with_searches(*_ALL) + f", {_SET}, {_RESIDUAL} SELECT pattern_id, peak_id, two_theta, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY area DESC, peak_id) AS nth FROM rs WHERE two_theta BETWEEN 5 AND 60) WHERE nth <= CASE WHEN pattern_id % 200 = 0 THEN 10 ELSE 12 END")
