@@ -19,14 +19,18 @@ from peakloom.functions import curves as V
 from peakloom.operators.signal import as_arrays, by_x, interpolate, own, resample
 
 ARRAY = "array<double>"
+PEAKS = "array<struct<two_theta:double,height:double,area:double,fwhm:double>>"
+ARROW = {
+    "int": pa.int32(), "double": pa.float64(), "string": pa.string(), ARRAY: pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_()),
+    PEAKS: pa.list_(pa.struct([(n, pa.float64()) for n in ("two_theta", "height", "area", "fwhm")])),
+}
 
 
 def by_trace(traces: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
     """(pattern_id, the columns of schema): kernel(xs, ys) of every row (pattern_id, xs, ys); its result is a dict by column."""
     kind = traces.select("pattern_id").schema[0].dataType.simpleString()
     names = [c.split()[0] for c in schema.split(", ")]
-    plain = {"int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-    types = [plain.get(c.split()[1]) for c in schema.split(", ")]
+    types = [ARROW[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,9 +332,6 @@ def _default_width(x: np.ndarray, y: np.ndarray) -> float:
     return min(max(float(np.median(wide)) * step, 0.05), 0.35) if len(wide) else 0.18
 
 
-PEAKS = "array<struct<two_theta:double,height:double,area:double,fwhm:double>>"
-
-
 def _records(x: np.ndarray, y: np.ndarray, most: int, factor: float, share: float, with_heights: bool) -> list[dict]:
     if len(y) < 5 or y.max() <= 0:
         return []
