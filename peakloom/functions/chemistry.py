@@ -97,8 +97,8 @@ def formula_query_text(query: Column) -> Column:
 
 
 def extract_doi(text: Column) -> Column:
-    """The first DOI, without trailing punctuation."""
-    return F.regexp_replace(F.regexp_extract(_text(text), r"10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+", 0), "[.,;]+$", "")
+    """The first DOI, which begins a word, without trailing punctuation."""
+    return F.regexp_replace(F.regexp_extract(_text(text), r"\b10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+", 0), "[.,;]+$", "")
 
 
 def search_cache_key(mode: Column, query: Column, excluded: Column) -> Column:

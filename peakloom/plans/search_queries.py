@@ -82,9 +82,13 @@ def query_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("entry_id", F.array_join(C.element_query_tokens(F.col("query")), " ").alias("elements"), C.formula_query_text(F.col("query")).alias("formula_text"))
 
 
-@query("f07_extract_doi", """SELECT page_id, regexp_replace(regexp_extract(url || ' doi 10.' || CAST(1000 + page_id AS VARCHAR) || '/ab.' || CAST(page_id AS VARCHAR) || '.,', '10\\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+'), '[.,;]+$', '') AS doi FROM pages""")
+@query("f07_extract_doi", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '10.' || CAST(1000 + page_id AS VARCHAR) || '/ab.' || CAST(page_id AS VARCHAR) WHEN 1 THEN '' ELSE '10.5555/x-' || CAST(page_id AS VARCHAR) || '(a)' END AS doi FROM pages")
 def extract_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("url", F.lit(" doi 10."), (F.col("page_id") + 1000).cast("string"), F.lit("/ab."), F.col("page_id").cast("string"), F.lit(".,"))
+    """DOIs at the end of a sentence, in a longer number or word (none), and in quotes behind one of these."""
+    n, kind = F.col("page_id").cast("string"), F.col("page_id") % 3
+    ended = F.concat(F.lit(" doi 10."), (F.col("page_id") + 1000).cast("string"), F.lit("/ab."), n, F.lit(".,"))
+    inner = F.concat(F.lit(" v110.1234/"), n, F.lit(" x10.1234/"), n)
+    text = F.when(kind == 0, ended).when(kind == 1, inner).otherwise(F.concat(inner, F.lit(" '10.5555/x-"), n, F.lit("(a)' end")))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C.extract_doi(text).alias("doi"))
 
 

@@ -156,12 +156,12 @@ def merge_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "w23_stack_offsets",
     f"""{W}, h AS (SELECT pattern_id, CAST(max(y) AS DOUBLE) AS height FROM trace_week GROUP BY pattern_id)
-SELECT pattern_id, height, round(coalesce(sum(height * 0.4::DOUBLE) OVER (ORDER BY pattern_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS y_offset FROM h""",
+SELECT pattern_id, height, round(coalesce(sum(height * 0.4::DOUBLE) OVER (PARTITION BY pattern_id % 20 ORDER BY pattern_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS y_offset FROM h""",
 )
 def stack_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offsets of stacked traces: the last at 0, each other above the heights of those behind it. A row a pattern of one series."""
+    """Offsets of stacked traces: the last at 0, each other above the heights of those behind it, by series (here the patterns of one remainder)."""
     h = _week(spark, sf_dir).groupBy("pattern_id").agg(F.max("y").alias("height"))
-    behind = Window.orderBy(F.desc("pattern_id")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(F.col("pattern_id") % 20).orderBy(F.desc("pattern_id")).rowsBetween(Window.unboundedPreceding, -1)
     return h.withColumn("y_offset", F.round(F.coalesce(F.sum(F.col("height") * 0.4).over(behind), F.lit(0.0)), 6))
 
 
