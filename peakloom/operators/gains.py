@@ -233,7 +233,7 @@ def line_gains(lines: DataFrame, residual: DataFrame, observed: DataFrame, stick
     the candidate: most if nothing is observed there, less if a stick, the total or any peak explains them.
     """
     tol = min(max(2.4 * fwhm, 0.26), 0.72)
-    strong = ranked_lines(lines, 42).withColumn("w", F.pow(F.greatest(F.col("intensity") / 100, F.lit(0.025)), F.lit(0.55)) / F.sqrt(F.col("rank") + 1))
+    strong = ranked_lines(lines, 42).withColumn("w", F.pow(F.greatest(F.col("intensity") / 100, F.lit(0.025)), F.lit(0.55)) / F.sqrt(F.col("rank") + 1)).persist()
     nth = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("area"), "peak_id"))
     first = residual.withColumn("nth", nth).withColumn("reach", F.greatest(F.lit(tol), F.least(F.lit(0.95), 1.7 * F.col("fwhm"))))
     pairs = range_join(strong.select(*OWN, "peak_index", "two_theta", "rank", "intensity", "w"), first.select("pattern_id", "nth", F.col("two_theta").alias("place"), "area", "reach"), "two_theta", "place", "reach", ["pattern_id"], width=1.5)
@@ -243,7 +243,7 @@ def line_gains(lines: DataFrame, residual: DataFrame, observed: DataFrame, stick
     one = F.struct("nth", delta.alias("delta"), "peak_index", "rank", "intensity", "w", "area", (1 - delta / F.col("reach")).alias("q"))
     packed = pairs.groupBy(*OWN).agg(F.array_sort(F.collect_list(one)).alias("p"))
     take = lambda a, v: F.when(F.exists(a, lambda t: (t["nth"] == v["nth"]) | (t["peak_index"] == v["peak_index"])), a).otherwise(F.array_append(a, v))
-    met = packed.select(*OWN, F.explode(F.aggregate("p", F.expr(f"CAST(array() AS array<struct<{fields}>>)"), take)).alias("m")).select(*OWN, "m.*")
+    met = packed.select(*OWN, F.explode(F.aggregate("p", F.expr(f"CAST(array() AS array<struct<{fields}>>)"), take)).alias("m")).select(*OWN, "m.*").persist()
     areas = first.groupBy("pattern_id").agg(F.sum("area").alias("all"), F.sum(F.when(F.col("nth") <= 14, F.col("area"))).alias("major_all"))
     useful = met.groupBy(*OWN).agg(
         F.sum(F.col("area") * (0.35 + 0.65 * F.col("q"))).alias("useful"), F.sum(F.when(F.col("nth") <= 14, F.col("area")).otherwise(0.0)).alias("major"), F.sum("w").alias("m"),

@@ -215,17 +215,3 @@ def gain_pool(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> Da
     """Candidates of two searches and earlier ones, each once, without scores."""
     parts = (_ranked(spark, sf_dir, every, c) for c in ("rank BETWEEN 3 AND 10", "rank BETWEEN 8 AND 12", "rank BETWEEN 10 AND 15"))
     return G.pooled(*parts).where("gain IS NULL").select(*G.OWN)
-
-
-@query("a23_line_gains")
-def line_gains(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    curve = weighted(spark, sf_dir, every).persist()
-    remaining = G.fit_summary(curve).select("pattern_id", (100 - F.col("fit")).alias("remaining"))
-    return G.line_gains(_lines(spark, sf_dir, every), _residual(spark, sf_dir, every), searches(spark, sf_dir, every), _sticks(spark, sf_dir, every), curve, remaining).withColumn("gain", F.round("gain", 4))
-
-
-@query("q8_gain_rank")
-def gain_rank(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    candidates = _ranked(spark, sf_dir, every, "rank BETWEEN 3 AND 10")
-    curve = weighted(spark, sf_dir, every).persist()
-    return G.gain_rank(candidates, view(spark, sf_dir, "ref_peak"), searches(spark, sf_dir, every), _sticks(spark, sf_dir, every), curve)
