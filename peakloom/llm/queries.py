@@ -11,10 +11,13 @@ from peakloom.llm.html import op8_html
 from peakloom.llm.minhash import OP1_SQL, op1_minhash
 from peakloom.llm.mixing import OP2_SQL, op2_mix
 from peakloom.llm.quality import OP4_SQL, op4_quality
+from peakloom.llm.scoring import op11_interpolation
 from peakloom.llm.secrets import op6_secrets
 from peakloom.llm.suffixes import op3_suffixes
 from peakloom.llm.tokens import op7_tokens
 from peakloom.llm.toxicity import op5_toxicity
+from peakloom.llm.variants import op12_variants
+from peakloom.llm.vectors import OP13_SQL, op13_codes
 from peakloom.llm.warc import OP10_SQL, op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_decontam": op9_decontam,
     "op10_warc": op10_warc,
+    "op11_interpolation": op11_interpolation,
+    "op12_variants": op12_variants,
+    "op13_codes": op13_codes,
 }
-SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_mix": OP2_SQL, "op4_quality": OP4_SQL, "op10_warc": OP10_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op2_mix": OP2_SQL, "op4_quality": OP4_SQL, "op10_warc": OP10_SQL, "op13_codes": OP13_SQL}
