@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.operators.ranges import range_join
+from peakloom.operators.storage import written
 
 
 @dataclass(frozen=True)
@@ -127,13 +128,15 @@ def crystal_key(cell_names: tuple[str, ...] = ("a", "b", "c", "alpha", "beta", "
     return F.when(complete, whole).otherwise(F.concat_ws("|", F.lit("unique"), "source", "entry_id"))
 
 
-def search_by_peaks(observed: DataFrame, peaks: DataFrame, phases: DataFrame, limit: int = 20, policy: SearchPolicy = SearchPolicy()) -> DataFrame:
+def search_by_peaks(observed: DataFrame, peaks: DataFrame, phases: DataFrame, limit: int = 20, policy: SearchPolicy = SearchPolicy(), library: DataFrame | None = None) -> DataFrame:
     """The `limit` best phases of every pattern: preselection, metrics, ten-key order, overfetch, crystallographic dedupe, cut.
 
-    The metrics are computed for the phases that can be among the best; for patterns with few of these, for all.
+    The metrics are computed for the phases that can be among the best; for patterns with few of these, for all. library, if
+    given, is ranked_library(peaks) as a stored table. The plan and the preselection are written once, as both branches read them.
     """
-    library, plan = ranked_library(peaks, policy), query_plan(observed, policy)
-    able = strong_candidates(library, plan, policy.overfetch * limit, policy)
+    library = ranked_library(peaks, policy) if library is None else library
+    plan = written(query_plan(observed, policy))
+    able = written(strong_candidates(library, plan, policy.overfetch * limit, policy))
     chosen = able.where("enough").select("pattern_id", "entry_id")
     rest = plan.join(chosen.select("pattern_id").distinct(), "pattern_id", "left_anti")
     metrics = search_metrics(library, plan, policy, chosen).unionByName(search_metrics(library, rest, policy))

@@ -10,6 +10,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from peakloom.operators.search import ranked_library, search_by_peaks
+from peakloom.operators.storage import stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -99,3 +103,15 @@ def searches(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> Dat
 def with_searches(*names: str) -> str:
     """with_views(), where obs_peak holds the patterns that are searched for."""
     return with_views(*names).replace(VIEWS["obs_peak"], f"SELECT * FROM ({VIEWS['obs_peak']}) WHERE pattern_id % {SEARCH_EVERY} = 0")
+
+
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked library lines, the index of all searches: built once an application, sorted by position within its files."""
+    build = lambda: ranked_library(view(spark, sf_dir, "ref_peak")).sortWithinPartitions("two_theta")
+    return stored(spark, ("library", sf_dir), build)
+
+
+def ranking(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY, most: int = 20) -> DataFrame:
+    """(pattern_id, entry_id, rank and the search's metrics): the phases that the search ranks; searched once an application."""
+    build = lambda: search_by_peaks(searches(spark, sf_dir, every), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase"), library=library(spark, sf_dir))
+    return stored(spark, ("ranking", sf_dir, str(every)), build).where(F.col("rank") <= most)

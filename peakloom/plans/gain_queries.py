@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from peakloom.operators import gains as G
 from peakloom.operators.matching import strong_lines
 from peakloom.operators.signal import rasterise
-from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_searches
-from peakloom.plans.search_queries import SEARCHED, search_by_peaks
+from peakloom.plans.fixtures import SEARCH_EVERY, ranking, searches, view, with_searches
+from peakloom.plans.search_queries import SEARCHED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -30,8 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _ranked(spark: SparkSession, sf_dir: str, every: int, condition: str) -> DataFrame:
-    """Phases by their rank in the search, which is kept: twenty rows a pattern that all parts of a query read again."""
-    return search_by_peaks(spark, sf_dir, every).select("pattern_id", "entry_id", "rank").persist().where(condition).select("pattern_id", "entry_id")
+    """Phases by their rank in the search."""
+    return ranking(spark, sf_dir, every).where(condition).select("pattern_id", "entry_id")
 
 
 def _profile(spark: SparkSession, sf_dir: str, phases: DataFrame) -> DataFrame:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import matching as M
-from peakloom.operators.search import search_by_peaks
-from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_searches, with_views
+from peakloom.plans.fixtures import SEARCH_EVERY, ranking, searches, view, with_searches, with_views
 from peakloom.plans.search_queries import SEARCHED
 
 QUERIES: dict = {}
@@ -24,6 +23,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: The phases that the search ranks for every pattern.
+_SELECTED = f"{SEARCHED}, sel AS (SELECT pattern_id, entry_id FROM t WHERE rank <= 20)"
+
+
 def _strong(least: float, most: int, window: bool) -> str:
     inside = " AND two_theta BETWEEN 5 AND 120" if window else ""
     return f"strong AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY intensity DESC, peak_index) AS line_rank FROM ref_peak WHERE intensity >= {least}{inside}) WHERE line_rank <= {most}), tot AS (SELECT entry_id, count(*) AS total FROM strong GROUP BY entry_id)"
@@ -32,7 +35,7 @@ def _strong(least: float, most: int, window: bool) -> str:
 def _near(tolerance: float, tie: str) -> str:
     return f"""near AS (SELECT * FROM (SELECT o.pattern_id, s.entry_id, s.peak_index, s.intensity, s.two_theta, o.two_theta AS observed, o.two_theta - s.two_theta AS delta,
   row_number() OVER (PARTITION BY o.pattern_id, s.entry_id, s.peak_index ORDER BY round(abs(o.two_theta - s.two_theta), 9), o.two_theta {tie}) AS n
-  FROM strong s JOIN obs_peak o ON s.two_theta BETWEEN o.two_theta - {tolerance}::DOUBLE AND o.two_theta + {tolerance}::DOUBLE) WHERE n = 1)"""
+  FROM sel JOIN strong s ON s.entry_id = sel.entry_id JOIN obs_peak o ON o.pattern_id = sel.pattern_id AND s.two_theta BETWEEN o.two_theta - {tolerance}::DOUBLE AND o.two_theta + {tolerance}::DOUBLE) WHERE n = 1)"""
 
 
 # deltas in millionths of a degree, weights in thousandths
@@ -49,63 +52,61 @@ def strong_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.strong_lines(view(spark, sf_dir, "ref_peak"), 5, 24).select("entry_id", "peak_index", "line_rank")
 
 
-@query("j4_nearest_observed", with_searches("ref_peak", "obs_peak") + f", {_strong(5, 30, False)}, {_near(0.25, '')} SELECT pattern_id, entry_id, peak_index, observed, round(delta, 6) AS delta FROM near")
+@query("j4_nearest_observed", with_searches("ref_phase", "ref_peak", "obs_peak") + f", {_SELECTED}, {_strong(5, 30, False)}, {_near(0.25, '')} SELECT pattern_id, entry_id, peak_index, observed, round(delta, 6) AS delta FROM near")
 def nearest_observed(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     peaks, observed = _tables(spark, sf_dir, every)
-    return M.nearest_observed(M.strong_lines(peaks, 5, 30, None), observed, 0.25).select("pattern_id", "entry_id", "peak_index", "observed", F.round("delta", 6).alias("delta"))
+    return M.nearest_observed(M.strong_lines(peaks, 5, 30, None), observed, 0.25, candidates=selected(spark, sf_dir, every)).select("pattern_id", "entry_id", "peak_index", "observed", F.round("delta", 6).alias("delta"))
 
 
 @query(
     "a2_match_scores",
-    with_searches("ref_peak", "obs_peak") + f""", {_strong(5, 30, False)}, {_near(0.25, 'DESC')},
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {_SELECTED}, {_strong(5, 30, False)}, {_near(0.25, 'DESC')},
 f AS (SELECT pattern_id, entry_id, count(*) AS matched, round(avg(abs(delta)), 6) AS mean_delta FROM near GROUP BY pattern_id, entry_id)
 SELECT pattern_id, f.entry_id, matched, total, round(matched / total, 6) AS coverage, mean_delta, CASE WHEN matched < 2 THEN 'weak' WHEN matched / total >= 0.35 THEN 'good' WHEN matched / total >= 0.18 THEN 'ok' ELSE 'weak' END AS status FROM f JOIN tot ON f.entry_id = tot.entry_id""",
 )
 def match_scores(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return M.match_scores(*_tables(spark, sf_dir, every))
+    return M.match_scores(*_tables(spark, sf_dir, every), candidates=selected(spark, sf_dir, every))
 
 
 @query(
     "a5_a6_alignment",
-    with_searches("ref_peak", "obs_peak") + f""", {_strong(5, 35, True)}, {_near(0.45, '')}, {_WHOLE},
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {_SELECTED}, {_strong(5, 35, True)}, {_near(0.45, '')}, {_WHOLE},
 f AS (SELECT pattern_id, entry_id, count(*) AS matched, CAST(sum(w) AS BIGINT) AS sw, {_CENTRE} AS zero FROM w GROUP BY pattern_id, entry_id),
 s AS (SELECT f.pattern_id, f.entry_id, any_value(matched) AS matched, any_value(zero) AS zero, floor(CAST(CAST(sum(w * abs(d - zero)) AS BIGINT) * 2 + any_value(sw) AS DOUBLE) / CAST(2 * any_value(sw) AS DOUBLE)) / 1000000 AS score FROM w JOIN f ON w.pattern_id = f.pattern_id AND w.entry_id = f.entry_id GROUP BY f.pattern_id, f.entry_id),
-t AS (SELECT s.*, total, matched / total AS fr, CASE WHEN matched < 3 THEN 0.0::DOUBLE ELSE score END AS kept, matched < 3 OR score > 0.18 OR matched / total < 0.18 AS weak FROM s JOIN tot ON s.entry_id = tot.entry_id)
+al AS (SELECT s.*, total, matched / total AS fr, CASE WHEN matched < 3 THEN 0.0::DOUBLE ELSE score END AS kept, matched < 3 OR score > 0.18 OR matched / total < 0.18 AS weak FROM s JOIN tot ON s.entry_id = tot.entry_id)
 SELECT pattern_id, entry_id, matched, total, round(CASE WHEN weak THEN 0.0::DOUBLE ELSE least(greatest(zero / 1000000, -0.5::DOUBLE), 0.5::DOUBLE) END, 6) AS zero_shift, kept AS score,
   CASE WHEN weak THEN 'weak' WHEN score <= 0.08 AND fr >= 0.3 THEN 'good shift-only' ELSE 'ok shift-only' END AS status,
-  floor(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS probability FROM t""",
+  floor(least(greatest(100 * fr * (CASE WHEN kept > 0 THEN greatest(0.15::DOUBLE, 1 - least(kept / 0.45::DOUBLE, 1.0::DOUBLE)) ELSE 1.0::DOUBLE END) * least(matched / 8, 1.0::DOUBLE), 0.0::DOUBLE), 100.0::DOUBLE) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS probability FROM al""",
 )
 def alignment(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return M.alignments(*_tables(spark, sf_dir, every))
+    return M.alignments(*_tables(spark, sf_dir, every), candidates=selected(spark, sf_dir, every))
 
 
 _ZERO = f"""{_strong(8, 25, False)}, {_near(0.4, '')}, {_WHOLE},
 c AS (SELECT pattern_id, entry_id, count(*) AS n0, {_CENTRE} AS c0 FROM w GROUP BY pattern_id, entry_id HAVING count(*) >= 3),
 m AS (SELECT w.*, abs(d - c0) <= 140000 AS close FROM w JOIN c ON w.pattern_id = c.pattern_id AND w.entry_id = c.entry_id),
-k AS (SELECT *, sum(CAST(close AS INT)) OVER (PARTITION BY pattern_id, entry_id) AS n_near FROM m),
-u AS (SELECT * FROM k WHERE close OR n_near < 3),
-u2 AS (SELECT pattern_id, entry_id, count(*) AS nu, CAST(sum(w) AS BIGINT) AS sw, {_CENTRE} AS c FROM u GROUP BY pattern_id, entry_id),
-l AS (SELECT u.pattern_id, u.entry_id, any_value(nu) AS n, any_value(sw) / any_value(nu) / 1000 AS mean_w, any_value(u2.c) AS c, CAST(CAST(sum(w * abs(d - u2.c)) AS BIGINT) AS DOUBLE) / CAST(any_value(sw) AS DOUBLE) / 1000000 AS residual FROM u JOIN u2 ON u.pattern_id = u2.pattern_id AND u.entry_id = u2.entry_id GROUP BY u.pattern_id, u.entry_id),
+zk AS (SELECT *, sum(CAST(close AS INT)) OVER (PARTITION BY pattern_id, entry_id) AS n_near FROM m),
+zu AS (SELECT * FROM zk WHERE close OR n_near < 3),
+u2 AS (SELECT pattern_id, entry_id, count(*) AS nu, CAST(sum(w) AS BIGINT) AS sw, {_CENTRE} AS c FROM zu GROUP BY pattern_id, entry_id),
+l AS (SELECT zu.pattern_id, zu.entry_id, any_value(nu) AS n, any_value(sw) / any_value(nu) / 1000 AS mean_w, any_value(u2.c) AS c, CAST(CAST(sum(w * abs(d - u2.c)) AS BIGINT) AS DOUBLE) / CAST(any_value(sw) AS DOUBLE) / 1000000 AS residual FROM zu JOIN u2 ON zu.pattern_id = u2.pattern_id AND zu.entry_id = u2.entry_id GROUP BY zu.pattern_id, zu.entry_id),
 z AS (SELECT pattern_id, l.entry_id, round(least(greatest(c / 1000000, -0.5::DOUBLE), 0.5::DOUBLE), 6) AS zero, round(residual, 6) AS residual, round(n * (n / total) * mean_w / (residual + 0.03::DOUBLE), 4) AS quality FROM l JOIN tot ON l.entry_id = tot.entry_id WHERE n >= 3 AND n / total >= 0.18 AND round(residual, 9) <= 0.22)"""
 
 
-@query("a8_zero_shifts", with_searches("ref_peak", "obs_peak") + f", {_ZERO} SELECT * FROM z")
+@query("a8_zero_shifts", with_searches("ref_phase", "ref_peak", "obs_peak") + f", {_SELECTED}, {_ZERO} SELECT * FROM z")
 def zero_shifts(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return M.zero_shifts(*_tables(spark, sf_dir, every))
+    return M.zero_shifts(*_tables(spark, sf_dir, every), candidates=selected(spark, sf_dir, every))
 
 
 @query(
     "a9_consensus_zero",
-    with_searches("ref_peak", "obs_peak") + f""", {_ZERO}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY quality DESC, entry_id DESC) AS r FROM z) WHERE r = 1)
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {_SELECTED}, {_ZERO}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY quality DESC, entry_id DESC) AS r FROM z) WHERE r = 1)
 SELECT z.pattern_id, count(*) AS n_phases, round(sum(z.zero * z.quality) / sum(z.quality), 5) AS zero FROM z JOIN b ON z.pattern_id = b.pattern_id
 WHERE round(abs(z.zero - b.zero), 9) <= 0.12 AND z.residual <= greatest(0.16::DOUBLE, b.residual + 0.08::DOUBLE) GROUP BY z.pattern_id""",
 )
 def consensus_zero(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return M.consensus_zero(M.zero_shifts(*_tables(spark, sf_dir, every)))
+    return M.consensus_zero(M.zero_shifts(*_tables(spark, sf_dir, every), candidates=selected(spark, sf_dir, every)))
 
 
-#: The phases that the search ranks for every pattern.
-_SELECTED = f"{SEARCHED}, sel AS (SELECT pattern_id, entry_id FROM t WHERE rank <= 20)"
 _ASSIGNED = f"""{_SELECTED},
 asg AS (SELECT * FROM (SELECT o.pattern_id, o.peak_id, r.entry_id, r.peak_index, r.two_theta, o.two_theta AS observed, row_number() OVER (PARTITION BY o.pattern_id, o.peak_id, r.entry_id ORDER BY round(abs(o.two_theta - r.two_theta), 9), r.two_theta, r.peak_index) AS n
   FROM (SELECT *, greatest(0.3::DOUBLE, least(0.75::DOUBLE, greatest(0.12::DOUBLE, 1.35::DOUBLE * fwhm))) AS reach FROM obs_peak) o JOIN sel s ON o.pattern_id = s.pattern_id JOIN ref_peak r ON r.entry_id = s.entry_id AND r.intensity >= 5 AND r.two_theta BETWEEN o.two_theta - reach AND o.two_theta + reach) WHERE n = 1)"""
@@ -113,7 +114,7 @@ asg AS (SELECT * FROM (SELECT o.pattern_id, o.peak_id, r.entry_id, r.peak_index,
 
 def selected(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     """The phases that the peak search ranks for every pattern."""
-    return search_by_peaks(searches(spark, sf_dir, every), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase")).select("pattern_id", "entry_id")
+    return ranking(spark, sf_dir, every).select("pattern_id", "entry_id")
 
 
 @query("j5_assignments", with_searches("ref_phase", "ref_peak", "obs_peak") + f", {_ASSIGNED} SELECT pattern_id, peak_id, entry_id, peak_index, two_theta, observed FROM asg")

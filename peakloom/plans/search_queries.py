@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import chemistry as C
 from peakloom.operators import search as S
 from peakloom.operators.ranges import range_join
-from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_searches, with_views
+from peakloom.plans.fixtures import SEARCH_EVERY, library, ranking, searches, view, with_searches, with_views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -255,28 +255,31 @@ def query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.query_plan(view(spark, sf_dir, "obs_peak")).withColumn("query_weight", F.round("query_weight", 6))
 
 
+#: From the views ref_phase, ref_peak and obs_peak to t, the ranked phases of every pattern.
+SEARCHED = f"""{_RANKED}, {_PLAN}, {_METRICS},
+o AS (SELECT met.*, p.source, p.formula, p.name, p.spacegroup, p.a, p.b, p.c, p.gamma, p.updated_rank, row_number() OVER (PARTITION BY pattern_id ORDER BY strong_anchor_hits DESC, anchor_intensity_support DESC, anchor_hits DESC, weighted_intensity_support DESC, weighted_observed_hits DESC, observed_hits DESC, peak_hits DESC, matched_intensity DESC, best_delta, updated_rank DESC, met.entry_id) AS r FROM met JOIN ref_phase p ON met.entry_id = p.entry_id),
+k AS (SELECT *, concat_ws('|', {NORMAL}, {NORMAL_TEXT}, CAST(round(a, 2) AS VARCHAR), CAST(round(b, 2) AS VARCHAR), CAST(round(c, 2) AS VARCHAR), CAST(gamma AS VARCHAR)) AS key FROM o WHERE r <= 60),
+u AS (SELECT *, row_number() OVER (PARTITION BY pattern_id, key ORDER BY r) AS d FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY r) AS rank FROM u WHERE d = 1)"""
+
+
 @query(
     "j1_range_join",
-    with_searches("ref_peak", "obs_peak") + " SELECT pattern_id, entry_id, count(*) AS n_pairs, count(DISTINCT peak_id) AS n_observed FROM ref_peak r JOIN obs_peak o ON r.two_theta BETWEEN o.two_theta - 0.35::DOUBLE AND o.two_theta + 0.35::DOUBLE GROUP BY pattern_id, entry_id",
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f", {SEARCHED} SELECT o.pattern_id, r.entry_id, count(*) AS n_pairs, count(DISTINCT peak_id) AS n_observed FROM t JOIN ref_peak r ON r.entry_id = t.entry_id JOIN obs_peak o ON o.pattern_id = t.pattern_id AND r.two_theta BETWEEN o.two_theta - 0.35::DOUBLE AND o.two_theta + 0.35::DOUBLE WHERE rank <= 20 GROUP BY o.pattern_id, r.entry_id",
 )
 def peak_range_join(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """Pairs of lines and observed peaks of the phases that the search ranks."""
     probes = searches(spark, sf_dir, every).select("pattern_id", "peak_id", F.col("two_theta").alias("position"))
-    pairs = range_join(view(spark, sf_dir, "ref_peak").select("entry_id", "two_theta"), probes, "two_theta", "position", 0.35)
-    by_peak = pairs.groupBy("pattern_id", "entry_id", "peak_id").agg(F.count("*").alias("n"))
+    lines = view(spark, sf_dir, "ref_peak").select("entry_id", "two_theta").join(ranking(spark, sf_dir, every).select("pattern_id", "entry_id"), "entry_id")
+    by_peak = range_join(lines, probes, "two_theta", "position", 0.35, ["pattern_id"]).groupBy("pattern_id", "entry_id", "peak_id").agg(F.count("*").alias("n"))
     return by_peak.groupBy("pattern_id", "entry_id").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_observed"))
 
 
-@query("a1_search_metrics", with_searches("ref_peak", "obs_peak") + f", {_RANKED}, {_PLAN}, {_METRICS} SELECT * FROM met")
+@query("a1_search_metrics", with_searches("ref_phase", "ref_peak", "obs_peak") + f", {SEARCHED} SELECT met.* FROM met JOIN t USING (pattern_id, entry_id) WHERE rank <= 20")
 def search_metrics(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return S.search_metrics(S.ranked_library(view(spark, sf_dir, "ref_peak")), S.query_plan(searches(spark, sf_dir, every)))
-
-
-#: From the views ref_phase, ref_peak and obs_peak to t, the ranked phases of every pattern.
-SEARCHED = f"""{_RANKED}, {_PLAN}, {_METRICS},
-o AS (SELECT met.*, p.source, p.formula, p.name, p.spacegroup, p.a, p.b, p.c, p.gamma, p.updated_rank, row_number() OVER (PARTITION BY pattern_id ORDER BY strong_anchor_hits DESC, anchor_intensity_support DESC, anchor_hits DESC, weighted_intensity_support DESC, weighted_observed_hits DESC, observed_hits DESC, peak_hits DESC, matched_intensity DESC, best_delta, updated_rank DESC, met.entry_id) AS r FROM met JOIN ref_phase p ON met.entry_id = p.entry_id),
-k AS (SELECT *, concat_ws('|', {NORMAL}, {NORMAL_TEXT}, CAST(round(a, 2) AS VARCHAR), CAST(round(b, 2) AS VARCHAR), CAST(round(c, 2) AS VARCHAR), CAST(gamma AS VARCHAR)) AS key FROM o WHERE r <= 60),
-u AS (SELECT *, row_number() OVER (PARTITION BY pattern_id, key ORDER BY r) AS d FROM k),
-t AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY r) AS rank FROM u WHERE d = 1)"""
+    """Metrics of the phases that the search ranks."""
+    plan, chosen = S.query_plan(searches(spark, sf_dir, every)), ranking(spark, sf_dir, every).select("pattern_id", "entry_id")
+    return S.search_metrics(library(spark, sf_dir), plan, candidates=chosen)
 
 
 @query(
@@ -285,8 +288,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY r) AS rank F
 SELECT pattern_id, CAST(rank AS INT) AS rank, entry_id, source, formula, strong_anchor_hits, anchor_intensity_support, observed_hits, peak_hits, best_delta FROM t WHERE rank <= 20""",
 )
 def search_by_peaks(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    rows = S.search_by_peaks(searches(spark, sf_dir, every), view(spark, sf_dir, "ref_peak"), view(spark, sf_dir, "ref_phase"))
-    return rows.select("pattern_id", "rank", "entry_id", "source", "formula", "strong_anchor_hits", "anchor_intensity_support", "observed_hits", "peak_hits", "best_delta")
+    return ranking(spark, sf_dir, every).select("pattern_id", "rank", "entry_id", "source", "formula", "strong_anchor_hits", "anchor_intensity_support", "observed_hits", "peak_hits", "best_delta")
 
 
 @query(
