@@ -12,6 +12,7 @@ from peakloom.functions.scattering import atomic_weight, debye_waller, scatterin
 from peakloom.operators.fitting import cell_fit
 from peakloom.operators.library import expand_atoms, parse_symop
 from peakloom.operators.ranges import nearest, range_join
+from peakloom.operators.storage import written
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 
@@ -197,9 +198,9 @@ def structure_factors(hkl: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def scaled_intensities(lines: DataFrame, least: float = 0.5) -> DataFrame:
-    """Adds intensity, the strongest of a phase at 100; lines below `least` go."""
+    """Adds intensity, the strongest of a phase at 100; lines below `least`, after rounding to four digits, go."""
     top = F.max("raw_intensity").over(Window.partitionBy("entry_id"))
-    return lines.where("raw_intensity > 1e-8").withColumn("intensity", 100 * F.col("raw_intensity") / top).where(F.col("intensity") >= least)
+    return lines.where("raw_intensity > 1e-8").withColumn("intensity", 100 * F.col("raw_intensity") / top).where(F.round("intensity", 4) >= least)
 
 
 def merged_lines(lines: DataFrame, gap: float = 0.035) -> DataFrame:
@@ -301,7 +302,8 @@ def refined_cells(matches: DataFrame, cells: DataFrame, observed: DataFrame) ->
         lines = rows.join(cells.select("entry_id", "system"), "entry_id").select(key.alias("key"), "system", "h", "k", "l", F.col("angle").alias("two_theta"), "weight")
         return cell_fit(lines)
 
-    first = fitted(kept).where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
+    kept = written(kept)
+    first = written(fitted(kept)).where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL")
     moved = first.select(F.substring_index("key", "/", -1).alias("entry_id"), F.substring_index("key", "/", 1).alias("pattern"), "a", "b", "c").join(cells.select("entry_id", "alpha", "beta", "gamma"), "entry_id")
     checked = kept.withColumn("pattern", F.col("pattern_id").cast("string")).join(moved, ["entry_id", "pattern"])
     calculated = two_theta_of_d(d_spacing())

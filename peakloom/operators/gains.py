@@ -267,7 +267,7 @@ def line_gains(lines: DataFrame, residual: DataFrame, observed: DataFrame, stick
     )
     sizes = strong.groupBy(*OWN).agg(F.count("*").alias("n"), F.sum(F.when(F.col("rank") < 12, F.col("w")).otherwise(0.0)).alias("top_w"), F.sum((F.col("rank") < 12).cast("int")).alias("checked"))
     rows = sizes.join(useful, OWN).join(against, OWN, "left").join(coherence(met), OWN, "left").join(areas, "pattern_id").join(remaining, "pattern_id")
-    rows = rows.na.fill(0.0, ["absent", "repeated", "only"]).na.fill(0, ["absent_top"]).na.fill(0.10, ["coherence"])
+    rows = rows.na.fill(0.0, ["absent", "repeated", "only"]).na.fill(0, ["absent_top"]).na.fill(0.0, ["coherence"])
     coverage, major = F.col("useful") / F.greatest("all", F.lit(1e-12)), F.col("major") / F.greatest("major_all", F.lit(1e-12))
     support = F.col("m") / (F.col("m") + 3.4 * F.col("absent") + 1.6 * F.col("repeated") + F.col("only"))
     anchor = F.col("m_top") / F.greatest("top_w", F.lit(1e-12))

@@ -1,46 +1,38 @@
 """Preparation of whole traces: features, smoothing plans, backgrounds, decompositions, peaks, training records.
 
-A trace of a few thousand points is one row of arrays (as_arrays()); Spark deals the rows, and a kernel of numpy steps
-works on each. Nothing passes from one trace to another, so the job grows with the number of traces alone. Patterns of
-fewer than five points have no peaks, a flat background and plan 1.
+A trace of a few thousand points is one row of arrays (pattern_id, xs, ys), see as_arrays(); all steps are column
+expressions on them (functions/arrays.py), as their windows differ by trace. Only the small least-squares fit of a series
+through some ninety nodes runs in a grouped map. Nothing passes from one trace to another, so the job grows with the number of
+traces alone. Patterns of fewer than five points have no peaks, a flat background and plan 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.functions import curves as V
-from peakloom.operators.signal import as_arrays, by_x, interpolate, own, resample
+from peakloom.functions import arrays as A
+from peakloom.functions.arrays import fixed
+from peakloom.operators.signal import as_arrays, by_x, interpolate, own, resample, snip_arrays
 
-ARRAY = "array<double>"
-PEAKS = "array<struct<two_theta:double,height:double,area:double,fwhm:double>>"
-ARROW = {
-    "int": pa.int32(), "double": pa.float64(), "string": pa.string(), ARRAY: pa.list_(pa.float64()), "array<boolean>": pa.list_(pa.bool_()),
-    PEAKS: pa.list_(pa.struct([(n, pa.float64()) for n in ("two_theta", "height", "area", "fwhm")])),
-}
+NO_PEAKS = "CAST(array() AS array<struct<i:int,y:double,prominence:double,width:double>>)"
 
 
-def by_trace(traces: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
-    """(pattern_id, the columns of schema): kernel(xs, ys) of every row (pattern_id, xs, ys); its result is a dict by column."""
-    kind = traces.select("pattern_id").schema[0].dataType.simpleString()
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = [ARROW[c.split()[1]] for c in schema.split(", ")]
+def _div(c: Column, k: int) -> Column:
+    return F.floor(c / k).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                xs, ys = (b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(float) for c in ("xs", "ys"))
-                got = kernel(xs, ys)
-                cols = [pa.array([v.tolist() if isinstance(v, np.ndarray) else v], t) for v, t in zip((got[n] for n in names), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("pattern_id").slice(i, 1), *cols], ["pattern_id", *names])
 
-    return traces.select("pattern_id", "xs", "ys").mapInArrow(run, f"pattern_id {kind}, {schema}")
+def _clip(c: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(c, F.lit(low)), F.lit(high))
+
+
+def described(traces: DataFrame, values: str = "ys") -> DataFrame:
+    """Adds n, step and noise of the values to rows (pattern_id, xs, ys)."""
+    return fixed(traces, n=F.size(values), step=A.median_step(F.col("xs")), noise=A.noise(F.col(values)))
 
 
 def well_formed(trace: DataFrame, least: int = 16) -> DataFrame:
@@ -58,35 +50,51 @@ def signature(trace: DataFrame) -> DataFrame:
 
 # -- features and plans --------------------------------------------------------------------------------------
 
-FEATURES = "points int, step double, span double, noise double, noise_ratio double, peaks int, density double, peak_width double, broad_share double, narrow_share double, slope double, curvature double, hump double, oversmooth_risk double"
-
-
-def _features(x: np.ndarray, y: np.ndarray) -> dict:
-    n = len(y)
-    if n < 3:
-        return dict(points=n, step=0.03, span=1.0, noise=1.0, noise_ratio=1.0, peaks=0, density=0.0, peak_width=0.0, broad_share=0.0, narrow_share=0.0, slope=0.0, curvature=0.0, hump=0.0, oversmooth_risk=1.0)
-    step, noise = V.median_step(x), V.noise_of(y)
-    span = max(float(np.percentile(y, 99) - np.percentile(y, 1)), 1.0)
-    ratio = min(max(noise / span, 0.0), 1.0)
-    rest = np.maximum(y - V.gaussian_filter(y, max(V.odd_points(1.4, step, 9, max(9, n // 3)) / 7.0, 1.0)), 0.0)
-    at, _, wide = V.find_peaks(rest, max(4 * noise, 0.018 * span, 1.0), V.at_step(0.10, step, 3), V.at_step(2.0, step, 5))
-    wide = wide * step
-    length = max(float(x[-1] - x[0]), step)
-    low = V.rank_filter(y, 22, V.odd_points(0.7, step, 9, max(9, n // 4)))
-    base = V.gaussian_filter(low, max(V.odd_points(3.0, step, 21, max(21, n // 2)) / 8.0, 2.0))
-    steep = np.gradient(base)
-    density, narrow = len(at) / max(length / 10, 1.0), float((wide < 0.16).mean()) if len(wide) else 0.0
-    return dict(
-        points=n, step=step, span=span, noise=noise, noise_ratio=ratio, peaks=len(at), density=density, peak_width=float(np.median(wide)) if len(wide) else 0.0,
-        broad_share=float((wide > 0.55).mean()) if len(wide) else 0.0, narrow_share=narrow, slope=float(np.percentile(np.abs(steep), 95)) * length / span,
-        curvature=float(np.percentile(np.abs(np.gradient(steep)), 95)) * length**2 / span, hump=float(np.maximum(base - np.percentile(base, 10), 0).max()) / span,
-        oversmooth_risk=min(max(0.55 * narrow + 0.35 * min(density / 1.4, 1.0) + 0.10 * (1 - ratio), 0.0), 1.0),
-    )
+FEATURES = ("points", "step", "span", "noise", "noise_ratio", "peaks", "density", "peak_width", "broad_share", "narrow_share", "slope", "curvature", "hump", "oversmooth_risk")
 
 
-def features(traces: DataFrame) -> DataFrame:
-    """(pattern_id, the FEATURES) of rows (pattern_id, xs, ys)."""
-    return by_trace(traces, _features, FEATURES)
+@dataclass(frozen=True)
+class FeaturePolicy:
+    """Constants of the signal features (fixed values): widths in degrees, shares of the intensity span."""
+
+    trend: float = 1.4
+    floor: float = 0.7
+    floor_percent: float = 22.0
+    base: float = 3.0
+    prominence_noise: float = 4.0
+    prominence_span: float = 0.018
+    apart: float = 0.10
+    widest: float = 2.0
+    broad: float = 0.55
+    narrow: float = 0.16
+
+
+def features(traces: DataFrame, policy: FeaturePolicy = FeaturePolicy()) -> DataFrame:
+    """(pattern_id, the FEATURES): size and noise of a trace, its peaks above a smooth trend, the shape of its lower support."""
+    p, y, step, n = policy, F.col("ys"), F.col("step"), F.col("n")
+    rows = described(traces)
+    rows = fixed(rows, span=F.greatest(A.quantile(y, 0.99) - A.quantile(y, 0.01), F.lit(1.0)), length=F.greatest(F.element_at("xs", -1) - F.get("xs", 0), step))
+    trend = A.gaussian_filter(y, F.greatest(A.odd_points(p.trend, step, 9, F.greatest(F.lit(9), _div(n, 3))) / 7.0, F.lit(1.0)))
+    low = A.rank_filter(y, p.floor_percent, A.odd_points(p.floor, step, 9, F.greatest(F.lit(9), _div(n, 4))))
+    base = A.gaussian_filter(low, F.greatest(A.odd_points(p.base, step, 21, F.greatest(F.lit(21), _div(n, 2))) / 8.0, F.lit(2.0)))
+    enough = F.size("ys") >= 3
+    rows = fixed(rows.where(enough), rest=F.zip_with("ys", trend, lambda a, b: F.greatest(a - b, F.lit(0.0))), base=base)
+    peaks = A.find_peaks(F.col("rest"), F.greatest(p.prominence_noise * F.col("noise"), p.prominence_span * F.col("span"), F.lit(1.0)), A.points(p.apart, step, 3), A.points(p.widest, step, 5))
+    rows = fixed(rows, wide=F.transform(peaks, lambda k: k["width"] * F.col("step")), steep=A.gradient(F.col("base")))
+    wide, total = F.col("wide"), F.size("wide")
+    share = lambda cond: F.coalesce(F.size(F.filter(wide, cond)) / F.nullif(total, F.lit(0)), F.lit(0.0))
+    upper = lambda c: A.quantile(F.transform(c, lambda v: F.abs(v)), 0.95)
+    density, ratio = total / F.greatest(F.col("length") / 10, F.lit(1.0)), _clip(F.col("noise") / F.col("span"), 0.0, 1.0)
+    narrow = share(lambda w: w < p.narrow)
+    whole = rows.select(
+        "pattern_id", n.alias("points"), "step", "span", "noise", ratio.alias("noise_ratio"), total.alias("peaks"), density.alias("density"), F.coalesce(A.quantile(wide, 0.5), F.lit(0.0)).alias("peak_width"),
+        share(lambda w: w > p.broad).alias("broad_share"), narrow.alias("narrow_share"), (upper(F.col("steep")) * F.col("length") / F.col("span")).alias("slope"),
+        (upper(A.gradient(F.col("steep"))) * F.col("length") * F.col("length") / F.col("span")).alias("curvature"), ((F.array_max("base") - A.quantile(F.col("base"), 0.1)) / F.col("span")).alias("hump"),
+        _clip(0.55 * narrow + 0.35 * F.least(density / 1.4, F.lit(1.0)) + 0.10 * (1 - ratio), 0.0, 1.0).alias("oversmooth_risk"),
+    )
+    least = dict.fromkeys(FEATURES, 0.0) | {"step": 0.03, "span": 1.0, "noise": 1.0, "noise_ratio": 1.0, "oversmooth_risk": 1.0}
+    small = traces.where(~enough).select("pattern_id", F.size("ys").alias("points"), *((F.lit(0) if c == "peaks" else F.lit(least[c])).alias(c) for c in FEATURES[1:]))
+    return whole.unionByName(small)
 
 
 def smoothing_plan() -> list[Column]:
@@ -129,100 +137,188 @@ def selected_profile(found: DataFrame, weights: DataFrame, least: float = 0.42)
 # -- backgrounds ---------------------------------------------------------------------------------------------
 
 
-def _capped(y: np.ndarray, base: np.ndarray, step: float, noise: float) -> np.ndarray:
-    cap = V.rank_filter(y, 62, V.odd_points(0.65, step, 9, max(9, len(y) // 6))) + max(2 * noise, 1.0)
-    return np.maximum(np.minimum(base, cap), 0.0 if y.min() >= 0 else float(np.percentile(y, 0.5)))
-
-
-def _edge_blended(x: np.ndarray, y: np.ndarray, base: np.ndarray, step: float, noise: float) -> np.ndarray:
-    """Towards both ends the baseline passes over into a low percentile of the trace."""
-    if len(y) < 25:
-        return base
-    wide = min(max(0.16 * max(float(x[-1] - x[0]), step), 6.0), 12.0)
-    support = V.gaussian_filter(V.rank_filter(y, 26, V.odd_points(1.2, step, 9, max(9, len(y) // 5))), max(V.odd_points(3.0, step, 21, max(21, len(y) // 3)) / 7.0, 2.0))
-    support = np.minimum(support, y + max(1.5 * noise, 1.0))
-    for inward in (x - x[0], x[-1] - x):
-        t = np.clip(inward / max(wide, step), 0.0, 1.0)
-        share = np.where(inward <= wide, 1.0 - t * t * (3.0 - 2.0 * t), 0.0)
-        base = base * (1.0 - share) + support * share
-    return base
-
-
-def _envelope(x: np.ndarray, y: np.ndarray) -> dict:
-    if len(y) < 5:
-        return {"baseline": np.full(len(y), float(np.min(y)) if len(y) else 0.0)}
-    n, step, noise = len(y), V.median_step(x), V.noise_of(y)
-    small, broad = V.odd_points(0.45, step, 9, max(9, n // 8)), V.odd_points(2.8, step, 31, max(31, n // 2))
-    low = V.rank_filter(y, 18, small)
-    base = V.gaussian_filter(V.rank_filter(y, 32, broad), max(broad / 8.0, 2.0))
-    base = np.minimum(base, V.rank_filter(y, 48, small) + max(1.8 * noise, 1.0))
-    base = np.maximum(base, low - max(2 * noise, 1.0))
-    nodes = V.odd_points(min(21, max(7, broad // 5)), 1.0, 3, 21)
-    base = V.rank_filter(base, 50, nodes)
-    return {"baseline": _capped(y, _edge_blended(x, y, base, step, noise), step, noise)}
-
-
-def envelope(traces: DataFrame) -> DataFrame:
-    """(pattern_id, baseline): the adaptive envelope, a smoothed low percentile under a cap by noise, blended at the edges."""
-    return by_trace(traces, _envelope, f"baseline {ARRAY}")
-
-
-def _chebyshev(x: np.ndarray, y: np.ndarray, degree: int, rounds: int = 8) -> np.ndarray:
-    """A Chebyshev series through binned low percentiles; ends weigh most, nodes above or below the fit less with every round."""
-    n = len(y)
-    if n < 5 or x[-1] <= x[0]:
-        return np.full(n, float(np.percentile(y, 15)) if n else 0.0)
-    unit = lambda v: 2 * (np.asarray(v) - x[0]) / (x[-1] - x[0]) - 1
-    edge, tip = max(8, n // 40), max(5, n // 180)
-    nodes = [(x[0], np.median(y[:tip]), 25.0), (x[:edge].mean(), np.percentile(y[:edge], 55), 8.0)]
-    bins = np.clip(np.searchsorted(np.linspace(x[0], x[-1], min(90, max(18, n // 80)) + 1), x, side="right") - 1, 0, None)
-    nodes += [(x[bins == b].mean(), np.percentile(y[bins == b], 38), 1.0) for b in np.unique(bins[:-1])]
-    nodes += [(x[-edge:].mean(), np.percentile(y[-edge:], 55), 8.0), (x[-1], np.median(y[-tip:]), 25.0)]
-    nx, ny, nw = (np.array(v, float) for v in zip(*nodes, strict=True))
-    basis = np.polynomial.chebyshev.chebvander(unit(nx), min(degree, len(nx) - 2))
-    weight = nw
-    for _ in range(rounds):
-        series = np.linalg.lstsq(basis * weight[:, None], ny * weight, rcond=None)[0]
-        off = ny - basis @ series
+@dataclass(frozen=True)
+class EnvelopePolicy:
+    """Constants of the envelope (fixed values): widths in degrees, percentiles, multiples of the noise."""
+
+    small: float = 0.45
+    broad: float = 2.8
+    floor_percent: float = 18.0
+    broad_percent: float = 32.0
+    cap_percent: float = 48.0
+    floor_noise: float = 2.0
+    cap_noise: float = 1.8
+    edge: float = 1.2
+    edge_percent: float = 26.0
+    edge_smooth: float = 3.0
+    edge_noise: float = 1.5
+    edge_share: float = 0.16
+    edge_least: float = 6.0
+    edge_most: float = 12.0
+    last: float = 0.65
+    last_percent: float = 62.0
+    last_noise: float = 2.0
+
+
+def envelope(traces: DataFrame, values: str = "ys", policy: EnvelopePolicy = EnvelopePolicy()) -> DataFrame:
+    """Adds baseline: a broad low percentile, smoothed, between a floor and a cap of local percentiles, passing over into a
+    local low percentile towards both ends, and nowhere above a last cap."""
+    p, y, n, step, noise = policy, F.col("y_"), F.col("n_"), F.col("step_"), F.col("noise_")
+    most = lambda k, least: F.greatest(F.lit(least), _div(n, k))
+    rows = fixed(traces, y_=F.col(values), n_=F.size(values), step_=A.median_step(F.col("xs")), noise_=A.noise(F.col(values)))
+    rows = fixed(
+        rows, small_=A.odd_points(p.small, step, 9, most(8, 9)), broad_=A.odd_points(p.broad, step, 31, most(2, 31)), margin_=F.greatest(p.cap_noise * noise, F.lit(1.0)),
+        wide_=F.greatest(_clip(p.edge_share * F.greatest(F.element_at("xs", -1) - F.get("xs", 0), step), p.edge_least, p.edge_most), step),
+    )
+    nodes = F.least(F.lit(21), F.greatest(F.lit(7), _div(F.col("broad_"), 5)))
+    rows = fixed(
+        rows, floor_=A.rank_filter(y, p.floor_percent, F.col("small_")), cap_=A.rank_filter(y, p.cap_percent, F.col("small_")),
+        broad_low_=A.gaussian_filter(A.rank_filter(y, p.broad_percent, F.col("broad_")), F.greatest(F.col("broad_") / 8.0, F.lit(2.0))),
+        edge_=A.gaussian_filter(A.rank_filter(y, p.edge_percent, A.odd_points(p.edge, step, 9, most(5, 9))), F.greatest(A.odd_points(p.edge_smooth, step, 21, most(3, 21)) / 7.0, F.lit(2.0))),
+        last_=A.rank_filter(y, p.last_percent, A.odd_points(p.last, step, 9, most(6, 9))), lowest_=F.when(F.array_min("y_") >= 0, 0.0).otherwise(A.quantile(y, 0.005)),
+    )
+    between = F.zip_with(F.zip_with("broad_low_", "cap_", lambda b, c: F.least(b, c + F.col("margin_"))), "floor_", lambda b, f: F.greatest(b, f - F.greatest(p.floor_noise * noise, F.lit(1.0))))
+    rows = fixed(rows, mid_=A.rank_filter(between, 50.0, nodes + 1 - nodes % 2), side_=F.zip_with("edge_", "y_", lambda e, v: F.least(e, v + F.greatest(p.edge_noise * noise, F.lit(1.0)))))
+    x0, x1 = F.get("xs", 0), F.element_at("xs", -1)
+
+    def share(inward: Column) -> Column:
+        t = inward / F.col("wide_")
+        return F.when(t < 1, 1 - t * t * (3 - 2 * t)).otherwise(0.0)
+
+    def blended(x: Column, i: Column) -> Column:
+        left, right, side = share(x - x0), share(x1 - x), F.get("side_", i)
+        first = F.get("mid_", i) * (1 - left) + side * left
+        return F.when(n < 25, F.get("mid_", i)).otherwise(first * (1 - right) + side * right)
+
+    rows = fixed(rows, blend_=F.transform("xs", blended))
+    capped = F.zip_with("blend_", "last_", lambda b, c: F.greatest(F.least(b, c + F.greatest(p.last_noise * noise, F.lit(1.0))), F.col("lowest_")))
+    flat = F.transform("y_", lambda _: F.array_min("y_"))
+    return rows.select(*traces.columns, F.when(n < 5, flat).otherwise(capped).alias("baseline"))
+
+
+@dataclass(frozen=True)
+class SeriesPolicy:
+    """Constants of the robust series (fixed values): nodes, percentiles and weights, limits of distrust."""
+
+    bins: int = 90
+    least_bins: int = 18
+    points_a_bin: int = 80
+    percent: float = 0.38
+    edge_percent: float = 0.55
+    edge_weight: float = 8.0
+    tip_weight: float = 25.0
+    rounds: int = 8
+    above: float = 0.8
+    above_trust: float = 0.35
+    below: float = 2.0
+    below_trust: float = 0.65
+
+
+def series_nodes(traces: DataFrame, keys: list[str], values: str, policy: SeriesPolicy = SeriesPolicy()) -> DataFrame:
+    """(keys, u, v, w, fast): nodes of traces on -1 to 1: a low percentile of each bin, and percentiles of both ends and tips."""
+    p = policy
+    rows = traces.where((F.size(values) >= 5) & (F.element_at("xs", -1) > F.get("xs", 0)))
+    rows = rows.select(*keys, F.size(values).alias("n"), F.get("xs", 0).alias("x0"), F.element_at("xs", -1).alias("x1"), F.posexplode(F.arrays_zip(F.col("xs").alias("x"), F.col(values).alias("y"))).alias("i", "v"))
+    rows = rows.select(*keys, "n", "i", (2 * (F.col("v.x") - F.col("x0")) / (F.col("x1") - F.col("x0")) - 1).alias("u"), F.col("v.y").alias("y"))
+    bins = F.least(F.lit(p.bins), F.greatest(F.lit(p.least_bins), _div(F.col("n"), p.points_a_bin)))
+    quantile = lambda q: F.expr(f"percentile(y, {q})").alias("v")
+    inner = rows.where("u < 1").groupBy(*keys, F.floor((F.col("u") + 1) / 2 * bins).alias("bin")).agg(F.avg("u").alias("u"), quantile(p.percent)).select(*keys, "u", "v", F.lit(1.0).alias("w"), F.lit(False).alias("fast"))
+    edge, tip, i, n = F.greatest(F.lit(8), _div(F.col("n"), 40)), F.greatest(F.lit(5), _div(F.col("n"), 180)), F.col("i"), F.col("n")
+    # a point may belong to several of these
+    part = F.explode(F.filter(F.array(F.when(i < tip, "0tip"), F.when(i < edge, "1edge"), F.when(i >= n - edge, "2edge"), F.when(i >= n - tip, "3tip")), lambda c: c.isNotNull()))
+    ends = rows.withColumn("part", part).groupBy(*keys, "part").agg(F.avg("u").alias("u"), F.expr(f"percentile(y, array(0.5, {p.edge_percent}))").alias("q"))
+    is_tip = F.col("part").endswith("tip")
+    ends = ends.select(
+        *keys, F.when(F.col("part") == "0tip", -1.0).when(F.col("part") == "3tip", 1.0).otherwise(F.col("u")).alias("u"), F.when(is_tip, F.col("q")[0]).otherwise(F.col("q")[1]).alias("v"),
+        F.when(is_tip, p.tip_weight).otherwise(p.edge_weight).alias("w"), is_tip.alias("fast"),
+    )
+    return inner.unionByName(ends)
+
+
+def robust_series(u: np.ndarray, v: np.ndarray, w: np.ndarray, fast: np.ndarray, degree: int, policy: SeriesPolicy = SeriesPolicy()) -> np.ndarray:
+    """Chebyshev coefficients through nodes; those far above or below the fit count less in the next round, fast ones never."""
+    trust = np.ones(len(u))
+    for _ in range(policy.rounds):
+        fit = np.polynomial.Chebyshev.fit(u, v, min(degree, len(u) - 2), domain=[-1, 1], w=w * trust)
+        off = v - fit(u)
         spread = max(1.4826 * float(np.median(np.abs(off))), 1.0)
-        trust = np.select([nw >= 20, off > 0.8 * spread, off < -2 * spread], [1.0, 0.35, 0.65], 1.0)
-        weight = nw * trust
-    return np.polynomial.chebyshev.chebval(unit(x), series)
+        trust = np.where(off > policy.above * spread, policy.above_trust, np.where(off < -policy.below * spread, policy.below_trust, 1.0))
+        trust[fast] = 1.0
+    return fit.coef
+
+
+def fitted_series(traces: DataFrame, keys: list[str], values: str, degrees: tuple[int, ...]) -> DataFrame:
+    """(keys, degree, coefficients) of traces that are long enough; the fit of some ninety nodes runs in a grouped map."""
+    types = ", ".join(f"{k} {traces.schema[k].dataType.simpleString()}" for k in keys)
+
+    def solve(nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values(["u", "w"])
+        u, v, w, fast = (nodes[c].to_numpy() for c in ("u", "v", "w", "fast"))
+        found = [robust_series(u, v, w, fast, d).tolist() for d in degrees]
+        return pd.DataFrame({**{k: [nodes[k].iloc[0]] * len(degrees) for k in keys}, "degree": degrees, "coefficients": found})
+
+    return series_nodes(traces, keys, values).groupBy(*keys).applyInPandas(solve, f"{types}, degree int, coefficients array<double>")
+
+
+def series_values(xs: Column, coefficients: Column) -> Column:
+    """A Chebyshev series over the range of xs, by Clenshaw's recurrence."""
+    x0, x1 = F.get(xs, 0), F.element_at(xs, -1)
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    high = F.reverse(F.slice(coefficients, F.lit(2), F.greatest(F.size(coefficients) - 1, F.lit(0))))
+
+    def at(x: Column) -> Column:
+        u = 2 * (x - x0) / (x1 - x0) - 1
+        end = F.aggregate(high, start, lambda s, c: F.struct((2 * u * s["a"] - s["b"] + c).alias("a"), s["a"].alias("b")), lambda s: F.get(coefficients, 0) + u * s["a"] - s["b"])
+        return end
+
+    return F.transform(xs, at)
+
+
+def with_series(traces: DataFrame, values: str, degree: int, name: str) -> DataFrame:
+    """Adds the robust series through the values under a name; the 15th percentile where a trace is too short for one."""
+    fits = fitted_series(traces, ["pattern_id"], values, (degree,)).select("pattern_id", F.col("coefficients").alias("c_"))
+    rows = traces.join(fits, "pattern_id", "left")
+    level = F.coalesce(A.quantile(F.col(values), 0.15), F.lit(0.0))
+    flat = A.let(level, lambda q: F.transform(values, lambda _: q))
+    return rows.withColumn(name, F.when(F.col("c_").isNull(), flat).otherwise(series_values(F.col("xs"), F.col("c_")))).drop("c_")
 
 
 def chebyshev_baseline(traces: DataFrame, degree: int = 10) -> DataFrame:
     """(pattern_id, baseline): a robust Chebyshev series of the degree."""
-    return by_trace(traces, lambda x, y: {"baseline": _chebyshev(x, y, degree)}, f"baseline {ARRAY}")
+    return with_series(traces, "ys", degree, "baseline").select("pattern_id", "baseline")
 
 
-def _halo(x: np.ndarray, y: np.ndarray, base: np.ndarray, degree: int, support: float, smooth: float) -> np.ndarray:
-    if len(y) < 15:
-        return np.zeros(len(y))
-    step = V.median_step(x)
-    low = V.rank_filter(np.maximum(y - base, 0.0), 8, V.odd_points(support, step, 21, len(y)))
-    return np.maximum(_chebyshev(x, V.gaussian_filter(low, max(smooth / step, 2.0)), min(max(degree, 2), 10)), 0.0)
+def halo_support(rows: DataFrame, support: Column, smooth: Column) -> Column:
+    """The smoothed 8th percentile of what lies above baseline in rows with n and step."""
+    rest = F.zip_with("ys", "baseline", lambda y, b: F.greatest(y - b, F.lit(0.0)))
+    return A.gaussian_filter(A.rank_filter(rest, 8.0, A.odd_points(support, F.col("step"), 21, F.col("n"))), F.greatest(smooth / F.col("step"), F.lit(2.0)))
 
 
 def halo(traces: DataFrame, degree: int = 3, support: float = 7.0, smooth: float = 4.0) -> DataFrame:
-    """(pattern_id, halo): the smooth amorphous share above the envelope."""
-    return by_trace(traces, lambda x, y: {"halo": _halo(x, y, _envelope(x, y)["baseline"], degree, support, smooth)}, f"halo {ARRAY}")
+    """(pattern_id, halo): the smooth amorphous share above the envelope; 0 for traces of fewer than 15 points."""
+    rows = described(envelope(traces))
+    rows = rows.withColumn("low", halo_support(rows, F.lit(support), F.lit(smooth)))
+    rows = with_series(rows.select("pattern_id", "xs", "n", "low"), "low", min(max(degree, 2), 10), "s")
+    return rows.select("pattern_id", F.transform("s", lambda v: F.when(F.col("n") >= 15, F.greatest(v, F.lit(0.0))).otherwise(0.0)).alias("halo"))
 
 
-def _suppressed(x: np.ndarray, y: np.ndarray) -> dict:
-    if len(x) < 12:
-        return {"base": y}
-    step, span = V.median_step(x), max(float(np.percentile(y, 99) - np.percentile(y, 5)), 1.0)
-    at, _, _ = V.find_peaks(y, max(4.5 * V.noise_of(y), 0.025 * span, 1.0), V.at_step(0.10, step, 3))
-    reach = V.at_step(0.36, step, 2)
-    under = (np.abs(np.arange(len(x))[:, None] - at[None, :]) <= reach).any(axis=1) if len(at) else np.zeros(len(x), bool)
-    if (~under).sum() < max(8, int(0.18 * len(x))):
-        return {"base": y}
-    return {"base": np.minimum(np.where(under, np.interp(x, x[~under], y[~under]), y), y)}
+def peak_suppressed(traces: DataFrame, reach: float = 0.36, least_share: float = 0.18) -> DataFrame:
+    """(pattern_id, base): the trace with straight lines under its peaks, never above itself, for the estimate of backgrounds.
 
-
-def peak_suppressed(traces: DataFrame) -> DataFrame:
-    """(pattern_id, base): the trace with straight lines under its peaks, never above itself; for the estimate of backgrounds."""
-    return by_trace(traces, _suppressed, f"base {ARRAY}")
+    A trace of fewer than twelve points, or one that peaks cover nearly whole, stays what it is.
+    """
+    y, step = F.col("ys"), F.col("step")
+    rows = fixed(described(traces), span=F.greatest(A.quantile(y, 0.99) - A.quantile(y, 0.05), F.lit(1.0)), reach=A.points(reach, step, 2))
+    rows = fixed(rows, tops=A.find_peaks(y, F.greatest(4.5 * F.col("noise"), 0.025 * F.col("span"), F.lit(1.0)), A.points(0.10, step, 3)))
+    points = rows.select("pattern_id", "n", F.posexplode(F.arrays_zip(F.col("xs").alias("x"), F.col("ys").alias("y"))).alias("i", "v")).select("pattern_id", "n", "i", "v.x", "v.y")
+    under = rows.select("pattern_id", F.explode("tops").alias("t"), "reach").select("pattern_id", F.explode(F.sequence(F.col("t.i") - F.col("reach"), F.col("t.i") + F.col("reach"))).alias("i")).distinct().withColumn("under", F.lit(True))
+    points = points.join(under, ["pattern_id", "i"], "left").withColumn("free", F.sum(F.when(F.col("under"), 0).otherwise(1)).over(own()))
+    nodes = points.where("under IS NULL").select("pattern_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    filled = interpolate(points, nodes, "line")
+    kept = (F.col("n") < 12) | (F.col("free") < F.greatest(F.lit(8), F.floor(least_share * F.col("n")))) | F.col("under").isNull()
+    filled = filled.withColumn("base", F.when(kept, F.col("y")).otherwise(F.least("line", "y")))
+    packed = filled.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("i", "base"))).alias("p"))
+    return packed.select("pattern_id", F.col("p.base").alias("base"))
 
 
 @dataclass(frozen=True)
@@ -239,123 +335,123 @@ class Profile:
 PROFILES = (Profile(16.0, 5.0, 4.5, 6.0, 4.5), Profile(12.0, 7.0, 3.5, 5.0, 3.8), Profile(9.0, 8.0, 2.8, 4.0, 3.0), Profile(7.0, 10.0, 2.0, 3.2, 2.4))
 
 
-def _artifacts(y: np.ndarray, noise: float) -> np.ndarray:
-    """Points that stand out from the median of five around them."""
-    if len(y) < 7:
-        return np.zeros(len(y), bool)
-    off = np.abs(y - V.rank_filter(y, 50, 5))
-    return off > max(10 * noise, float(np.percentile(off, 99.8)))
-
-
-def _decompose(x: np.ndarray, y: np.ndarray, profile: Profile) -> dict:
-    n = len(y)
-    if n < 5:
-        return dict(background=np.zeros(n), broad=np.zeros(n), crystalline=y, artifacts=np.zeros(n, bool))
-    step, noise = V.median_step(x), V.noise_of(y)
-    bad = _artifacts(y, noise)
-    clean = np.interp(np.arange(n), np.flatnonzero(~bad), y[~bad]) if bad.any() and (~bad).sum() >= 2 else y
-    low = V.rank_filter(clean, min(max(profile.percentile, 1.0), 30.0), V.odd_points(profile.support, step, 41, max(41, 2 * n // 3)))
-    base = V.gaussian_filter(low, max(profile.support_smoothing / step, 3.0))
-    floor = V.rank_filter(clean, 18, V.odd_points(1.2, step, 21, max(21, n // 5)))
-    base = np.maximum(np.minimum(base, floor - 0.4 * noise), float(np.percentile(clean, 0.2)) - 2 * noise)
-    broad = V.gaussian_filter(V.rank_filter(clean - base, 18, V.odd_points(profile.broad_clip, step, 11, max(11, n // 12))), max(profile.broad_smoothing / step, 2.0))
-    broad = np.maximum(broad, 0.0)
-    return dict(background=base, broad=broad, crystalline=clean - base - broad, artifacts=bad)
-
-
-PARTS = f"background {ARRAY}, broad {ARRAY}, crystalline {ARRAY}, artifacts array<boolean>"
-
-
 def decompose(traces: DataFrame, profile: Profile = PROFILES[1]) -> DataFrame:
     """(pattern_id, background, broad, crystalline, artifacts): instrument background, broad scattering, sharp signal, outliers.
 
-    The exponential branch of low angles is not among them; the three curves add up to the trace without its outliers.
+    Outliers stand out from the median of five points around them and are bridged; the exponential branch of low angles is
+    not among the backgrounds. The three curves add up to the bridged trace; traces of fewer than five points are all sharp.
     """
-    return by_trace(traces, lambda x, y: _decompose(x, y, profile), PARTS)
-
-
-def _curvature(v: np.ndarray, span: float) -> float:
-    return float(np.percentile(np.abs(np.diff(v, 2)), 95)) / span if len(v) > 2 else 0.0
+    p, y, n, step, noise = profile, F.col("ys"), F.col("n"), F.col("step"), F.col("noise")
+    rows = fixed(described(traces), off=F.zip_with("ys", A.rank_filter(y, 50.0, F.lit(5)), lambda a, b: F.abs(a - b)))
+    rows = fixed(rows, limit=F.greatest(10 * noise, A.quantile(F.col("off"), 0.998)))
+    rows = fixed(rows, bad=F.transform("off", lambda v: (n >= 7) & (v > F.col("limit"))))
+    rows = fixed(rows, good=F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.get("bad", i)))
+
+    def bridged(v: Column, i: Column) -> Column:
+        left, right = F.array_max(F.filter("good", lambda g: g < i)), F.array_min(F.filter("good", lambda g: g > i))
+        line = lambda e: F.get(y, e["a"]) + (F.get(y, e["b"]) - F.get(y, e["a"])) * (i - e["a"]) / F.greatest(e["b"] - e["a"], F.lit(1))
+        return F.when(F.get("bad", i) & (F.size("good") >= 2), A.let(F.struct(F.coalesce(left, right).alias("a"), F.coalesce(right, left).alias("b")), line)).otherwise(v)
+
+    rows = fixed(rows, clean=F.transform(y, bridged))
+    clean = F.col("clean")
+    low = A.rank_filter(clean, min(max(p.percentile, 1.0), 30.0), A.odd_points(p.support, step, 41, F.greatest(F.lit(41), _div(2 * n, 3))))
+    rows = fixed(rows, base=A.gaussian_filter(low, F.greatest(p.support_smoothing / step, F.lit(3.0))), floor=A.rank_filter(clean, 18.0, A.odd_points(1.2, step, 21, F.greatest(F.lit(21), _div(n, 5)))), bound=A.quantile(clean, 0.002) - 2 * noise)
+    rows = fixed(rows, background=F.zip_with("base", "floor", lambda b, f: F.greatest(F.least(b, f - 0.4 * noise), F.col("bound"))))
+    above = F.zip_with("clean", "background", lambda a, b: a - b)
+    smooth = A.gaussian_filter(A.rank_filter(above, 18.0, A.odd_points(p.broad_clip, step, 11, F.greatest(F.lit(11), _div(n, 12)))), F.greatest(p.broad_smoothing / step, F.lit(2.0)))
+    rows = fixed(rows, broad=F.transform(smooth, lambda v: F.greatest(v, F.lit(0.0))))
+    short, zero = n < 5, F.transform(y, lambda _: F.lit(0.0))
+    sharp = F.zip_with(F.zip_with("clean", "background", lambda a, b: a - b), "broad", lambda a, b: a - b)
+    return rows.select(
+        "pattern_id", F.when(short, zero).otherwise(F.col("background")).alias("background"), F.when(short, zero).otherwise(F.col("broad")).alias("broad"),
+        F.when(short, y).otherwise(sharp).alias("crystalline"), F.col("bad").alias("artifacts"),
+    )
 
 
 #: Backgrounds that are tried, and degrees, supports and smoothings of the halo on top (fixed values).
-TRIAL_BASES = ("snip", "node", "envelope")
+TRIAL_BASES = ("snip", "series", "envelope")
 TRIAL_DEGREES, TRIAL_SCALES = (2, 3, 4, 5), ((5.0, 3.0), (7.0, 4.0), (9.0, 5.0))
 
 
-def _base(x: np.ndarray, y: np.ndarray, name: str) -> np.ndarray:
-    if name == "envelope":
-        return _envelope(x, y)["baseline"]
-    if name == "node":
-        return _chebyshev(x, y, 6)
-    v = y.copy()
-    for m in range(1, min(24, (len(y) - 1) // 2) + 1):
-        v[m:-m] = np.minimum(v[m:-m], (v[: -2 * m] + v[2 * m :]) / 2)
-    return v
-
-
-def _choose(x: np.ndarray, y: np.ndarray) -> dict:
-    n = len(y)
-    if n < 15:
-        return dict(base="envelope", degree=2, support=5.0, smoothing=2.5, score=float("inf"), baseline=np.zeros(n))
-    step, noise, span = V.median_step(x), V.noise_of(y), max(float(np.percentile(y, 99) - np.percentile(y, 1)), 1.0)
-    floor = V.gaussian_filter(V.rank_filter(y, 12, V.odd_points(1.2, step, 5, n)), max(0.6 / step, 2.0))
-    broad = V.gaussian_filter(V.rank_filter(y, 18, V.odd_points(5.0, step, 5, n)), max(2.0 / step, 2.0))
-    edge, best = max(5, n // 12), None
-    for k, name in enumerate(TRIAL_BASES):
-        base = _base(x, y, name)
-        own_cost = 2.2 * float(np.median(np.abs(base - floor))) + 2.5 * (abs(float(np.median((base - floor)[:edge]))) + abs(float(np.median((base - floor)[-edge:])))) / 2
-        for degree in TRIAL_DEGREES:
-            for support, smooth in TRIAL_SCALES:
-                whole = base + _halo(x, y, base, degree, support, smooth)
-                cost = own_cost + 1.5 * float(np.median(np.abs(whole - broad))) + 8.0 * float(np.maximum(whole - y - noise, 0).mean())
-                score = cost / span + 0.8 * _curvature(whole, span) + 0.003 * k + 0.006 * (degree - 2)
-                if best is None or score < best["score"]:
-                    best = dict(base=name, degree=degree, support=support, smoothing=smooth, score=score, baseline=whole)
-    return best
-
-
 def choose_background(traces: DataFrame) -> DataFrame:
-    """(pattern_id, base, degree, support, smoothing, score, baseline): of all trials, the background of least objective, the first of equals."""
-    return by_trace(traces, _choose, f"base string, degree int, support double, smoothing double, score double, baseline {ARRAY}")
+    """(pattern_id, base, degree, support, smoothing, score, baseline): of all trials, the background of least objective, the first of equals.
+
+    A trial is a base curve with a halo on top: a row a trace, base and scale. The bases are SNIP, a series of degree 6 and the
+    envelope. Traces of fewer than 15 points are left out.
+    """
+    long = described(traces.where(F.size("ys") >= 15))
+    y, step, n, noise = F.col("ys"), F.col("step"), F.col("n"), F.col("noise")
+    smooth = lambda percent, width, sigma: A.gaussian_filter(A.rank_filter(y, percent, A.odd_points(width, step, 5, n)), F.greatest(sigma / step, F.lit(2.0)))
+    rows = fixed(long, span=F.greatest(A.quantile(y, 0.99) - A.quantile(y, 0.01), F.lit(1.0)), floor=smooth(12.0, 1.2, 0.6), support_curve=smooth(18.0, 5.0, 2.0), edge=F.greatest(F.lit(5), _div(n, 12)))
+    bases = {
+        "snip": rows.withColumn("baseline", snip_arrays(y, 24)), "series": with_series(rows, "ys", 6, "baseline"), "envelope": envelope(rows),
+    }
+    every = None
+    for k, name in enumerate(TRIAL_BASES):
+        one = bases[name].withColumn("k", F.lit(k)).withColumn("base", F.lit(name))
+        every = one if every is None else every.unionByName(one)
+    median = lambda a: A.quantile(a, 0.5)
+    gap = F.zip_with("baseline", "floor", lambda b, f: b - f)
+    every = fixed(every, gap=gap)
+    ends = (F.abs(median(F.slice("gap", F.lit(1), F.col("edge")))) + F.abs(median(F.slice("gap", n - F.col("edge") + 1, F.col("edge"))))) / 2
+    every = fixed(every, own_cost=2.2 * median(F.transform("gap", lambda v: F.abs(v))) + 2.5 * ends)
+    scales = F.explode(F.array(*(F.struct(F.lit(a).alias("support"), F.lit(b).alias("smoothing")) for a, b in TRIAL_SCALES)))
+    trials = every.withColumn("scale", scales).select("*", "scale.*").drop("scale")
+    trials = trials.withColumn("low", halo_support(trials, F.col("support"), F.col("smoothing")))
+    keys = ["pattern_id", "k", "support"]
+    trials = trials.join(fitted_series(trials, keys, "low", TRIAL_DEGREES), keys)
+    trials = fixed(trials, total=F.zip_with("baseline", series_values(F.col("xs"), F.col("coefficients")), lambda b, h: b + F.greatest(h, F.lit(0.0))))
+    over = F.aggregate(F.zip_with("total", "ys", lambda t, v: F.greatest(t - v - noise, F.lit(0.0))), F.lit(0.0), lambda a, v: a + v) / n
+    bent = A.quantile(F.transform(A.differences(A.differences(F.col("total"))), lambda v: F.abs(v)), 0.95) / F.col("span")
+    cost = F.col("own_cost") + 1.5 * median(F.zip_with("total", "support_curve", lambda t, b: F.abs(t - b))) + 8.0 * over
+    trials = trials.withColumn("score", cost / F.col("span") + 0.8 * bent + 0.003 * F.col("k") + 0.006 * (F.col("degree") - 2))
+    best = F.min_by(F.struct("base", "degree", "support", "smoothing", "score", F.col("total").alias("baseline")), F.struct(F.round("score", 9), "k", "degree", "support"))
+    return trials.groupBy("pattern_id").agg(best.alias("b")).select("pattern_id", "b.*")
 
 
 # -- peaks ---------------------------------------------------------------------------------------------------
 
 
-def _default_width(x: np.ndarray, y: np.ndarray) -> float:
-    """Median width of clear peaks, 0.18 without any."""
-    if len(x) < 5 or y.max() <= 0:
-        return 0.18
-    step = V.median_step(x)
-    _, _, wide = V.find_peaks(y, max(5 * V.noise_of(y), 0.04 * float(np.percentile(y, 95)), 1.0), V.at_step(0.11, step, 3), V.at_step(1.4, step, 5))
-    return min(max(float(np.median(wide)) * step, 0.05), 0.35) if len(wide) else 0.18
+def default_width(traces: DataFrame, values: str = "ys") -> DataFrame:
+    """Adds width: the median width of clear peaks of corrected traces, between 0.05 and 0.35; 0.18 without any."""
+    y, step = F.col("v_"), F.col("s_")
+    rows = fixed(traces, v_=F.col(values), s_=A.median_step(F.col("xs")), e_=A.noise(F.col(values)))
+    high = F.greatest(5 * F.col("e_"), 0.04 * A.quantile(y, 0.95), F.lit(1.0))
+    peaks = F.when((F.size(y) >= 5) & (F.array_max(y) > 0), A.find_peaks(y, high, A.points(0.11, step, 3), A.points(1.4, step, 5))).otherwise(F.expr(NO_PEAKS))
+    rows = fixed(rows, w_=A.quantile(F.transform(peaks, lambda k: k["width"]), 0.5))
+    return rows.select(*traces.columns, F.coalesce(_clip(F.col("w_") * step, 0.05, 0.35), F.lit(0.18)).alias("width"))
 
 
-def _records(x: np.ndarray, y: np.ndarray, most: int, factor: float, share: float, with_heights: bool) -> list[dict]:
-    if len(y) < 5 or y.max() <= 0:
-        return []
-    step, noise = V.median_step(x), V.noise_of(y)
-    wide = V.at_step(1.4, step, 5)
-    at, prominence, width = V.find_peaks(y, max(factor * noise, share * float(np.percentile(y, 95)), 1.0), V.at_step(0.11, step, 3), wide)
+def peak_records(traces: DataFrame, values: str, most: int, factor: float, share: float, with_heights: bool) -> DataFrame:
+    """Adds peaks, an array of (height, two_theta, area, fwhm), the highest first: the prominent maxima of corrected traces.
+
+    with_heights adds the 160 highest maxima that stand out of the noise at all.
+    """
+    y, step, noise = F.col("v_"), F.col("s_"), F.col("e_")
+    rows = fixed(traces, v_=F.col(values), s_=A.median_step(F.col("xs")), e_=A.noise(F.col(values)))
+    wide = A.points(1.4, step, 5)
+    rows = fixed(rows, p_=A.find_peaks(y, F.greatest(factor * noise, share * A.quantile(y, 0.95), F.lit(1.0)), A.points(0.11, step, 3), wide))
     if with_heights:
-        high = V.spaced(y, (m := V.maxima(y))[y[m] >= max(2.2 * noise, float(np.percentile(y, 65)))], V.at_step(0.045, step, 2))
-        high = high[np.argsort(y[high], kind="stable")[-160:]]
-        at = np.union1d(at, high).astype(int)
-        prominence, width = V.prominence_and_width(y, at)
-        ok = (prominence >= max(1.15 * noise, 1.0)) & (width <= wide)
-        at, prominence, width = at[ok], prominence[ok], width[ok]
-    rows = [
-        dict(two_theta=float(x[i]), height=max(float(y[i]), float(p), 0.0), area=max(float(p) * max(float(w), 1.0) * step, float(p), 0.0), fwhm=min(max(float(w) * step, 0.05), 0.9))
-        for i, p, w in zip(at, prominence, width, strict=True) if y[i] > 0
-    ]
-    return sorted(rows, key=lambda r: (-r["height"], r["two_theta"]))[:most]
+        rows = fixed(rows, level_=F.greatest(2.2 * noise, A.quantile(y, 0.65)))
+        high = A.spaced(y, F.filter(A.maxima(y), lambda i: F.get(y, i) >= F.col("level_")), A.points(0.045, step, 2))
+        top = F.slice(F.sort_array(F.transform(high, lambda i: F.struct(F.get(y, i).alias("y"), i.alias("i"))), asc=False), F.lit(1), F.lit(160))
+        rows = fixed(rows, at_=F.array_union(F.transform("p_", lambda k: k["i"]), F.transform(top, lambda k: k["i"])))
+        rows = fixed(rows, p_2=F.filter(A.measured(y, F.col("at_")), lambda k: (k["prominence"] >= F.greatest(1.15 * noise, F.lit(1.0))) & (k["width"] <= wide))).drop("p_").withColumnRenamed("p_2", "p_")
+    record = lambda k: F.struct(
+        F.greatest(k["y"], k["prominence"]).alias("height"), F.get("xs", k["i"]).alias("two_theta"), F.greatest(k["prominence"] * F.greatest(k["width"], F.lit(1.0)) * step, k["prominence"]).alias("area"),
+        _clip(k["width"] * step, 0.05, 0.9).alias("fwhm"),
+    )
+    found = F.transform(F.filter("p_", lambda k: k["y"] > 0), record)
+    ordered = F.sort_array(F.transform(found, lambda r: F.struct((-r["height"]).alias("k"), r["two_theta"].alias("t"), r.alias("r"))))
+    none = F.expr("CAST(array() AS array<struct<height:double,two_theta:double,area:double,fwhm:double>>)")
+    peaks = F.when((F.size(y) >= 5) & (F.array_max(y) > 0), F.slice(F.transform(ordered, lambda o: o["r"]), F.lit(1), F.lit(most))).otherwise(none)
+    return rows.select(*traces.columns, peaks.alias("peaks"))
 
 
 def line_records(traces: DataFrame, most: int = 80) -> DataFrame:
     """(pattern_id, peak_id, two_theta, height, area, fwhm) of corrected traces, the highest first: prominent peaks and the highest maxima."""
-    got = by_trace(traces, lambda x, y: {"peaks": _records(x, y, most, 3.4, 0.020, True)}, f"peaks {PEAKS}")
-    return got.select("pattern_id", F.posexplode("peaks").alias("peak_id", "p")).select("pattern_id", (F.col("peak_id") + 1).alias("peak_id"), "p.*")
+    got = peak_records(traces, "ys", most, 3.4, 0.020, True).select("pattern_id", F.posexplode("peaks").alias("peak_id", "p"))
+    return got.select("pattern_id", (F.col("peak_id") + 1).alias("peak_id"), "p.two_theta", "p.height", "p.area", "p.fwhm")
 
 
 def significant(trace: DataFrame, reach: float = 0.45, sigmas: float = 5.0) -> DataFrame:
@@ -391,66 +487,60 @@ def peak_mask(trace: DataFrame, peaks: DataFrame, half: float) -> DataFrame:
 
 def prepare_observed(traces: DataFrame, window: int = 5) -> DataFrame:
     """(pattern_id, background, target, width, peaks): smoothed, the envelope taken off and cut at 0, then widths and peaks."""
-
-    def kernel(x: np.ndarray, y: np.ndarray) -> dict:
-        smooth = V.quadratic_smooth(y, window)
-        base = _envelope(x, smooth)["baseline"]
-        target = np.maximum(smooth - base, 0.0)
-        found = _records(x, target, 150, 4.4, 0.035, False)
-        return dict(background=base, target=target, width=_default_width(x, target), peaks=sorted(found, key=lambda r: r["two_theta"]))
-
-    return by_trace(traces, kernel, f"background {ARRAY}, target {ARRAY}, width double, peaks {PEAKS}")
+    rows = fixed(traces.select("pattern_id", "xs", "ys"), smooth=A.quadratic_smooth(F.col("ys"), F.lit(window)))
+    rows = envelope(rows, "smooth")
+    rows = fixed(rows, target=F.zip_with("smooth", "baseline", lambda a, b: F.greatest(a - b, F.lit(0.0))))
+    rows = peak_records(default_width(rows, "target"), "target", 150, 4.4, 0.035, False)
+    by_place = F.sort_array(F.transform("peaks", lambda p: F.struct(p["two_theta"].alias("two_theta"), p["height"].alias("height"), p["area"].alias("area"), p["fwhm"].alias("fwhm"))))
+    return rows.select("pattern_id", F.col("baseline").alias("background"), "target", "width", by_place.alias("peaks"))
 
 
 def auto_preprocess(traces: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """(pattern_id, method, window, passes, profile, smooth, corrected, the PARTS): features, plan, smoothing, decomposition.
+    """(pattern_id, method, window, passes, profile, smooth, corrected, background, broad, crystalline, artifacts): features, plan, smoothing, decomposition.
 
     The plan is a column expression over the features; without weights the profile is the fallback, 1.
     """
-    planned = features(traces).select("pattern_id", *smoothing_plan())
-    rows = traces.join(planned, "pattern_id")
-
-    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for y, method, window, sigma, passes in zip(*(b.column(c).to_pylist() for c in ("ys", "method", "window", "sigma", "passes")), strict=True):
-                y = np.array(y, float)
-                for _ in range(passes):
-                    y = V.gaussian_filter(y, sigma) if method == "gaussian" else V.quadratic_smooth(y, window)
-                out.append(y.tolist())
-            keep = [c for c in b.schema.names if c != "ys"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "ys"])
-
-    kind = traces.select("pattern_id").schema[0].dataType.simpleString()
-    smoothed = rows.select("pattern_id", "xs", "method", "window", "passes", "sigma", "ys").mapInArrow(smooth, f"pattern_id {kind}, xs {ARRAY}, method string, window int, passes int, sigma double, ys {ARRAY}")
-    profile = F.lit(1)
-    if weights is not None:
-        chosen = selected_profile(features(smoothed), weights)
-        smoothed, profile = smoothed.join(chosen, "pattern_id"), F.col("profile")
+    rows = traces.select("pattern_id", "xs", "ys").join(features(traces).select("pattern_id", *smoothing_plan()), "pattern_id")
+    one = lambda v: F.when(F.col("method") == "gaussian", A.gaussian_filter(v, F.col("sigma"))).otherwise(A.quadratic_smooth(v, F.col("window")))
+    rows = fixed(rows, once=one(F.col("ys")))
+    rows = fixed(rows, smooth=F.when(F.col("passes") > 1, one(F.col("once"))).otherwise(F.col("once")))
+    smoothed = rows.select("pattern_id", "xs", F.col("smooth").alias("ys"), "method", "window", "passes")
+    if weights is None:
+        chosen, profiles = smoothed.withColumn("profile", F.lit(1)), PROFILES[1:2]
+    else:
+        chosen, profiles = smoothed.join(selected_profile(features(smoothed), weights).select("pattern_id", "profile"), "pattern_id"), PROFILES
     parts = None
-    for k, settings in enumerate(PROFILES):
-        if weights is None and k != 1:
-            continue
-        own_rows = smoothed.where(profile == k)
-        one = decompose(own_rows, settings).join(own_rows.select("pattern_id", "method", "window", "passes", profile.alias("profile"), F.col("ys").alias("smooth")), "pattern_id")
-        parts = one if parts is None else parts.unionByName(one)
+    for settings in profiles:
+        mine = chosen.where(F.col("profile") == PROFILES.index(settings))
+        part = decompose(mine, settings).join(mine.select("pattern_id", "method", "window", "passes", "profile", F.col("ys").alias("smooth")), "pattern_id")
+        parts = part if parts is None else parts.unionByName(part)
     return parts.withColumn("corrected", F.zip_with("smooth", "background", lambda a, b: a - b))
 
 
 def training_records(trace: DataFrame, low: float = 5.0, high: float = 90.0, points: int = 4096, half: float = 0.18) -> DataFrame:
-    """(pattern_id, g, x, raw, background, corrected, masked): traces on one grid, the envelope under them, marks at their peaks.
+    """(pattern_id, x, raw, background, corrected, masked) as arrays: traces (pattern_id, x, y) on one grid, the envelope under
+    them, marks at their peaks.
 
-    Patterns with fewer than 16 good points on the grid are left out; outside a trace all curves are 0.
+    Patterns with fewer than 16 good points, or as few grid points inside, are left out; outside a trace all curves are 0.
     """
-    grid = resample(well_formed(trace), low, high, points)
-    ends = well_formed(trace).groupBy("pattern_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    inside = grid.join(ends, "pattern_id").where(F.col("x").between(F.col("x0"), F.col("x1"))).withColumn("n", F.count("*").over(own())).where("n >= 16").select("pattern_id", "g", "x", "y")
-    arrays = as_arrays(inside)
-    base = envelope(arrays).join(arrays, "pattern_id").select("pattern_id", F.explode(F.arrays_zip("xs", "ys", "baseline")).alias("v")).select("pattern_id", F.col("v.xs").alias("x"), F.col("v.baseline").alias("background"))
-    rows = grid.join(inside.select("pattern_id").distinct(), "pattern_id", "left_semi").join(base, ["pattern_id", "x"], "left")
-    rows = rows.select("pattern_id", "g", "x", F.col("y").alias("raw"), F.coalesce("background", F.lit(0.0)).alias("background")).withColumn("corrected", F.greatest(F.col("raw") - F.col("background"), F.lit(0.0)))
-    found = line_records(as_arrays(rows.select("pattern_id", "x", F.col("corrected").alias("y"))))
-    return peak_mask(rows, found.select("pattern_id", F.col("two_theta").alias("peak")), half)
+    good = well_formed(trace)
+    ends = good.groupBy("pattern_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    packed = as_arrays(resample(good, low, high, points)).join(ends, "pattern_id").select("pattern_id", F.col("xs").alias("x"), F.col("ys").alias("raw"), "x0", "x1")
+    rows = fixed(packed, before=F.size(F.filter("x", lambda v: v < F.col("x0"))), inside=F.size(F.filter("x", lambda v: v.between(F.col("x0"), F.col("x1")))))
+    rows = rows.where("inside >= 16")
+    rows = envelope(rows.withColumn("xs", F.slice("x", F.col("before") + 1, F.col("inside"))).withColumn("ys", F.slice("raw", F.col("before") + 1, F.col("inside"))))
+    nothing = lambda n: F.array_repeat(F.lit(0.0), n)
+    rows = fixed(rows.drop("xs", "ys"), background=F.concat(nothing(F.col("before")), F.col("baseline"), nothing(F.size("x") - F.col("before") - F.col("inside"))))
+    rows = fixed(rows, corrected=F.zip_with("raw", "background", lambda a, b: F.greatest(a - b, F.lit(0.0))))
+    rows = peak_records(rows.withColumnRenamed("x", "xs"), "corrected", 80, 3.4, 0.020, True)
+    rows = fixed(rows, places=F.transform("peaks", lambda p: p["two_theta"]))
+    masked = F.transform("xs", lambda v: F.exists("places", lambda t: F.round(F.abs(t - v), 9) <= half))
+    return rows.select("pattern_id", F.col("xs").alias("x"), "raw", "background", "corrected", masked.alias("masked"))
+
+
+def write_training_records(records: DataFrame, path: str) -> None:
+    """Appends records with a column source to Parquet, a folder a source; a source's tasks write its files."""
+    records.repartition("source").write.mode("append").partitionBy("source").parquet(path)
 
 
 def background_on_grid(trace: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -188,11 +188,11 @@ def molar_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     P + f""", {_REFLECTIONS}, {_ATOMS}, sf AS (SELECT hkl.entry_id, h, k, l, two_theta, multiplicity, 1 / (4 * d * d) AS s2, element, occ, bi, 2 * pi() * (h * x + k * y + l * z) AS ph FROM hkl JOIN atm ON hkl.entry_id = atm.entry_id),
 w AS (SELECT *, occ * ({_f0_sql('element', 's2')}) * exp(-bi * s2) AS w FROM sf),
 q AS (SELECT entry_id, h, k, l, two_theta, (pow(sum(w * cos(ph)), 2) + pow(sum(w * sin(ph)), 2)) * ({LP}) * any_value(multiplicity) AS raw FROM w GROUP BY entry_id, h, k, l, two_theta),
-n AS (SELECT *, round(100 * raw / max(raw) OVER (PARTITION BY entry_id), 4) AS intensity FROM q WHERE raw > 1e-8) SELECT entry_id, h, k, l, round(two_theta, 5) AS two_theta, intensity FROM n WHERE intensity >= 0.6""",
+n AS (SELECT *, round(100 * raw / max(raw) OVER (PARTITION BY entry_id), 4) AS intensity FROM q WHERE raw > 1e-8) SELECT entry_id, h, k, l, round(two_theta, 5) AS two_theta, intensity FROM n WHERE intensity >= 0.5""",
 )
 def structure_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.scaled_intensities(X.structure_factors(_reflections(spark, sf_dir), _atoms(spark, sf_dir)))
-    return lines.select("entry_id", "h", "k", "l", F.round("two_theta", 5).alias("two_theta"), F.round("intensity", 4).alias("intensity")).where("intensity >= 0.6")
+    return lines.select("entry_id", "h", "k", "l", F.round("two_theta", 5).alias("two_theta"), F.round("intensity", 4).alias("intensity"))
 
 
 @query("q10_index_library")
@@ -204,12 +204,15 @@ def index_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- refinement ----------------------------------------------------------------------------------------------
 
-_GRAM = f"""s AS (SELECT DISTINCT r.entry_id AS key, {SYSTEM} AS system, CAST(h AS BIGINT) AS h, CAST(k AS BIGINT) AS k, CAST(l AS BIGINT) AS l FROM ref_peak r JOIN ref_phase p ON r.entry_id = p.entry_id WHERE h <> 0 OR k <> 0 OR l <> 0),
+def _gram(cells: str = "ref_phase", seen: bool = True) -> str:
+    """Whether the distinct indices of each phase fix all its axes; seen: only those of lines whose angle exists by the cells."""
+    bragg = f"AND 1.5406::DOUBLE / (2 * ({_DSQL})) < 1" if seen else ""
+    return f"""s AS (SELECT DISTINCT r.entry_id AS key, {SYSTEM} AS system, CAST(h AS BIGINT) AS h, CAST(k AS BIGINT) AS k, CAST(l AS BIGINT) AS l FROM ref_peak r JOIN {cells} p ON r.entry_id = p.entry_id WHERE (h <> 0 OR k <> 0 OR l <> 0) {bragg}),
 g AS (SELECT key, system, count(*) AS n_lines, count(DISTINCT CASE WHEN system = 'cubic' THEN 1 END) AS cubic, [sum(h*h*h*h), sum(h*h*k*k), sum(h*h*l*l), sum(k*k*k*k), sum(k*k*l*l), sum(l*l*l*l)] AS m, [sum(pow(h*h+h*k+k*k, 2)), sum((h*h+h*k+k*k)*l*l), sum(pow(h*h+k*k, 2)), sum((h*h+k*k)*l*l)] AS q FROM s GROUP BY key, system),
 res AS (SELECT key, system, n_lines, CASE system WHEN 'cubic' THEN true WHEN 'orthorhombic' THEN m[1]*(m[4]*m[6]-m[5]*m[5]) - m[2]*(m[2]*m[6]-m[5]*m[3]) + m[3]*(m[2]*m[5]-m[4]*m[3]) <> 0 WHEN 'hexagonal' THEN q[1]*m[6]-q[2]*q[2] <> 0 ELSE q[3]*m[6]-q[4]*q[4] <> 0 END AS resolved FROM g)"""
 
 
-@query("a13_resolvable_cells", R + f", {_GRAM} SELECT key, system, n_lines, resolved FROM res")
+@query("a13_resolvable_cells", R + f", {_gram(seen=False)} SELECT key, system, n_lines, resolved FROM res")
 def resolvable_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "ref_peak").join(_phases(spark, sf_dir), "entry_id")
     return X.resolvable(rows.select(F.col("entry_id").alias("key"), _system().alias("system"), "h", "k", "l"))
@@ -262,7 +265,7 @@ def consistent_matches(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVE
 
 @query(
     "q9_refined_cells",
-    R + f""", {_GRAM}, x AS (SELECT p.*, {SYSTEM} AS system, a * 1.002::DOUBLE AS a2, CASE WHEN a = b THEN b * 1.002::DOUBLE ELSE b END AS b2, CASE WHEN a = b AND b = c AND gamma = 90 THEN c * 1.002::DOUBLE ELSE c END AS c2 FROM ref_phase p)
+    R + f""", st AS (SELECT entry_id, alpha, beta, gamma, a * 1.002::DOUBLE AS a, CASE WHEN a = b THEN b * 1.002::DOUBLE ELSE b END AS b, CASE WHEN a = b AND b = c AND gamma = 90 THEN c * 1.002::DOUBLE ELSE c END AS c FROM ref_phase), {_gram("st")}, x AS (SELECT p.*, {SYSTEM} AS system, a * 1.002::DOUBLE AS a2, CASE WHEN a = b THEN b * 1.002::DOUBLE ELSE b END AS b2, CASE WHEN a = b AND b = c AND gamma = 90 THEN c * 1.002::DOUBLE ELSE c END AS c2 FROM ref_phase p)
 SELECT x.entry_id, x.system, round(a2, 4) AS a, round(b2, 4) AS b, round(c2, 4) AS c FROM x JOIN res ON x.entry_id = res.key WHERE resolved""",
 )
 def refined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +283,7 @@ def refined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a12_cell_fit",
-    R + f", {_GRAM} SELECT x.entry_id AS key, {SYSTEM} AS system, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM ref_phase x JOIN res ON x.entry_id = res.key WHERE resolved",
+    R + f", {_gram()} SELECT x.entry_id AS key, {SYSTEM} AS system, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM ref_phase x JOIN res ON x.entry_id = res.key WHERE resolved",
 )
 def fitted_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of all phases from the angles that their cells give: the fit must return them, but where the lines leave an axis open."""

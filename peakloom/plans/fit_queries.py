@@ -38,16 +38,17 @@ def one_to_one(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> D
 
 @query("a11_cell_scales")
 def cell_scales(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
-    return Q.cell_scales(view(spark, sf_dir, "ref_peak"), searches(spark, sf_dir, every))
+    return Q.cell_scales(view(spark, sf_dir, "ref_peak"), searches(spark, sf_dir, every), candidates=selected(spark, sf_dir, every))
 
 
 @query("a15_joint_scales")
 def joint_scales(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
     """Scales of the selected phases' profiles against the profile of each pattern's observed peaks."""
-    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42).select("entry_id", "two_theta", "intensity")
-    profiles = G.rasterise(lines, 5.0, 0.1, 850, 0.4).join(selected(spark, sf_dir, every), "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
+    chosen = selected(spark, sf_dir, every)
+    lines = view(spark, sf_dir, "ref_peak").join(chosen.select("entry_id").distinct(), "entry_id", "left_semi").select("entry_id", "two_theta", "intensity")
+    profiles = G.rasterise(lines, 5.0, 0.1, 1151, 0.4).join(chosen, "entry_id").select("pattern_id", F.col("entry_id").alias("phase"), "g", F.col("y").alias("p"))
     seen = searches(spark, sf_dir, every).select(F.col("pattern_id").cast("string").alias("entry_id"), "two_theta", F.col("height").alias("intensity"))
-    target = G.rasterise(seen, 5.0, 0.1, 850, 0.4).select(F.col("entry_id").cast("long").alias("pattern_id"), "g", "y", F.lit(1.0).alias("w"))
+    target = G.rasterise(seen, 5.0, 0.1, 1151, 0.4).select(F.col("entry_id").cast("long").alias("pattern_id"), "g", "y", F.lit(1.0).alias("w"))
     return Q.joint_scales(profiles, target).withColumn("scale", F.round("scale", 6))
 
 

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import gains as G
-from peakloom.operators.matching import strong_lines
 from peakloom.operators.signal import rasterise
 from peakloom.plans.fixtures import SEARCH_EVERY, ranking, searches, view, with_searches
 from peakloom.plans.search_queries import SEARCHED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-POINTS, FWHM, SHARE = 850, 0.4, 0.6
+POINTS, FWHM, SHARE = 1151, 0.4, 0.6
 
 
 def query(name: str, sql: str | None = None):
@@ -35,8 +34,8 @@ def _ranked(spark: SparkSession, sf_dir: str, every: int, condition: str) -> Dat
 
 
 def _profile(spark: SparkSession, sf_dir: str, phases: DataFrame) -> DataFrame:
-    """Profiles (pattern_id, entry_id, g, p) of the phases' strong lines."""
-    lines = strong_lines(view(spark, sf_dir, "ref_peak"), 3, 42, 5.0, 120.0).select("entry_id", "two_theta", "intensity")
+    """Profiles (pattern_id, entry_id, g, p) of all lines of the phases."""
+    lines = view(spark, sf_dir, "ref_peak").join(phases.select("entry_id").distinct(), "entry_id", "left_semi").select("entry_id", "two_theta", "intensity")
     return rasterise(lines, G.LOW, G.STEP, POINTS, FWHM).join(phases, "entry_id").select("pattern_id", "entry_id", "g", F.round("y", 6).alias("p"))
 
 
@@ -60,17 +59,17 @@ def _lines(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
 
 def _raster(source: str, name: str) -> str:
     pv = "(0.5::DOUBLE * (1 / (1 + 4 * ((5.0::DOUBLE + g * 0.1::DOUBLE - two_theta) / 0.4) * ((5.0::DOUBLE + g * 0.1::DOUBLE - two_theta) / 0.4))) + 0.5::DOUBLE * exp(-2.772588722239781::DOUBLE * ((5.0::DOUBLE + g * 0.1::DOUBLE - two_theta) / 0.4) * ((5.0::DOUBLE + g * 0.1::DOUBLE - two_theta) / 0.4)))"
-    return f"""{name}h AS (SELECT *, unnest(range(CAST(greatest(ceil((two_theta - 2.0::DOUBLE - 5.0::DOUBLE) / 0.1::DOUBLE), 0) AS BIGINT), CAST(least(floor((two_theta + 2.0::DOUBLE - 5.0::DOUBLE) / 0.1::DOUBLE), 849) AS BIGINT) + 1)) AS g FROM {source} WHERE two_theta <= 92),
+    return f"""{name}h AS (SELECT *, unnest(range(CAST(greatest(ceil((two_theta - 2.0::DOUBLE - 5.0::DOUBLE) / 0.1::DOUBLE), 0) AS BIGINT), CAST(least(floor((two_theta + 2.0::DOUBLE - 5.0::DOUBLE) / 0.1::DOUBLE), 1150) AS BIGINT) + 1)) AS g FROM {source}),
 {name} AS (SELECT key, g, round(y * 100 / max(y) OVER (PARTITION BY key), 6) AS y FROM (SELECT key, g, sum(intensity * {pv}) AS y FROM {name}h GROUP BY key, g))"""
 
 
 _ALL = ("ref_phase", "ref_peak", "obs_peak")
 _SET = f"""{SEARCHED}, rk AS (SELECT pattern_id, entry_id, rank FROM t WHERE rank <= 20),
-sl AS (SELECT entry_id AS key, two_theta, intensity FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY intensity DESC, peak_index) AS rr FROM ref_peak WHERE intensity >= 3 AND two_theta BETWEEN 5 AND 120) WHERE rr <= 42 AND entry_id IN (SELECT entry_id FROM rk)),
+sl AS (SELECT entry_id AS key, two_theta, intensity FROM ref_peak WHERE entry_id IN (SELECT entry_id FROM rk)),
 ol AS (SELECT pattern_id AS key, two_theta, height AS intensity FROM obs_peak),
 {_raster('sl', 'sp')}, {_raster('ol', 'op')},
 cv AS (SELECT pattern_id, g, target, total, greatest(round(target - total, 6), 0) AS residual FROM (SELECT p.pattern_id, i.g, coalesce(op.y, 0) AS target, coalesce(round(sp.y * 0.6::DOUBLE, 6), 0) AS total
-  FROM (SELECT DISTINCT pattern_id FROM obs_peak) p CROSS JOIN (SELECT unnest(range(850)) AS g) i LEFT JOIN op ON op.key = p.pattern_id AND op.g = i.g LEFT JOIN rk ON rk.pattern_id = p.pattern_id AND rank = 1 LEFT JOIN sp ON sp.key = rk.entry_id AND sp.g = i.g)),
+  FROM (SELECT DISTINCT pattern_id FROM obs_peak) p CROSS JOIN (SELECT unnest(range(1151)) AS g) i LEFT JOIN op ON op.key = p.pattern_id AND op.g = i.g LEFT JOIN rk ON rk.pattern_id = p.pattern_id AND rank = 1 LEFT JOIN sp ON sp.key = rk.entry_id AND sp.g = i.g)),
 st AS (SELECT pattern_id, two_theta AS stick FROM ref_peak JOIN rk USING (entry_id) WHERE intensity >= 60 AND rank <= 2),
 ln AS (SELECT pattern_id, r.* FROM ref_peak r JOIN rk USING (entry_id) WHERE rank BETWEEN 3 AND 10)"""
 _WEIGHTED = """w0 AS (SELECT *, greatest(quantile_cont(greatest(target, 0), 0.55) OVER (PARTITION BY pattern_id), 1.0::DOUBLE) AS lo, quantile_cont(greatest(target, 0), 0.96) OVER (PARTITION BY pattern_id) AS hi, count(*) OVER (PARTITION BY pattern_id) AS np FROM cv),

@@ -135,12 +135,13 @@ def peak_status(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) ->
 
 @query(
     "j7_unclaimed_peaks",
-    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {_SELECTED}, cl AS (SELECT s.pattern_id, r.two_theta AS claimed, 0.05::DOUBLE + 0.01::DOUBLE * (r.peak_index % 5) AS cf FROM sel s JOIN ref_peak r ON s.entry_id = r.entry_id WHERE r.intensity >= 40)
-SELECT pattern_id, peak_id FROM obs_peak o WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.pattern_id = o.pattern_id AND round(abs(o.two_theta - claimed), 9) <= greatest(0.12::DOUBLE, least(0.75::DOUBLE, greatest(fwhm, cf, 0.05::DOUBLE) * 1.35::DOUBLE)))""",
+    with_searches("ref_phase", "ref_peak", "obs_peak") + f""", {_SELECTED}, cl AS (SELECT s.pattern_id, r.two_theta AS claimed FROM sel s JOIN ref_peak r ON s.entry_id = r.entry_id WHERE intensity > 0)
+SELECT pattern_id, peak_id FROM obs_peak o WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.pattern_id = o.pattern_id AND round(abs(o.two_theta - claimed), 9) <= greatest(0.12::DOUBLE, least(0.75::DOUBLE, greatest(fwhm, 0.18::DOUBLE) * 1.35::DOUBLE)))""",
 )
 def unclaimed(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """Observed peaks that no line of the selected phases, at the default width, comes near."""
     peaks, observed = _tables(spark, sf_dir, every)
-    claimed = peaks.where("intensity >= 40").join(selected(spark, sf_dir, every), "entry_id").select("pattern_id", F.col("two_theta").alias("claimed"), (0.05 + 0.01 * (F.col("peak_index") % 5)).alias("claimed_fwhm"))
+    claimed = peaks.where("intensity > 0").join(selected(spark, sf_dir, every), "entry_id").select("pattern_id", F.col("two_theta").alias("claimed"), F.lit(0.18).alias("claimed_fwhm"))
     return M.unclaimed(observed, claimed).select("pattern_id", "peak_id")
 
 

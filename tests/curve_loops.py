@@ -1,4 +1,4 @@
-"""Small kernels on one trace as numpy arrays: filters that replicate the edges, peaks, noise. Spark deals the traces; see operators/traces.py."""
+"""Plain numpy versions of the array expressions, for tests: filters that replicate the edges, peaks, noise."""
 
 from __future__ import annotations
 

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
-from peakloom.functions import curves as V
+from peakloom.functions import arrays as A
 from peakloom.operators import traces as T
+from pyspark.sql import functions as F
+
+from tests import curve_loops as V
 
 
 def test_filters_against_loops():
@@ -77,15 +80,52 @@ def test_backgrounds_lie_under_peaks(traces):
     assert chosen[1].base in T.TRIAL_BASES and chosen[1].score < 1
 
 
-def test_prepared_peaks_and_training_records(traces):
+def test_array_expressions_against_numpy(spark):
+    rng, rows = np.random.default_rng(0), []
+    for k, n in enumerate((5, 40, 200, 363, 120)):
+        x = 5 + np.arange(n) * 0.1
+        rows.append((k, x.tolist(), np.round(rng.normal(50, 6, n) + (k % 2) * 200 * np.exp(-(((x - 15) / 0.4) ** 2)), 0 if k % 3 == 0 else 3).tolist()))
+    y = F.col("ys")
+    d = A.fixed(spark.createDataFrame(rows, "pattern_id long, xs array<double>, ys array<double>"), step=A.median_step(F.col("xs")), noise=A.noise(y))
+    d = A.fixed(d, size=A.odd_points(1.4, F.col("step"), 9, F.greatest(F.lit(9), F.floor(F.size("ys") / 3).cast("int"))))
+    d = d.withColumns({"ranked": A.rank_filter(y, 22, F.col("size")), "smooth": A.gaussian_filter(y, F.col("size") / 7.0), "slope": A.gradient(y), "fitted": A.quadratic_smooth(y, F.lit(7)), "p99": A.quantile(y, 0.99)})
+    for r in d.withColumns({"tops": A.maxima(y), "peaks": A.find_peaks(y, 3 * F.col("noise"), A.points(0.3, F.col("step"), 3), F.lit(50))}).collect():
+        x, v = np.array(r.xs), np.array(r.ys)
+        assert np.isclose(r.step, V.median_step(x)) and np.isclose(r.noise, V.noise_of(v)) and r.size == V.odd_points(1.4, r.step, 9, max(9, len(v) // 3)) and np.isclose(r.p99, np.percentile(v, 99))
+        for got, want in ((r.ranked, V.rank_filter(v, 22, r.size)), (r.smooth, V.gaussian_filter(v, r.size / 7)), (r.slope, np.gradient(v)), (r.fitted, V.quadratic_smooth(v, 7))):
+            assert np.allclose(got, want)
+        at, prominence, width = V.find_peaks(v, 3 * r.noise, V.at_step(0.3, r.step, 3), 50)
+        assert r.tops == V.maxima(v).tolist() and [p.i for p in r.peaks] == at.tolist()
+        assert np.allclose([p.prominence for p in r.peaks], prominence) and np.allclose([p.width for p in r.peaks], width)
+
+
+def test_series_values_and_fit(spark):
+    """Clenshaw's recurrence equals numpy's series; a series through nodes of a cubic is the cubic."""
+    u = np.linspace(-1, 1, 40)
+    c = T.robust_series(u, 3 + u - 2 * u**3, np.ones(40), np.zeros(40, bool), 5)
+    assert np.allclose(np.polynomial.chebyshev.chebval(u, c), 3 + u - 2 * u**3)
+    xs = np.linspace(10, 70, 31)
+    got = spark.createDataFrame([(xs.tolist(), c.tolist())], "xs array<double>, c array<double>").select(T.series_values(F.col("xs"), F.col("c"))).first()[0]
+    assert np.allclose(got, np.polynomial.chebyshev.chebval((xs - 40) / 30, c))
+
+
+def test_prepared_peaks_and_training_records(spark, traces, tmp_path):
     found = {}
     for r in T.prepare_observed(traces).collect():
         found[r.pattern_id] = [round(p.two_theta, 1) for p in sorted(r.peaks, key=lambda p: -p.height)[:2]]
     assert sorted(found[1]) == [15.0, 30.0] and found[2][0] == 35.0 and found[3] == []
     assert {r.profile for r in T.auto_preprocess(traces).collect()} == {1}
     rows = traces.selectExpr("pattern_id", "explode(arrays_zip(xs, ys)) AS v").selectExpr("pattern_id", "v.xs AS x", "v.ys AS y")
-    got = T.training_records(rows, 5.0, 45.0, 401, 0.2).collect()
-    assert {r.pattern_id for r in got} == {1, 2} and len(got) == 802
-    marked = [r.x for r in got if r.pattern_id == 1 and r.masked]
+    records = T.training_records(rows, 5.0, 45.0, 401, 0.2)
+    got = records.collect()
+    assert {r.pattern_id for r in got} == {1, 2} and all(len(r.x) == 401 for r in got)
+    one = next(r for r in got if r.pattern_id == 1)
+    marked = [x for x, m in zip(one.x, one.masked, strict=True) if m]
     assert any(abs(x - 15) < 0.2 for x in marked) and any(abs(x - 30) < 0.2 for x in marked)
-    assert all(r.corrected >= 0 and abs(r.corrected - max(r.raw - r.background, 0)) < 1e-9 for r in got)
+    for r in got:
+        assert np.allclose(r.corrected, np.maximum(np.array(r.raw) - r.background, 0)) and min(r.corrected) >= 0
+    path = str(tmp_path / "records")
+    T.write_training_records(records.withColumn("source", F.concat(F.lit("s"), "pattern_id")), path)
+    back = spark.read.parquet(path)
+    assert sorted(x.name for x in (tmp_path / "records").iterdir() if x.is_dir()) == ["source=s1", "source=s2"]
+    assert sorted((r.pattern_id, r.source, tuple(r.raw)) for r in back.collect()) == sorted((r.pattern_id, f"s{r.pattern_id}", tuple(r.raw)) for r in got)
