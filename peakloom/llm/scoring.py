@@ -9,8 +9,8 @@ documents.
 How it runs: words are 64-bit hashes. One pass counts them. Documents are written once as codes: the rank of a frequent word
 (HEAD_ROWS of them at most, shared with all tasks), or a number among the document's own rare words, whose counts come by a join.
 Bigrams then meet in buckets of about BUCKET_EVENTS, as packed columns, sorted and summed up by slice before the shuffle. Bigrams
-so frequent that they would fill a bucket (at most HOT_PAIRS) are looked up where the documents are. Only sums a document
-come back.
+so frequent that they would fill a bucket (at most HOT_PAIRS) are looked up where the documents are. Only sums of
+documents come back, packed by blocks of BLOCK_DOCUMENTS.
 
 Defined cases: a null or empty text has its end as its only token; a null doc_id is training text; repeated rows and ids are
 scored row by row; very long texts are read whole; other columns are ignored; an empty table gives no rows; without any
@@ -33,14 +33,16 @@ from peakloom.llm.shingles import word_hashes
 from peakloom.llm.tokens import head_threshold
 
 HEAD_ROWS = 1_000_000
-BUCKET_EVENTS = 2_000_000
+BUCKET_EVENTS = 1_500_000
 HOT_PAIRS, HOT_LEAST = 1_000_000, 100_000
 #: Bytes of codes of a slice (four a token), and words whose counts a task holds.
-SLICE_CODES, COUNTED = 4 << 20, 4_000_000
+SLICE_CODES, COUNTED = 4 << 20, 2_000_000
 #: Parts of the documents: counted, deleted from the counts that learn the weights, held out.
 COUNTED_PART, DELETED_PART, TEST_PART = 0, 1, 2
 DELETED_EVERY = 10
 ROUNDS, CLOSE = 30, 1e-5
+#: Documents whose sums travel together (a power of two).
+BLOCK_DOCUMENTS = 1024
 #: Hashes of the tokens that no text holds, and the key of the first.
 START, END = (mix64(np.array([k], np.uint64))[0] for k in (0x5EED51, 0x5EED52))
 START_KEY = 1 << 40
@@ -203,11 +205,31 @@ def unpack(blob: bytes, width: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
 
 
-def _sorted_groups(bucket: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first of each group) by bucket, v and w."""
-    order = np.lexsort((w, v, bucket))
-    b, x, y = bucket[order], v[order], w[order]
-    return order, np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+def _by_bucket(s: Slice, bucket: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+    """Order of a slice's bigrams (those of the numbers at, or all) by bucket, predecessor and token."""
+    words, number = np.unique(s.key, return_inverse=True)
+    width = len(words) + 1
+    code = s.before(number, width - 1) * width + number
+    if at is not None:
+        code, bucket = code[at], bucket[at]
+    if int(bucket.max(initial=0) + 1) * width * width < 1 << 63:
+        return np.argsort(bucket.astype(np.int64) * (width * width) + code)
+    return np.lexsort((code, bucket))
+
+
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal values begins in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each group) of bigrams, in no special order of groups."""
+    order = np.argsort(pair_hash(v, w))
+    return order, _first(v[order], w[order])
 
 
 def _blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -218,6 +240,12 @@ def _blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "block"])
 
 
+def _joined(group: pa.Table, width: int) -> list[np.ndarray]:
+    """The columns of all blocks of a group."""
+    parts = [unpack(x.as_py(), width) for x in group.column("block") if x.is_valid]
+    return [np.concatenate([p.pop(0) for p in parts]) if parts else np.zeros(0, np.int64) for _ in range(width)]
+
+
 def _slices_of(batches: Iterator[pa.RecordBatch], head: Head) -> Iterator[Slice]:
     for b in batches:
         off = np.frombuffer(b.column("codes").buffers()[1], np.int32)[b.column("codes").offset : b.column("codes").offset + b.num_rows + 1]
@@ -239,15 +267,15 @@ def pair_counts(docs: DataFrame, head, buckets: int, hot: int) -> DataFrame:
         for s in _slices_of(batches, head.value):
             v, vn, vd = s.before(s.key, START_KEY), s.before(s.tail_n, 0), s.before(s.tail_d, 0)
             bucket = (pair_hash(v, s.key) >> np.uint64(20)) % np.uint64(buckets)
-            order, first = _sorted_groups(bucket, v, s.key)
+            order = _by_bucket(s, bucket)
+            first = _first(bucket[order], v[order], s.key[order])
             deleted = np.add.reduceat((s.parts[s.doc] == DELETED_PART)[order].astype(np.int64), first)
             one = order[first]
             yield _blocks(bucket[one], [v[one], s.key[one], np.diff(np.r_[first, len(order)]), deleted, vn[one], vd[one], s.tail_n[one], s.tail_d[one]])
 
     def gather(group: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py(), 8) for x in group.column("block")]
-        v, w, n, deleted, vn, vd, wn, wd = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order, first = _sorted_groups(np.zeros(len(v), np.int8), v, w)
+        v, w, n, deleted, vn, vd, wn, wd = _joined(group, 8)
+        order, first = _grouped(v, w)
         n, deleted = np.add.reduceat(n[order], first), np.add.reduceat(deleted[order], first)
         one = order[first]
         kept = (deleted > 0) | (n >= hot)
@@ -315,33 +343,45 @@ def model_scores(docs: DataFrame, head, hot, weights: np.ndarray, buckets: int)
             n = np.where(known, counts[at], 0)[here] if len(hashes) else 0
             sums = np.bincount(s.doc[here], np.log10(a * n + q), s.documents)
             there = np.flatnonzero(~here)
-            bucket = ((h >> np.uint64(20)) % np.uint64(buckets))[there]
+            bucket = (h >> np.uint64(20)) % np.uint64(buckets)
             # sorted by v and w, columns pack well
-            order = np.lexsort((s.key[there], v[there], bucket))
+            order = _by_bucket(s, bucket, there)
             at = there[order]
             train = s.parts[s.doc] != TEST_PART
             if len(at):
-                b = _blocks(bucket[order], [v[at], s.key[at], s.rows[s.doc[at]], train[at], vt[at], s.tail_n[at]])
+                b = _blocks(bucket[at], [v[at], s.key[at], s.rows[s.doc[at]], train[at], vt[at], s.tail_n[at]])
                 nothing = [pa.array([[]] * b.num_rows, pa.list_(t)) for t in (pa.int64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([*b.columns, *nothing], ["bucket", "block", "rows", "sums"])
             yield pa.RecordBatch.from_arrays([pa.array([k % buckets], pa.int64()), pa.array([None], pa.binary()), pa.array([s.rows]), pa.array([sums])], ["bucket", "block", "rows", "sums"])
 
     def gather(group: pa.Table) -> pa.Table:
         rows, sums = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "sums"))
-        parts = [unpack(x.as_py(), 6) for x in group.column("block") if x.is_valid]
-        if parts:
-            v, w, row, train, vt, wt = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order, first = _sorted_groups(np.zeros(len(v), np.int8), v, w)
+        v, w, row, train, vt, wt = _joined(group, 6)
+        order, first = _grouped(v, w)
+        if len(v):
             n = np.add.reduceat(train[order], first)
             one = order[first]
             a, q = mixture(head.value, weights, head.value.counts(v[one], vt[one], vt[one])[0], head.value.counts(w[one], wt[one], wt[one])[0])
-            score = np.repeat(np.log10(a * n + q), np.diff(np.r_[first, len(order)]))
-            rows, sums = np.r_[rows, row[order]], np.r_[sums, score]
+            rows, sums = np.r_[rows, row[order]], np.r_[sums, np.repeat(np.log10(a * n + q), np.diff(np.r_[first, len(order)]))]
+        return _by_document(rows, sums)
+
+    def _by_document(rows: np.ndarray, sums: np.ndarray) -> pa.Table:
+        """A row a block of documents: their numbers, and the sums of each."""
+        rows, at = np.unique(rows, return_inverse=True)
+        sums = np.bincount(at, sums, len(rows))
+        place = rows // BLOCK_DOCUMENTS
+        first = _first(place)
+        cuts = pa.array(np.r_[first, len(rows)], pa.int32())
+        return pa.table({"place": place[first], "rows": pa.ListArray.from_arrays(cuts, pa.array(rows)), "sums": pa.ListArray.from_arrays(cuts, pa.array(sums))})
+
+    def total(group: pa.Table) -> pa.Table:
+        rows, sums = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "sums"))
         rows, at = np.unique(rows, return_inverse=True)
-        return pa.table({"row": rows, "score": np.bincount(at, sums, len(rows))})
+        return pa.table({"row": rows, "score": np.round(np.bincount(at, sums, len(rows)), 9)})
 
     blocks = docs.mapInArrow(spread, "bucket long, block binary, rows array<long>, sums array<double>")
-    return blocks.groupBy("bucket").applyInArrow(gather, "row long, score double").groupBy("row").agg(F.round(F.sum("score"), 9).alias("score"))
+    parts = blocks.groupBy("bucket").applyInArrow(gather, "place long, rows array<long>, sums array<double>")
+    return parts.groupBy("place").applyInArrow(total, "row long, score double")
 
 
 def base_scores(docs: DataFrame, head) -> DataFrame:
