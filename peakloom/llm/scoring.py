@@ -99,6 +99,11 @@ class Head:
         self.sorted = self.hash[self.rank]
         self.tokens, self.deleted_tokens, self.words = tokens, deleted_tokens, words
         self.documents, self.deleted_documents = documents, deleted_documents
+        self.weight = tokens + 0.5 * (words + 1)
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        """log10 shares of words by the base score."""
+        return np.log10((counts + 0.5) / self.weight)
 
     def search(self, hashes: np.ndarray) -> np.ndarray:
         """Ranks of hashes, -1 where a word isn't frequent."""
@@ -118,15 +123,24 @@ class Head:
 
 
 def coded(docs: DataFrame, head) -> DataFrame:
-    """(row, doc_id, part, codes, tails): codes are int32 ranks, or -1 - k for the k-th of the document's rare words, tails."""
+    """(row, doc_id, part, codes, tails, times, n_tokens, n_head, base_head) of documents.
+
+    codes are int32 ranks, or -1 - k for the k-th of the document's rare words, tails, which occur so many times; n_head tokens
+    are frequent, the end among them, and base_head is their part of the base score.
+    """
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = np.r_[head.value.base(head.value.n), 0.0]
+        end = head.value.base(head.value.documents)
         for b in batches:
             body, off = text_buffers(b.column("text"))
             for i, j in slices(off):
                 hashes, first = word_hashes(body[off[i] : off[j]], off[i : j + 1] - off[i])
                 code = head.value.search(hashes)
+                owner = np.repeat(np.arange(j - i), np.diff(first))
+                base = np.bincount(owner, logs[code], j - i) + end
+                frequent = np.bincount(owner, code >= 0, j - i).astype(np.int64) + (head.value.documents > 0)
                 rare = np.flatnonzero(code < 0)
                 doc = np.searchsorted(first, rare, side="right") - 1
                 order = np.lexsort((hashes[rare], doc))
@@ -136,20 +150,24 @@ def coded(docs: DataFrame, head) -> DataFrame:
                 begins = np.searchsorted(k[new], np.arange(j - i + 1))
                 code[rare[order]] = -1 - (number - begins[k])
                 codes = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((first * 4).astype(np.int32).tobytes()), pa.py_buffer(code.astype(np.int32).tobytes())])
-                tails = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(h[new].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("row", "doc_id", "part")), codes, tails], ["row", "doc_id", "part", "codes", "tails"])
+                tails, times = (pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(x)) for x in (h[new].view(np.int64), np.diff(np.r_[np.flatnonzero(new), len(h)])))
+                counts = [pa.array(x) for x in (np.diff(first) + 1, frequent, base)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("row", "doc_id", "part")), codes, tails, times, *counts], ["row", "doc_id", "part", "codes", "tails", "times", "n_tokens", "n_head", "base_head"])
 
-    return docs.mapInArrow(run, f"row long, doc_id {key}, part int, codes binary, tails array<long>")
+    return docs.mapInArrow(run, f"row long, doc_id {key}, part int, codes binary, tails array<long>, times array<long>, n_tokens long, n_head long, base_head double")
 
 
-def resolved(codes: DataFrame, words: DataFrame) -> DataFrame:
-    """coded() rows with the counts of their rare words: tail_n and tail_d."""
-    rare = codes.select("row", F.posexplode("tails").alias("k", "hash")).join(words, "hash")
-    lists = rare.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "d"))).alias("found"))
-    # words that no training document holds are not found: a map by number fills their places with 0
-    full = codes.join(lists, "row", "left").withColumn("found", F.expr("map_from_entries(transform(found, x -> struct(x.k AS k, struct(x.n AS n, x.d AS d) AS c)))"))
-    each = "transform(sequence(0, size(tails) - 1), k -> coalesce(found[k].{}, 0L))"
-    return full.select("row", "doc_id", "part", "codes", "tails", *(F.expr(f"CASE WHEN size(tails) = 0 THEN array() ELSE {each.format(x)} END").alias(f"tail_{x}") for x in "nd"))
+def resolved(codes: DataFrame, words: DataFrame, head: Head) -> DataFrame:
+    """coded() rows with the counts of their rare words, tail_n and tail_d, and with n_known and base_score, the add-half unigram score."""
+    rare = codes.select("row", F.posexplode(F.arrays_zip(F.col("tails").alias("hash"), F.col("times").alias("times"))).alias("k", "v")).select("row", "k", "v.*")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    rare = rare.join(words, "hash", "left").select("row", "k", "times", n.alias("n"), F.coalesce("d", F.lit(0).cast("long")).alias("d"))
+    base = F.col("times") * F.log10((F.col("n") + 0.5) / F.lit(head.weight))
+    lists = rare.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "n", "d"))).alias("found"), F.sum(base).alias("base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
+    full = codes.join(lists, "row", "left")
+    own = lambda c: F.coalesce(F.col(f"found.{c}"), F.array().cast("array<long>")).alias(f"tail_{c}")
+    score = F.round(F.col("base_head") + F.coalesce("base", F.lit(0.0)), 9)
+    return full.select("row", "doc_id", "part", "codes", "tails", own("n"), own("d"), "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), score.alias("base_score"))
 
 
 class Slice:
@@ -196,13 +214,26 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Whole-number columns of one length as byte planes, compressed."""
-    return zstandard.compress(b"".join(np.ascontiguousarray(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns), 1)
+    """Whole-number columns of one length as byte planes, compressed; each column has as many planes as its values need."""
+    widths, planes = [], []
+    for c in columns:
+        c = np.ascontiguousarray(c, np.int64).view(np.uint64)
+        width = max(1, -(-int(np.bitwise_or.reduce(c)).bit_length() // 8)) if len(c) else 1
+        widths.append(width)
+        planes += [(c >> np.uint64(8 * k)).astype(np.uint8) for k in range(width)]
+    return bytes(widths) + zstandard.compress(np.concatenate(planes).tobytes(), 1)
 
 
-def unpack(blob: bytes, width: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, 8, -1)
-    return [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(blob[columns:]), np.uint8).reshape(sum(blob[:columns]), -1)
+    out, at = [], 0
+    for width in blob[:columns]:
+        c = planes[at].astype(np.uint64)
+        for k in range(1, width):
+            c |= planes[at + k].astype(np.uint64) << np.uint64(8 * k)
+        out.append(c.view(np.int64))
+        at += width
+    return out
 
 
 def _by_bucket(s: Slice, bucket: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
@@ -384,23 +415,6 @@ def model_scores(docs: DataFrame, head, hot, weights: np.ndarray, buckets: int)
     return parts.groupBy("place").applyInArrow(total, "row long, score double")
 
 
-def base_scores(docs: DataFrame, head) -> DataFrame:
-    """(row, doc_id, part, n_tokens, n_known, base_score) of resolved() rows: add-half unigram scores."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = head.value.tokens + 0.5 * (head.value.words + 1)
-        for b in batches:
-            off = np.frombuffer(b.column("codes").buffers()[1], np.int32)[b.column("codes").offset : b.column("codes").offset + b.num_rows + 1]
-            for i, j in slices(off, SLICE_CODES):
-                s = Slice(b, i, j, head.value)
-                sums = np.bincount(s.doc, np.log10((s.n + 0.5) / total), s.documents)
-                known = np.bincount(s.doc, s.n > 0, s.documents).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("row", "doc_id", "part")), pa.array(np.bincount(s.doc, minlength=s.documents)), pa.array(known), pa.array(np.round(sums, 9))], ["row", "doc_id", "part", "n_tokens", "n_known", "base_score"])
-
-    return docs.mapInArrow(run, f"row long, doc_id {key}, part int, n_tokens long, n_known long, base_score double")
-
-
 def score_documents(docs: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, paths = docs.sparkSession, []
@@ -413,7 +427,7 @@ def score_documents(docs: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     head = Head(words.where(F.col("n") >= least).toArrow(), *total, *((ends.n, ends.d) if ends else (0, 0)))
     shared = share(head)
     codes = materialize(coded(docs, shared), paths)
-    ready = materialize(resolved(codes, words.where(F.col("n") < least)))
+    ready = materialize(resolved(codes, words.where(F.col("n") < least), head))
     discard(spark, paths)
     buckets = max(8, -(-head.tokens * 5 // (4 * BUCKET_EVENTS)))
     hot = max(HOT_LEAST, head.tokens // HOT_PAIRS)
@@ -424,7 +438,7 @@ def score_documents(docs: DataFrame, head_rows: int = HEAD_ROWS) -> DataFrame:
     order = np.argsort(h)
     scores = model_scores(ready, shared, share((h[order], frequent.column("n").to_numpy()[order])), weights, buckets)
     discard(spark, paths)
-    return base_scores(ready, shared).join(scores, "row").select(
+    return ready.join(scores, "row").select(
         "doc_id", (F.col("part") == TEST_PART).alias("held_out"), "n_tokens", "n_known", F.lit(head.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
