@@ -208,7 +208,7 @@ def lorentzian(x: Column, centre: Column, fwhm: Column) -> Column:
     return 1 / (1 + 4 * z * z)
 
 
-def pseudo_voigt(x: Column, centre: Column, fwhm: Column, eta: float = 0.5) -> Column:
+def pseudo_voigt(x: Column, centre: Column, fwhm: Column, eta: float | Column = 0.5) -> Column:
     return eta * lorentzian(x, centre, fwhm) + (1 - eta) * gaussian(x, centre, fwhm)
 
 

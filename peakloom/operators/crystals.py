@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.functions.arrays import fixed
 from peakloom.functions.chemistry import cell_volume, d_spacing, lorentz_polarisation, two_theta_of_d
 from peakloom.functions.scattering import atomic_weight, debye_waller, scattering_factor
 from peakloom.operators.fitting import cell_fit
@@ -24,64 +26,102 @@ def number_text(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), r"\([0-9]+\)$", "").try_cast("double")
 
 
-def tag_value(text: Column, tag: str) -> Column:
-    """The value behind a tag at the start of a line: quoted, between lines of a semicolon, or the rest of the line; empty for . and ?."""
-    name = tag.replace(".", r"\.")
-    one = F.regexp_extract(text, rf"(?im)^[ \t]*{name}[ \t]+(?:'([^'\r\n]*)'|\"([^\"\r\n]*)\"|([^\s'\"][^\r\n]*?))[ \t]*\r?$", 0)
-    value = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(one, r"\r?\n?$", "")), rf"(?i)^{name}[ \t]+", ""), r"^(['\"])(.*)\1$", "$2")
-    block = F.regexp_extract(text, rf"(?ims)^[ \t]*{name}[ \t]*\r?\n;(.*?)\r?\n;", 1)
-    found = F.trim(F.when(one != "", value).otherwise(F.trim(F.regexp_replace(block, r"\s+", " "))))
+STATE = "struct<mode:string,tag:string,text:string,header:array<string>,rows:array<string>,tags:array<struct<tag:string,value:string>>,loops:array<struct<header:array<string>,rows:array<string>>>>"
+
+
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(F.trim(value), r"(?s)^(['\"])(.*)\1$", "$2")
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """(entry_id, tags, loops) of structure files (entry_id, text), in one pass over their lines.
+
+    tags is an array of (tag in lower case, value), loops one of (header, rows): rows are the lines of a loop's body. A fold over
+    the lines is a machine of five modes: outside; wait, behind a tag whose value is on the next line; text, between lines of
+    a semicolon; header and body of a loop. A loop ends at an empty line, a tag behind its body, another loop or a data block.
+    """
+    line = lambda v: F.trim(v)
+
+    def step(s: Column, raw: Column) -> Column:
+        t = line(raw)
+        change = lambda **kw: F.struct(*(kw.get(f, s[f]).alias(f) for f in ("mode", "tag", "text", "header", "rows", "tags", "loops")))
+        word, nothing = F.lit, F.array().cast("array<string>")
+        in_loop = s["mode"].isin("header", "body")
+        closed = F.when(in_loop, F.array_append(s["loops"], F.struct(s["header"].alias("header"), s["rows"].alias("rows")))).otherwise(s["loops"])
+        pair = lambda tag, value: F.array_append(s["tags"], F.struct(F.lower(tag).alias("tag"), value.alias("value")))
+        name, rest = F.regexp_extract(t, r"^\S+", 0), F.trim(F.regexp_extract(t, r"^\S+\s*(.*)$", 1))
+        return (
+            F.when((s["mode"] == "text") & raw.startswith(";"), change(mode=word(""), tags=pair(s["tag"], F.trim(F.regexp_replace(s["text"], r"\s+", " ")))))
+            .when(s["mode"] == "text", change(text=F.concat(s["text"], F.lit(" "), t)))
+            .when((s["mode"] == "wait") & raw.startswith(";"), change(mode=word("text"), text=F.substr(raw, F.lit(2))))
+            .when(F.lower(t) == "loop_", change(mode=word("header"), header=nothing, rows=nothing, loops=closed))
+            .when(t.startswith("_") & (s["mode"] == "header"), change(header=F.array_append(s["header"], F.lower(name))))
+            .when(t.startswith("_") & (rest == ""), change(mode=word("wait"), tag=name, loops=closed))
+            .when(t.startswith("_"), change(mode=word(""), tags=pair(name, _unquoted(rest)), loops=closed))
+            .when((t == "") | F.lower(t).startswith("data_"), F.when(in_loop, change(mode=word(""), loops=closed)).otherwise(s))
+            .when(t.startswith("#"), s)
+            .when(in_loop, change(mode=word("body"), rows=F.array_append(s["rows"], t)))
+            .when(s["mode"] == "wait", change(mode=word(""), tags=pair(s["tag"], _unquoted(t))))
+            .otherwise(s)
+        )
+
+    def end(s: Column) -> Column:
+        last = F.struct(s["header"].alias("header"), s["rows"].alias("rows"))
+        return F.struct(s["tags"].alias("tags"), F.when(s["mode"].isin("header", "body"), F.array_append(s["loops"], last)).otherwise(s["loops"]).alias("loops"))
+
+    start = F.expr(f"CAST(named_struct('mode', '', 'tag', '', 'text', '', 'header', array(), 'rows', array(), 'tags', array(), 'loops', array()) AS {STATE})")
+    folded = F.aggregate(F.split(F.coalesce("text", F.lit("")), "\r?\n"), start, step, end)
+    return fixed(files.select("entry_id", "text"), f=folded).select("entry_id", "f.tags", "f.loops")
+
+
+def tag_value(tag: str) -> Column:
+    """The first value of a tag of a read file; empty without one, and for . and ?."""
+    found = F.coalesce(F.get(F.filter("tags", lambda x: x["tag"] == tag.lower()), F.lit(0))["value"], F.lit(""))
     return F.when(found.isin(".", "?"), "").otherwise(found)
 
 
-def first_value(text: Column, tags: list[str]) -> Column:
+def first_value(tags: list[str]) -> Column:
     """The first of several tags that has a value."""
-    return F.coalesce(*(F.nullif(tag_value(text, t), F.lit("")) for t in tags), F.lit(""))
-
-
-def structures(files: DataFrame) -> DataFrame:
-    """(entry_id, formula, name, spacegroup, number, a..gamma, volume) of files (entry_id, text)."""
-    t = F.col("text")
-    cell = [number_text(tag_value(t, f"_cell_{kind}_{n}")).alias(n) for n, kind in zip(CELL, ("length",) * 3 + ("angle",) * 3, strict=True)]
-    rows = files.select(
-        "entry_id", F.regexp_replace(first_value(t, ["_chemical_formula_sum", "_chemical_formula_structural"]), r"\s+", "").alias("formula"),
-        first_value(t, ["_chemical_name_mineral", "_chemical_name_common", "_chemical_name_systematic"]).alias("name"),
-        first_value(t, ["_space_group_name_H-M_alt", "_symmetry_space_group_name_H-M"]).alias("spacegroup"),
-        number_text(first_value(t, ["_space_group_IT_number", "_symmetry_Int_Tables_number"])).cast("int").alias("number"), *cell,
-        number_text(tag_value(t, "_cell_volume")).alias("__volume"),
+    return F.coalesce(*(F.nullif(tag_value(t), F.lit("")) for t in tags), F.lit(""))
+
+
+def structures(parsed: DataFrame) -> DataFrame:
+    """(entry_id, formula, name, spacegroup, number, a..gamma, volume) of read files."""
+    cell = [number_text(tag_value(f"_cell_{kind}_{n}")).alias(n) for n, kind in zip(CELL, ("length",) * 3 + ("angle",) * 3, strict=True)]
+    rows = parsed.select(
+        "entry_id", F.regexp_replace(first_value(["_chemical_formula_sum", "_chemical_formula_structural"]), r"\s+", "").alias("formula"),
+        first_value(["_chemical_name_mineral", "_chemical_name_common", "_chemical_name_systematic"]).alias("name"),
+        first_value(["_space_group_name_H-M_alt", "_symmetry_space_group_name_H-M"]).alias("spacegroup"),
+        number_text(first_value(["_space_group_IT_number", "_symmetry_Int_Tables_number"])).cast("int").alias("number"), *cell,
+        number_text(tag_value("_cell_volume")).alias("__volume"),
     )
     return rows.withColumn("volume", F.coalesce("__volume", cell_volume())).drop("__volume")
 
 
-def loop_rows(files: DataFrame, wanted: str) -> DataFrame:
-    """(entry_id, row_no, cells) of the first loop of every file (entry_id, text) that has the tag; cells is a map from tag to text.
+def publications(parsed: DataFrame) -> DataFrame:
+    """(entry_id, title, journal, year, doi, authors) of read files: authors joined by '; ', in order."""
+    authors = parsed.select("entry_id", F.expr("get(filter(loops, x -> array_contains(x.header, '_publ_author_name')), 0).rows").alias("rows"))
+    names = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<string>")), _unquoted), "; ")
+    rows = parsed.select(
+        "entry_id", first_value(["_publ_section_title", "_citation_title"]).alias("title"), first_value(["_journal_name_full", "_citation_journal_full"]).alias("journal"),
+        number_text(first_value(["_journal_year", "_citation_year"])).cast("int").alias("year"), first_value(["_journal_paper_doi", "_citation_doi"]).alias("doi"),
+    )
+    return rows.join(authors.select("entry_id", names.alias("authors")), "entry_id")
 
-    A loop's header is a run of tags, its body ends at an empty line, a tag, another loop or a data block.
-    """
-    lines = files.select("entry_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).withColumn("line", F.trim("line"))
-    by_line = Window.partitionBy("entry_id").orderBy("n")
-    lines = lines.withColumn("loop", F.sum((F.lower("line") == "loop_").cast("int")).over(by_line)).where("loop > 0 AND lower(line) <> 'loop_'")
-    inside = Window.partitionBy("entry_id", "loop").orderBy("n")
-    tag, ends = F.col("line").startswith("_"), (F.col("line") == "") | F.lower("line").startswith("data_")
-    lines = lines.withColumn("body", F.max((~tag).cast("int")).over(inside))
-    # in the body, a tag or an empty line is the end
-    lines = lines.withColumn("over", F.max(((F.col("body") == 1) & (tag | ends)).cast("int")).over(inside)).where("over = 0")
-    packed = lines.groupBy("entry_id", "loop").agg(F.array_sort(F.collect_list(F.struct("n", "body", "line"))).alias("l"))
-    tags = F.transform(F.filter("l", lambda x: x["body"] == 0), lambda x: F.regexp_extract(x["line"], r"^\S+", 0))
-    packed = packed.withColumn("tags", tags).where(F.array_contains("tags", wanted))
-    first = packed.withColumn("k", F.row_number().over(Window.partitionBy("entry_id").orderBy("loop"))).where("k = 1")
-    body = F.filter("l", lambda x: (x["body"] == 1) & ~x["line"].startswith("#"))
-    rows = first.select("entry_id", "tags", F.posexplode(body).alias("row_no", "x"))
-    cells = F.transform(F.regexp_extract_all("x.line", F.lit(r"""'[^']*'|"[^"]*"|\S+"""), F.lit(0)), lambda v: F.regexp_replace(v, r"^(['\"])(.*)\1$", "$2"))
-    rows = rows.withColumn("v", cells).where(F.size("v") >= F.size("tags"))
-    fits = F.when(F.size("v") >= F.size("tags"), F.map_from_arrays("tags", F.slice("v", F.lit(1), F.size("tags"))))
-    return rows.select("entry_id", "row_no", fits.alias("cells"))
-
-
-def atom_sites(files: DataFrame) -> DataFrame:
-    """(entry_id, site_no, label, element, x, y, z, occupancy, biso, uiso) of files; a missing occupancy is 1."""
-    rows = loop_rows(files, "_atom_site_label")
-    get = lambda t: F.col("cells")[t]
+
+def loop_rows(parsed: DataFrame, wanted: str) -> DataFrame:
+    """(entry_id, row_no, cells) of the first loop of every read file that has the tag; cells is a map from tag to text."""
+    first = parsed.select("entry_id", F.get(F.filter("loops", lambda x: F.array_contains(x["header"], wanted.lower())), F.lit(0)).alias("l")).where("l IS NOT NULL")
+    rows = first.select("entry_id", F.col("l.header").alias("tags"), F.posexplode("l.rows").alias("row_no", "line"))
+    cells = F.transform(F.regexp_extract_all("line", F.lit(r"""'[^']*'|"[^"]*"|\S+"""), F.lit(0)), _unquoted)
+    rows = fixed(rows, v=cells).where(F.size("v") >= F.size("tags"))
+    return rows.select("entry_id", "row_no", F.map_from_arrays("tags", F.slice("v", F.lit(1), F.size("tags"))).alias("cells"))
+
+
+def atom_sites(parsed: DataFrame) -> DataFrame:
+    """(entry_id, site_no, label, element, x, y, z, occupancy, biso, uiso) of read files; a missing occupancy is 1."""
+    rows = loop_rows(parsed, "_atom_site_label")
+    get = lambda t: F.col("cells")[t.lower()]
     label = get("_atom_site_label")
     element = F.regexp_extract(F.coalesce(F.nullif(F.nullif(get("_atom_site_type_symbol"), F.lit("?")), F.lit(".")), label), r"^[A-Za-z]{1,2}", 0)
     number = lambda t: number_text(get(t))
@@ -94,11 +134,11 @@ def atom_sites(files: DataFrame) -> DataFrame:
 SYMOP_TAGS = ("_space_group_symop_operation_xyz", "_symmetry_equiv_pos_as_xyz")
 
 
-def symmetry_operations(files: DataFrame) -> DataFrame:
-    """(entry_id, op) of files: the operations of the first kind of loop that a file has, the identity without one."""
-    newer, older = (loop_rows(files, t).select("entry_id", F.regexp_replace(F.col("cells")[t], r"\s", "").alias("op")) for t in SYMOP_TAGS)
+def symmetry_operations(parsed: DataFrame) -> DataFrame:
+    """(entry_id, op) of read files: the operations of the first kind of loop that a file has, the identity without one."""
+    newer, older = (loop_rows(parsed, t).select("entry_id", F.regexp_replace(F.col("cells")[t], r"\s", "").alias("op")) for t in SYMOP_TAGS)
     listed = newer.unionByName(older.join(newer, "entry_id", "left_anti")).where("op <> ''")
-    plain = files.select("entry_id").distinct().join(listed, "entry_id", "left_anti").select("entry_id", F.lit("x,y,z").alias("op"))
+    plain = parsed.select("entry_id").distinct().join(listed, "entry_id", "left_anti").select("entry_id", F.lit("x,y,z").alias("op"))
     return listed.unionByName(plain)
 
 
@@ -122,9 +162,9 @@ def diffraction_rows(peaks: DataFrame, wavelength: float = 1.5406, most: int = 6
     """(entry_id, n, d, two_theta, intensity, h, k, l) as shown: fixed decimals, the `most` first peaks of an entry."""
     n = F.row_number().over(Window.partitionBy("entry_id").orderBy("peak_index"))
     d = wavelength / (2 * F.sin(F.radians(F.col("two_theta") / 2)))
-    fixed = lambda c, k: F.format_string(f"%.{k}f", c)
+    shown = lambda c, k: F.format_string(f"%.{k}f", c)
     rows = peaks.withColumn("n", n).where(F.col("n") <= most)
-    return rows.select("entry_id", "n", fixed(d, 4).alias("d"), fixed(F.col("two_theta"), 3).alias("two_theta"), fixed(F.col("intensity"), 1).alias("intensity"), *(F.col(c).cast("string").alias(c) for c in "hkl"))
+    return rows.select("entry_id", "n", shown(d, 4).alias("d"), shown(F.col("two_theta"), 3).alias("two_theta"), shown(F.col("intensity"), 1).alias("intensity"), *(F.col(c).cast("string").alias(c) for c in "hkl"))
 
 
 # -- reflections ---------------------------------------------------------------------------------------------
@@ -218,7 +258,8 @@ def index_library(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A file whose cell is incomplete or that has no atoms is a phase without peaks.
     """
-    cells, sites, ops = structures(files), atom_sites(files).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"), symmetry_operations(files)
+    parsed = written(read_files(files))
+    cells, sites, ops = written(structures(parsed)), written(atom_sites(parsed).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")), written(symmetry_operations(parsed))
     whole = cells.where(" AND ".join(f"{c} IS NOT NULL" for c in CELL))
     lines = scaled_intensities(merged_lines(structure_factors(reflections(whole, ops), expanded_sites(sites, ops)).where("raw_intensity > 1e-8")))
     index = F.row_number().over(Window.partitionBy("entry_id").orderBy("two_theta")) - 1
@@ -283,8 +324,12 @@ def compact_matches(matches: DataFrame, observed: DataFrame, most: int = 1, fact
 
 
 def consistent_matches(matches: DataFrame, cells: DataFrame, observed: DataFrame, wavelength: float = 1.5406, factor: float = 1.8, least: float = 0.12, highest: float = 0.45) -> DataFrame:
-    """Matches whose angle by the cell (entry_id, a..gamma) lies within a tolerance by the width of the nearest observed peak."""
-    rows = nearest_peak(matches.join(cells.select("entry_id", *CELL), "entry_id"), observed, FAR)
+    """Matches whose angle by the cell (entry_id, a..gamma) lies within a tolerance by the width of the nearest observed peak.
+
+    cells may have a pattern_id as well: then a phase has a cell of its own in every pattern.
+    """
+    keys = [c for c in ("pattern_id", "entry_id") if c in cells.columns]
+    rows = nearest_peak(matches.join(cells.select(*keys, *CELL), keys).select(*matches.columns, *CELL), observed, FAR)
     calculated = two_theta_of_d(d_spacing(), wavelength)
     good = F.round(F.abs(calculated - F.col("angle")), 9) <= _tolerance(F.coalesce("peak_fwhm", F.lit(0.05)), factor, least, highest)
     return rows.where(calculated.isNotNull() & good).select(*matches.columns)
@@ -309,3 +354,74 @@ def refined_cells(matches: DataFrame, cells: DataFrame, observed: DataFrame) ->
     calculated = two_theta_of_d(d_spacing())
     near = checked.where(F.abs(calculated - F.col("angle")) <= 0.45).select(*kept.columns)
     return fitted(near).select(F.substring_index("key", "/", 1).alias("pattern_id"), F.substring_index("key", "/", -1).alias("entry_id"), "system", "a", "b", "c", "n_lines")
+
+
+@dataclass(frozen=True)
+class EvidencePolicy:
+    """Constants of the evidence for a cell (fixed values): weights, lines a peak, tolerances by the peak's width."""
+
+    direct_least: float = 6.0
+    direct_most: float = 100.0
+    overlap_share: float = 0.18
+    overlap_least: float = 1.0
+    overlap_most: float = 18.0
+    direct_a_peak: int = 2
+    overlap_a_peak: int = 1
+    direct_tolerance: tuple[float, float, float] = (0.9, 0.06, 0.30)
+    overlap_tolerance: tuple[float, float, float] = (1.2, 0.08, 0.36)
+    seed_tolerance: tuple[float, float, float] = (2.2, 0.18, 0.60)
+
+
+def observed_matches(assigned: DataFrame, peaks: DataFrame) -> DataFrame:
+    """(pattern_id, entry_id, h, k, l, angle, weight, claims): indexed lines at the observed angle of the peaks that they claim.
+
+    assigned comes from matching.assignments(); claims counts the phases that claim the same peak.
+    """
+    claims = assigned.groupBy("pattern_id", "peak_id").agg(F.count("*").alias("claims"))
+    rows = assigned.select("pattern_id", "peak_id", "entry_id", "peak_index", F.col("observed").alias("angle")).join(claims, ["pattern_id", "peak_id"])
+    rows = rows.join(peaks.select("entry_id", "peak_index", "h", "k", "l", "intensity"), ["entry_id", "peak_index"]).where("h <> 0 OR k <> 0 OR l <> 0")
+    return rows.groupBy("pattern_id", "entry_id", "h", "k", "l", "angle", "claims").agg(F.max("intensity").alias("weight"))
+
+
+def cells_from_evidence(matches: DataFrame, cells: DataFrame, observed: DataFrame, policy: EvidencePolicy = EvidencePolicy()) -> DataFrame:
+    """(pattern_id, entry_id, system, a, b, c, n_lines): the cells (entry_id, system, a..gamma) refined by observed_matches().
+
+    Peaks that one phase alone claims are direct evidence, others overlap. A cell is fitted to the direct evidence; overlapping
+    lines that this cell puts at their peaks join. Where the direct evidence fixes no cell, overlapping lines near the phase's
+    own cell help, if the cell that they give together keeps all the direct lines. What a last fit doesn't explain goes, unless
+    nothing would stay. Phases whose evidence leaves an axis open have null axes.
+    """
+    p, own = policy, ["pattern_id", "entry_id"]
+    plain = ["pattern_id", "entry_id", "h", "k", "l", "angle", "weight"]
+    weighted = lambda rows, share, least, most: rows.withColumn("weight", F.least(F.greatest(F.col("weight") * share, F.lit(least)), F.lit(most))).select(*plain)
+    matches = written(matches)
+    direct = compact_matches(weighted(matches.where("claims = 1"), 1.0, p.direct_least, p.direct_most), observed, p.direct_a_peak, *p.direct_tolerance)
+    overlap = compact_matches(weighted(matches.where("claims > 1"), p.overlap_share, p.overlap_least, p.overlap_most), observed, p.overlap_a_peak, *p.overlap_tolerance)
+    direct, overlap = written(direct), written(overlap)
+    key = F.struct(*own)
+
+    def fit(rows: DataFrame) -> DataFrame:
+        """(pattern_id, entry_id, a..gamma, n_lines) of rows that fix all axes."""
+        lines = rows.join(cells.select("entry_id", "system"), "entry_id").select(key.alias("key"), "system", "h", "k", "l", F.col("angle").alias("two_theta"), "weight")
+        found = cell_fit(lines).where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL").select("key.*", "a", "b", "c", "n_lines")
+        return written(found.join(cells.select("entry_id", "alpha", "beta", "gamma"), "entry_id").select(*own, *CELL, "n_lines"))
+
+    first = fit(direct)
+    settled = overlap.join(first.select(*own), own, "left_semi")
+    near = consistent_matches(settled, first, observed)
+    # phases that direct evidence leaves open
+    open_direct, open_overlap = direct.join(first.select(*own), own, "left_anti"), overlap.join(first.select(*own), own, "left_anti")
+    factor, least, most = p.seed_tolerance
+    seeds = consistent_matches(open_overlap, cells, observed, factor=factor, least=least, highest=most)
+    trial = fit(open_direct.unionByName(seeds))
+    held = consistent_matches(open_direct, trial, observed).groupBy(*own).agg(F.count("*").alias("held"))
+    all_held = open_direct.groupBy(*own).agg(F.count("*").alias("n")).join(held, own).where("n = held").select(*own)
+    alone = trial.join(open_direct.select(*own).distinct(), own, "left_anti").select(*own)
+    good = trial.join(all_held.unionByName(alone), own, "left_semi")
+    helped = consistent_matches(open_overlap, good, observed)
+    whole = written(direct.unionByName(near).unionByName(helped))
+    last = fit(whole)
+    checked = consistent_matches(whole, last, observed)
+    none_left = whole.join(checked.select(*own).distinct(), own, "left_anti")
+    final = fit(checked.unionByName(none_left))
+    return matches.select(*own).distinct().join(cells.select("entry_id", "system"), "entry_id").join(final.select(*own, "a", "b", "c", "n_lines"), own, "left").select(*own, "system", "a", "b", "c", "n_lines")

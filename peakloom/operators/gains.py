@@ -8,11 +8,14 @@ two_theta, intensity).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from peakloom.operators.fitting import gain_stage, hidden_gain
+from peakloom.operators.fitting import combined_gain, exhausted, gain_stage, hidden_gain
 from peakloom.operators.ranges import range_join
+from peakloom.operators.storage import written
 
 OWN = ["pattern_id", "entry_id"]
 LOW, STEP = 5.0, 0.1
@@ -89,6 +92,22 @@ def residual_scales(curve: DataFrame, profiles: DataFrame) -> DataFrame:
     return profiles.select(*OWN).distinct().join(best, OWN, "left").select(*OWN, F.coalesce("scale", F.lit(0.0)).alias("scale"))
 
 
+def profile_gains(curve: DataFrame, profiles: DataFrame, remaining: DataFrame) -> DataFrame:
+    """(pattern_id, entry_id, profile_gain): the share of the residual's error that a candidate's best scaled profile takes away, of what remains.
+
+    Error is the weighted area between curve and target, an excess counted three times; profiles that fit nowhere gain 0.
+    """
+    scaled = profiles.join(residual_scales(curve, profiles), OWN).where("scale > 0")
+    rows = curve.join(scaled, ["pattern_id", "g"]).withColumn("rest", F.greatest(F.col("target") - F.col("total"), F.lit(0.0)))
+    error = lambda c: F.when(c > F.col("rest"), (c - F.col("rest")) * 3.0).otherwise(F.col("rest") - c)
+    # where a profile is 0 the error stays, so the differences at its points suffice
+    less = rows.groupBy(*OWN).agg(F.sum(F.col("w") * (F.col("rest") - error(F.col("p") * F.col("scale")))).alias("less"))
+    whole = curve.groupBy("pattern_id").agg(F.sum(F.col("w") * F.greatest(F.col("target") - F.col("total"), F.lit(0.0))).alias("before"))
+    share = F.least(F.greatest(F.col("less") / F.greatest("before", F.lit(1e-12)), F.lit(0.0)), F.lit(1.0))
+    got = less.join(whole, "pattern_id").join(remaining, "pattern_id").select(*OWN, (F.col("remaining") * share).alias("profile_gain"))
+    return profiles.select(*OWN).distinct().join(got, OWN, "left").select(*OWN, F.coalesce("profile_gain", F.lit(0.0)).alias("profile_gain"))
+
+
 # -- records -------------------------------------------------------------------------------------------------
 
 
@@ -233,7 +252,8 @@ def line_gains(lines: DataFrame, residual: DataFrame, observed: DataFrame, stick
     the candidate: most if nothing is observed there, less if a stick, the total or any peak explains them.
     """
     tol = min(max(2.4 * fwhm, 0.26), 0.72)
-    strong = ranked_lines(lines, 42).withColumn("w", F.pow(F.greatest(F.col("intensity") / 100, F.lit(0.025)), F.lit(0.55)) / F.sqrt(F.col("rank") + 1)).persist()
+    strong = ranked_lines(lines, 42).withColumn("w", F.pow(F.greatest(F.col("intensity") / 100, F.lit(0.025)), F.lit(0.55)) / F.sqrt(F.col("rank") + 1))
+    strong = written(strong)
     nth = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("area"), "peak_id"))
     first = residual.withColumn("nth", nth).withColumn("reach", F.greatest(F.lit(tol), F.least(F.lit(0.95), 1.7 * F.col("fwhm"))))
     pairs = range_join(strong.select(*OWN, "peak_index", "two_theta", "rank", "intensity", "w"), first.select("pattern_id", "nth", F.col("two_theta").alias("place"), "area", "reach"), "two_theta", "place", "reach", ["pattern_id"], width=1.5)
@@ -243,7 +263,8 @@ def line_gains(lines: DataFrame, residual: DataFrame, observed: DataFrame, stick
     one = F.struct("nth", delta.alias("delta"), "peak_index", "rank", "intensity", "w", "area", (1 - delta / F.col("reach")).alias("q"))
     packed = pairs.groupBy(*OWN).agg(F.array_sort(F.collect_list(one)).alias("p"))
     take = lambda a, v: F.when(F.exists(a, lambda t: (t["nth"] == v["nth"]) | (t["peak_index"] == v["peak_index"])), a).otherwise(F.array_append(a, v))
-    met = packed.select(*OWN, F.explode(F.aggregate("p", F.expr(f"CAST(array() AS array<struct<{fields}>>)"), take)).alias("m")).select(*OWN, "m.*").persist()
+    met = packed.select(*OWN, F.explode(F.aggregate("p", F.expr(f"CAST(array() AS array<struct<{fields}>>)"), take)).alias("m")).select(*OWN, "m.*")
+    met = written(met)
     areas = first.groupBy("pattern_id").agg(F.sum("area").alias("all"), F.sum(F.when(F.col("nth") <= 14, F.col("area"))).alias("major_all"))
     useful = met.groupBy(*OWN).agg(
         F.sum(F.col("area") * (0.35 + 0.65 * F.col("q"))).alias("useful"), F.sum(F.when(F.col("nth") <= 14, F.col("area")).otherwise(0.0)).alias("major"), F.sum("w").alias("m"),
@@ -288,23 +309,81 @@ def pooled(*parts: DataFrame) -> DataFrame:
     return whole.distinct().withColumn("gain", F.lit(None).cast("double"))
 
 
-def gain_rank(candidates: DataFrame, peaks: DataFrame, records: DataFrame, sticks: DataFrame, curve: DataFrame) -> DataFrame:
-    """(pattern_id, entry_id, stage, gain, place): the candidates by what they would add to the chosen phases of their patterns.
+@dataclass(frozen=True)
+class GainContext:
+    """What all gains of a pattern's candidates read: curve, records and sticks of the chosen phases, residual and missing lines,
+    stage, fit and what remains. Each is written once (gain_context())."""
+
+    curve: DataFrame
+    records: DataFrame
+    sticks: DataFrame
+    direct: DataFrame
+    overlap: DataFrame
+    stages: DataFrame
+
 
-    Residual lines decide the stage of a pattern: direct with two of them, else overlap with two missing heights, else
-    hidden. Line gains count in the first two, presence in the last.
+def gain_context(records: DataFrame, sticks: DataFrame, curve: DataFrame, phases: int = 2) -> GainContext:
+    """The context of weighted curves, and of patterns that are exhausted, by their fit and their residual share, none.
+
+    stages: (pattern_id, stage, remaining): direct with two residual lines, else overlap with two missing heights, else hidden.
     """
-    # both are a part of a pattern's records, and read by several branches
-    direct, overlap = residual_lines(records, sticks, curve).persist(), overlap_lines(records, sticks, curve).persist()
+    curve, records, sticks = written(curve), written(records), written(sticks)
+    direct, overlap = written(residual_lines(records, sticks, curve)), written(overlap_lines(records, sticks, curve))
     count = lambda df, name: df.groupBy("pattern_id").agg(F.count("*").alias(name))
-    stages = records.select("pattern_id").distinct().join(count(direct, "d"), "pattern_id", "left").join(count(overlap, "o"), "pattern_id", "left").na.fill(0, ["d", "o"])
-    stages = stages.select("pattern_id", gain_stage(F.col("d"), F.col("o")).alias("stage"))
-    remaining = fit_summary(curve).select("pattern_id", (100 - F.col("fit")).alias("remaining"))
+    stages = fit_summary(curve).join(count(direct, "d"), "pattern_id", "left").join(count(overlap, "o"), "pattern_id", "left").na.fill(0, ["d", "o"])
+    open_ = ~F.coalesce(exhausted(F.col("fit"), F.lit(phases), 100 - F.col("fit"), F.col("residual_share")), F.lit(False))
+    stages = stages.where(open_).select("pattern_id", gain_stage(F.col("d"), F.col("o")).alias("stage"), (100 - F.coalesce("fit", F.lit(0.0))).alias("remaining"))
+    return GainContext(curve, records, sticks, direct, overlap, written(stages))
+
+
+def gain_bounds(lines: DataFrame, context: GainContext, fwhm: float = 0.18) -> DataFrame:
+    """(pattern_id, entry_id, bound): no candidate gains more than this: what remains times the share of the residual area that its lines reach.
+
+    One range join and one aggregation, without the ordered fold of line_gains(); candidates that reach no record are not among it.
+    """
+    tol = min(max(2.4 * fwhm, 0.26), 0.72)
+    residual = context.direct.join(context.stages.where("stage = 'direct'"), "pattern_id", "left_semi").unionByName(context.overlap.join(context.stages.where("stage = 'overlap'"), "pattern_id", "left_semi").select(*context.direct.columns))
+    areas = residual.groupBy("pattern_id").agg(F.sum("area").alias("all"))
+    first = residual.select("pattern_id", "peak_id", F.col("two_theta").alias("place"), "area", F.greatest(F.lit(tol), F.least(F.lit(0.95), 1.7 * F.col("fwhm"))).alias("reach"))
+    pairs = range_join(ranked_lines(lines, 42).select(*OWN, "two_theta"), first, "two_theta", "place", "reach", ["pattern_id"], width=1.5)
+    met = pairs.groupBy(*OWN, "peak_id").agg(F.first("area").alias("area")).groupBy(*OWN).agg(F.sum("area").alias("area"))
+    rows = met.join(areas, "pattern_id").join(context.stages, "pattern_id")
+    return rows.select(*OWN, (F.col("remaining") * F.least(F.col("area") / F.greatest("all", F.lit(1e-12)), F.lit(1.0))).alias("bound"))
+
+
+def gain_rank(candidates: DataFrame, peaks: DataFrame, context: GainContext, profiles: DataFrame | None = None, most: int = 20, first: int = 3) -> DataFrame:
+    """(pattern_id, entry_id, stage, gain, place): the `most` candidates by what they would add to the chosen phases of their patterns.
+
+    Line gains count in the direct and overlap stages, checked by the profile gain where profiles (pattern_id, entry_id, g, p) are
+    given; presence counts in the hidden stage. Candidates whose bound lies under the `most`-th best gain of those with the
+    `first` times `most` largest bounds can't be among the best and are left out, so the ordered fold runs for few; none is
+    lost, as a bound is never exceeded.
+    """
     lines = peaks.join(candidates.select(*OWN), "entry_id")
-    of = lambda df, s: df.join(stages.where(F.col("stage") == s).select("pattern_id"), "pattern_id", "left_semi")
-    first = line_gains(of(lines, "direct"), direct, records, sticks, curve, remaining)
-    second = line_gains(of(lines, "overlap"), overlap, records, sticks, curve, remaining, overlapping=True)
-    third = hidden_presence(of(lines, "hidden"), records, records).join(remaining, "pattern_id").select(*OWN, hidden_gain(F.col("remaining"), F.col("presence")).alias("gain"))
-    gains = first.unionByName(second).unionByName(third)
-    rows = candidates.select(*OWN).join(stages, "pattern_id").join(gains, OWN, "left").withColumn("gain", F.round(F.coalesce("gain", F.lit(0.0)), 4))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("gain"), "entry_id")))
+    hidden = context.stages.where("stage = 'hidden'")
+    bounds = written(gain_bounds(lines, context))
+    by_bound = Window.partitionBy("pattern_id").orderBy(F.desc("bound"), "entry_id")
+    bounds = written(bounds.withColumn("b", F.row_number().over(by_bound)))
+    early = written(_line_gains_by_stage(lines, bounds.where(F.col("b") <= first * most), context, profiles))
+    place = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("gain")))
+    bar = early.withColumn("r", place).where(F.col("r") == most).select("pattern_id", F.col("gain").alias("bar"))
+    late = bounds.where(F.col("b") > first * most).join(bar, "pattern_id", "left").where(F.col("bound") >= F.coalesce("bar", F.lit(0.0)))
+    gains = early.unionByName(_line_gains_by_stage(lines, late, context, profiles))
+    third = hidden_presence(lines.join(hidden.select("pattern_id"), "pattern_id", "left_semi"), context.records, context.records).join(hidden, "pattern_id")
+    gains = gains.unionByName(third.select(*OWN, hidden_gain(F.col("remaining"), F.col("presence")).alias("gain")))
+    rows = gains.withColumn("gain", F.round("gain", 4)).where("gain > 0").join(context.stages.select("pattern_id", "stage"), "pattern_id")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("gain"), "entry_id")))
+    return rows.where(F.col("place") <= most).select(*OWN, "stage", "gain", "place")
+
+
+def _line_gains_by_stage(lines: DataFrame, chosen: DataFrame, context: GainContext, profiles: DataFrame | None) -> DataFrame:
+    """(pattern_id, entry_id, gain) of the chosen candidates of patterns in the direct and the overlap stage."""
+    lines = lines.join(chosen.select(*OWN), OWN, "left_semi")
+    of = lambda stage: lines.join(context.stages.where(F.col("stage") == stage).select("pattern_id"), "pattern_id", "left_semi")
+    remaining = context.stages.select("pattern_id", "remaining")
+    gains = line_gains(of("direct"), context.direct, context.records, context.sticks, context.curve, remaining)
+    gains = gains.unionByName(line_gains(of("overlap"), context.overlap, context.records, context.sticks, context.curve, remaining, overlapping=True))
+    if profiles is None:
+        return gains
+    checked = profile_gains(context.curve, profiles.join(chosen.select(*OWN), OWN, "left_semi"), remaining)
+    return gains.join(checked, OWN, "left").select(*OWN, combined_gain(F.col("gain"), F.col("profile_gain")).alias("gain"))

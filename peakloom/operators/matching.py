@@ -155,9 +155,14 @@ def consensus_zero(shifts: DataFrame, policy: MatchPolicy = MatchPolicy()) -> Da
 
 def assignments(observed: DataFrame, peaks: DataFrame, selected: DataFrame, base: float = 0.3) -> DataFrame:
     """Per observed peak and selected phase of its pattern: the nearest line within the peak's own tolerance."""
-    tol = F.greatest(F.lit(base), F.least(F.lit(0.75), F.greatest(F.lit(0.12), 1.35 * F.col("fwhm"))))
-    probes = observed.select("pattern_id", "peak_id", F.col("two_theta").alias("observed"), tol.alias("reach"))
     lines = peaks.where("intensity >= 5").join(selected, "entry_id").select("pattern_id", "entry_id", "peak_index", "two_theta")
+    return assigned_lines(observed.withColumn("base", F.lit(base)), lines)
+
+
+def assigned_lines(observed: DataFrame, lines: DataFrame) -> DataFrame:
+    """assignments() of placed lines (pattern_id, entry_id, peak_index, two_theta); observed has a column base, the least tolerance."""
+    tol = F.greatest(F.col("base"), F.least(F.lit(0.75), F.greatest(F.lit(0.12), 1.35 * F.col("fwhm"))))
+    probes = observed.select("pattern_id", "peak_id", F.col("two_theta").alias("observed"), tol.alias("reach"))
     pairs = range_join(lines, probes, "two_theta", "observed", "reach", ["pattern_id"], width=1.0)
     delta = F.col("observed") - F.col("two_theta")
     return nearest(pairs, ["pattern_id", "peak_id", "entry_id"], F.round(F.abs(delta), 9), F.struct("two_theta", "peak_index"), ["peak_index", "two_theta", "observed"])

@@ -11,7 +11,7 @@ from peakloom.functions import scattering as A
 from peakloom.functions.chemistry import d_spacing, lorentz_polarisation, two_theta_of_d
 from peakloom.operators import crystals as X
 from peakloom.operators.fitting import cell_fit
-from peakloom.operators.matching import strong_lines
+from peakloom.operators.matching import assignments, strong_lines
 from peakloom.plans.fixtures import SEARCH_EVERY, searches, view, with_searches, with_views
 from peakloom.plans.matching_queries import _SELECTED, selected
 from peakloom.plans.search_queries import VOLUME
@@ -97,6 +97,7 @@ def radiation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Structure files of all phases, as texts.
 FILES = """concat_ws(chr(10), 'data_' || entry_id, '# phase ' || entry_id, '_chemical_formula_sum ''' || formula || '''', CASE WHEN CAST(entry_id AS INT) % 2 = 0 THEN '_chemical_name_mineral "' || name || '"' ELSE concat('_chemical_name_mineral ?', chr(10), '_chemical_name_common', chr(10), ';', name, chr(10), ';') END,
   '_symmetry_space_group_name_H-M   ''' || spacegroup || '''', '_space_group_IT_number ' || CAST(1 + CAST(entry_id AS INT) % 230 AS STRING), '_cell_length_a ' || CAST(a AS STRING) || '(2)', '_cell_length_b ' || CAST(b AS STRING), '_cell_length_c ' || CAST(c AS STRING) || '(12)', '_cell_angle_alpha 90', '_cell_angle_beta 90.0', '_cell_angle_gamma ' || CAST(gamma AS STRING),
+  '_publ_section_title', ';', 'On the structure', '  of ' || name, ';', '_journal_name_full ''Acta of ' || source || '''', '_journal_year ' || CAST(1950 + CAST(entry_id AS INT) % 70 AS STRING), 'loop_', '_publ_author_name', '''Miller, W. H.''', '"Bragg, L."', '',
   'loop_', '_symmetry_equiv_pos_as_xyz', '''x,y,z''', '-x,-y,z+1/2', '''-x, y, -z''', 'x,-y,1/2-z', '', 'loop_', '_atom_site_label', '_atom_site_type_symbol', '_atom_site_fract_x', '_atom_site_fract_y', '_atom_site_fract_z', '_atom_site_occupancy', '_atom_site_B_iso_or_equiv',
   'Ca1 Ca ' || CAST(CAST(CAST(entry_id AS INT) % 7 AS DOUBLE) / 8 AS STRING) || ' 0.25(1) 0.1 1 ?', '# a remark', 'O1 . 0.306 0 0.25 0.9 0.55', 'short row', '_after 1')"""
 
@@ -110,17 +111,22 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     P + f" SELECT entry_id, formula, name, spacegroup, CAST(1 + {N} % 230 AS INT) AS number, a, b, c, 90.0::DOUBLE AS alpha, 90.0::DOUBLE AS beta, gamma, round({VOLUME}, 6) AS volume FROM ref_phase",
 )
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.structures(_files(spark, sf_dir)).withColumn("volume", F.round("volume", 6))
+    return X.structures(X.read_files(_files(spark, sf_dir))).withColumn("volume", F.round("volume", 6))
 
 
 @query("s9_atom_sites", P + f" SELECT entry_id, 0 AS site_no, 'Ca1' AS label, 'Ca' AS element, ({N} % 7) / 8.0::DOUBLE AS x, 0.25::DOUBLE AS y, 0.1::DOUBLE AS z, 1.0::DOUBLE AS occupancy, NULL::DOUBLE AS biso, NULL::DOUBLE AS uiso FROM ref_phase UNION ALL SELECT entry_id, 1, 'O1', 'O', 0.306, 0, 0.25, 0.9, 0.55, NULL FROM ref_phase")
 def atom_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.atom_sites(_files(spark, sf_dir))
+    return X.atom_sites(X.read_files(_files(spark, sf_dir)))
+
+
+@query("s9_publications", P + f" SELECT entry_id, 'On the structure of ' || name AS title, 'Acta of ' || source AS journal, CAST(1950 + {N} % 70 AS INT) AS year, '' AS doi, 'Miller, W. H.; Bragg, L.' AS authors FROM ref_phase")
+def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.publications(X.read_files(_files(spark, sf_dir)))
 
 
 @query("s9_symmetry_operations", P + " SELECT entry_id, unnest(['x,y,z', '-x,-y,z+1/2', '-x,y,-z', 'x,-y,1/2-z']) AS op FROM ref_phase")
 def symmetry_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.symmetry_operations(_files(spark, sf_dir))
+    return X.symmetry_operations(X.read_files(_files(spark, sf_dir)))
 
 
 @query(
@@ -129,7 +135,7 @@ def symmetry_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def atom_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites packed as JSON and shown again."""
-    return X.atom_rows(X.atoms_json(X.atom_sites(_files(spark, sf_dir))))
+    return X.atom_rows(X.atoms_json(X.atom_sites(X.read_files(_files(spark, sf_dir)))))
 
 
 @query(
@@ -281,6 +287,14 @@ def refined_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.select("entry_id", "system", *(F.round(c, 4).alias(c) for c in "abc"))
 
 
+@query("q9_observed_cells")
+def observed_cells(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """Cells of the phases that the search ranks, refined by the observed peaks that they claim alone or with others."""
+    peaks, observed, cells = view(spark, sf_dir, "ref_peak"), searches(spark, sf_dir, every), _phases(spark, sf_dir).withColumn("system", _system())
+    found = X.cells_from_evidence(X.observed_matches(assignments(observed, peaks, selected(spark, sf_dir, every)), peaks), cells, observed)
+    return found.select("pattern_id", "entry_id", "system", *(F.round(c, 4).alias(c) for c in "abc"), "n_lines")
+
+
 @query(
     "a12_cell_fit",
     R + f", {_gram()} SELECT x.entry_id AS key, {SYSTEM} AS system, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM ref_phase x JOIN res ON x.entry_id = res.key WHERE resolved",

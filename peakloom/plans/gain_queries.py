@@ -214,3 +214,50 @@ def gain_pool(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> Da
     """Candidates of two searches and earlier ones, each once, without scores."""
     parts = (_ranked(spark, sf_dir, every, c) for c in ("rank BETWEEN 3 AND 10", "rank BETWEEN 8 AND 12", "rank BETWEEN 10 AND 15"))
     return G.pooled(*parts).where("gain IS NULL").select(*G.OWN)
+
+
+def _context(spark: SparkSession, sf_dir: str, every: int) -> G.GainContext:
+    return G.gain_context(searches(spark, sf_dir, every), _sticks(spark, sf_dir, every), weighted(spark, sf_dir, every))
+
+
+@query(
+    "a23_line_gains",
+    (with_searches(*_ALL) + f""", {_SET}, {_WEIGHTED}, {_SUMMARY}, {_RESIDUAL}, {_strong_sql(42)},
+sw AS (SELECT *, pow(greatest(intensity / 100, 0.025::DOUBLE), 0.55) / sqrt(rank + 1) AS w FROM sr),
+rf AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY area DESC, peak_id) AS nth, greatest(0.432::DOUBLE, least(0.95::DOUBLE, 1.7::DOUBLE * fwhm)) AS reach FROM rs),
+cd AS (SELECT sw.pattern_id, sw.entry_id, nth, peak_index, rank, intensity, w, area, round(abs(rf.two_theta - sw.two_theta), 9) AS delta, reach, row_number() OVER (PARTITION BY sw.pattern_id, sw.entry_id ORDER BY nth, round(abs(rf.two_theta - sw.two_theta), 9), peak_index) AS o
+  FROM sw JOIN rf ON rf.pattern_id = sw.pattern_id AND sw.two_theta BETWEEN rf.two_theta - reach AND rf.two_theta + reach),
+RECURSE,
+mt AS (SELECT cd.*, 1 - delta / reach AS q FROM cd JOIN (SELECT DISTINCT pattern_id, entry_id, unnest(taken) AS o FROM fold f WHERE NOT EXISTS (SELECT 1 FROM fold g WHERE g.pattern_id = f.pattern_id AND g.entry_id = f.entry_id AND g.o > f.o)) t USING (pattern_id, entry_id, o)),
+ar AS (SELECT pattern_id, sum(area) AS al, sum(area) FILTER (WHERE nth <= 14) AS ma FROM rf GROUP BY pattern_id),
+us AS (SELECT pattern_id, entry_id, sum(area * (0.35::DOUBLE + 0.65::DOUBLE * q)) AS useful, coalesce(sum(area) FILTER (WHERE nth <= 14), 0) AS major, sum(w) AS m, coalesce(sum(w) FILTER (WHERE rank < 12), 0) AS m_top, count(*) FILTER (WHERE rank < 12) AS n_top FROM mt GROUP BY ALL),
+lf AS (SELECT sw.*, EXISTS (SELECT 1 FROM st WHERE st.pattern_id = sw.pattern_id AND round(abs(stick - two_theta), 9) <= 0.432) AS rep, EXISTS (SELECT 1 FROM obs_peak o WHERE o.pattern_id = sw.pattern_id AND round(abs(o.two_theta - sw.two_theta), 9) <= 0.432) AS seen
+  FROM sw WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.pattern_id = sw.pattern_id AND mt.entry_id = sw.entry_id AND mt.peak_index = sw.peak_index)),
+lk AS (SELECT lf.*, CASE WHEN rep THEN 'stick' WHEN coalesce(cv.total >= greatest(sf, 0.35::DOUBLE * cv.target), false) THEN 'profile' WHEN seen THEN 'seen' ELSE 'absent' END AS kind FROM lf LEFT JOIN cv ON cv.pattern_id = lf.pattern_id AND cv.g = CAST(round((lf.two_theta - 5.0::DOUBLE) / 0.1::DOUBLE) AS INT) LEFT JOIN fl ON fl.pattern_id = lf.pattern_id),
+ag AS (SELECT pattern_id, entry_id, coalesce(sum(w * CASE WHEN rank < 10 THEN 3.25::DOUBLE ELSE 1.35::DOUBLE END) FILTER (WHERE kind = 'absent'), 0) AS ab, count(*) FILTER (WHERE kind = 'absent' AND rank < 12) AS ab_top, coalesce(sum(w * CASE kind WHEN 'stick' THEN 0.80::DOUBLE ELSE 0.65::DOUBLE END) FILTER (WHERE kind IN ('stick', 'profile')), 0) AS rp, coalesce(sum(w * 0.5::DOUBLE) FILTER (WHERE kind = 'seen'), 0) AS onl FROM lk GROUP BY ALL),
+cq AS (SELECT *, ln(area / intensity) AS ratio, count(*) OVER (PARTITION BY pattern_id, entry_id) AS n FROM mt WHERE area > 0 AND intensity > 0), ch AS (SELECT *, round(abs(ratio - quantile_cont(ratio, 0.5) OVER (PARTITION BY pattern_id, entry_id)), 9) AS off FROM cq WHERE n >= 3),
+cr AS (SELECT *, row_number() OVER (PARTITION BY pattern_id, entry_id ORDER BY off, peak_index) AS j FROM ch), co AS (SELECT pattern_id, entry_id, least(greatest(exp(-(sum(w * off) / sum(w)) / 0.95::DOUBLE) * count(*) / any_value(n), 0.05), 1) AS coh FROM cr WHERE j <= greatest(3, n - least(2, n // 5)) GROUP BY pattern_id, entry_id),
+sz AS (SELECT pattern_id, entry_id, count(*) AS n, sum(w) FILTER (WHERE rank < 12) AS top_w, count(*) FILTER (WHERE rank < 12) AS checked FROM sw GROUP BY ALL),
+fin AS (SELECT sz.*, 100 - fit AS remaining, useful / greatest(al, 1e-12) AS cov, major / greatest(ma, 1e-12) AS maj, m / (m + 3.4::DOUBLE * coalesce(ab, 0) + 1.6::DOUBLE * coalesce(rp, 0) + coalesce(onl, 0)) AS sup, m_top / greatest(top_w, 1e-12) AS anc, n_top, coalesce(ab, 0) AS ab, coalesce(ab_top, 0) AS ab_top, m, coalesce(coh, 0) AS coh
+  FROM sz JOIN us USING (pattern_id, entry_id) LEFT JOIN ag USING (pattern_id, entry_id) LEFT JOIN co USING (pattern_id, entry_id) JOIN ar USING (pattern_id) JOIN fs USING (pattern_id))
+SELECT pattern_id, entry_id, round(CASE WHEN n < 3 OR (n_top < 2 AND anc < 0.20) OR (ab_top >= greatest(3, ceil(0.34::DOUBLE * checked)) AND ab > 1.15 * m) OR maj < 0.18 OR cov < 0.035 OR sup < 0.22 OR anc < 0.16 OR coh < 0.10 THEN 0
+  ELSE least(greatest(remaining * least(cov, 1) * least(maj / 0.38, 1) * least(sup / 0.48, 1) * least(anc / 0.42, 1) * (0.45::DOUBLE + 0.55::DOUBLE * coh), 0), remaining) END, 4) AS gain FROM fin""").replace(
+        "RECURSE",
+        # candidates' pairs in order: each takes its record and its line if both are free
+        """fold AS (SELECT pattern_id, entry_id, o, [o] AS taken, [nth] AS ns, [peak_index] AS ps FROM cd WHERE o = 1
+UNION ALL SELECT cd.pattern_id, cd.entry_id, cd.o, CASE WHEN list_contains(ns, nth) OR list_contains(ps, peak_index) THEN taken ELSE list_append(taken, cd.o) END, CASE WHEN list_contains(ns, nth) OR list_contains(ps, peak_index) THEN ns ELSE list_append(ns, nth) END,
+  CASE WHEN list_contains(ns, nth) OR list_contains(ps, peak_index) THEN ps ELSE list_append(ps, peak_index) END FROM fold JOIN cd ON cd.pattern_id = fold.pattern_id AND cd.entry_id = fold.entry_id AND cd.o = fold.o + 1)""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def line_gains(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """What the residual lines give to the candidates' lines, as if all patterns were in the direct stage."""
+    c = _context(spark, sf_dir, every)
+    remaining = G.fit_summary(c.curve).select("pattern_id", (100 - F.col("fit")).alias("remaining"))
+    return G.line_gains(_lines(spark, sf_dir, every), c.direct, c.records, c.sticks, c.curve, remaining).withColumn("gain", F.round("gain", 4))
+
+
+@query("q8_gain_rank")
+def gain_rank(spark: SparkSession, sf_dir: str, every: int = SEARCH_EVERY) -> DataFrame:
+    """The next phase of every pattern: the candidates by line gain, checked by profile gain, or by presence."""
+    candidates = _ranked(spark, sf_dir, every, "rank BETWEEN 3 AND 20")
+    return G.gain_rank(candidates, view(spark, sf_dir, "ref_peak"), _context(spark, sf_dir, every), _profile(spark, sf_dir, candidates))

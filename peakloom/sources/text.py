@@ -46,7 +46,7 @@ def xy_points(lines: DataFrame, file: str = "file_id") -> DataFrame:
     """(file, i, x, y) of lines (file, line_no, line) with two numbers or more."""
     found = lines.withColumn("__v", numeric_columns(F.col("line"))).where(F.size("__v") >= 2)
     i = F.row_number().over(Window.partitionBy(file).orderBy("line_no")) - 1
-    return found.select(file, i.alias("i"), F.col("__v")[0].alias("x"), F.col("__v")[1].alias("y"))
+    return found.select(file, i.alias("i"), F.get("__v", F.lit(0)).alias("x"), F.get("__v", F.lit(1)).alias("y"))
 
 
 def header_value(text: Column, keys: list[str]) -> Column:
