@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Number = Column | float | int
+#: Samples on either side of a peak that are searched before all others.
+NEAR = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,10 +90,10 @@ def gaussian_filter(ys: Column, sigma: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
     def filtered(w: Column) -> Column:
-        share = lambda s: F.transform(ys, lambda _, i: total(F.zip_with(F.slice(s, i + 1, F.size(w)), w, lambda v, k: v * k)) / total(w))
-        return let(_around(ys, reach, reach), share)
+        return let(_around(ys, reach, reach), lambda s: F.transform(ys, lambda _, i: total(F.zip_with(F.slice(s, i + 1, F.size(w)), w, lambda v, k: v * k))))
 
-    return let(weights, filtered)
+    shares = lambda w: let(total(w), lambda t: F.transform(w, lambda k: k / t))
+    return let(let(weights, shares), filtered)
 
 
 def gradient(ys: Column) -> Column:
@@ -147,8 +149,10 @@ def measured(ys: Column, at: Column) -> Column:
     n = F.size(ys)
 
     def side(part: Column, y: Column) -> Column:
-        """The part of one side, nearest first, up to a higher sample."""
-        return let(F.array_position(F.transform(part, lambda v: v > y), True).cast("int"), lambda k: F.when(k == 0, part).otherwise(F.slice(part, F.lit(1), k - 1)))
+        """The part of one side, nearest first, up to a higher sample; that is mostly near, so NEAR samples are looked at first."""
+        higher = lambda a: F.array_position(F.transform(a, lambda v: v > y), True).cast("int")
+        whole = lambda: let(higher(part), lambda k: F.when(k == 0, part).otherwise(F.slice(part, F.lit(1), k - 1)))
+        return let(higher(F.slice(part, F.lit(1), F.lit(NEAR))), lambda k: F.when(k > 0, F.slice(part, F.lit(1), k - 1)).otherwise(whole()))
 
     def crossing(part: Column, y: Column, level: Column) -> Column:
         """Distance from the peak to where the part falls to the level."""

@@ -105,8 +105,13 @@ def snip_arrays(ys: Column, iterations: int) -> Column:
 
 
 def as_arrays(trace: DataFrame) -> DataFrame:
-    """(pattern_id, xs, ys) with a row a pattern."""
-    packed = trace.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
+    """(pattern_id, xs, ys) with a row a pattern.
+
+    Arrays are few bytes and much work, so they are dealt to as many tasks as the session has shuffle partitions; without the
+    explicit number adaptive execution would join them into a few.
+    """
+    tasks = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = trace.repartition(tasks, "pattern_id").groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("p"))
     return packed.select("pattern_id", F.transform("p", lambda v: v["x"]).alias("xs"), F.transform("p", lambda v: v["y"]).alias("ys"))
 
 
@@ -123,14 +128,16 @@ def node_baseline(trace: DataFrame, bins: int, percent: float = 0.1) -> DataFram
 def interpolate(trace: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """Adds the linear interpolation of nodes (pattern_id, nx, ny) at x; flat beyond the first and the last node.
 
-    Nodes and rows are sorted together once, and each row sees its neighbours by the last and next filled value.
+    Nodes and rows are sorted together, and each row sees its neighbours by the last filled value before it, in either order; a
+    frame that reaches to the end would be read again for every row.
     """
     both = trace.withColumn("__p", F.lit(None).cast("struct<nx:double,ny:double>")).unionByName(
         nodes.select("pattern_id", F.col("nx").alias("x"), F.struct("nx", "ny").alias("__p")), allowMissingColumns=True
     )
     w = Window.partitionBy("pattern_id").orderBy("x", F.col("__p").isNull())
     left = F.last("__p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("__p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("pattern_id").orderBy(F.desc("x"), F.col("__p").isNull().desc())
+    right = F.last("__p", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     both = both.withColumn("__l", left).withColumn("__r", right).where("__p IS NULL")
     l, r = F.col("__l"), F.col("__r")  # noqa: E741
     value = F.when(l.isNull(), r["ny"]).when(r.isNull() | (r["nx"] == l["nx"]) | (F.col("x") == l["nx"]), l["ny"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import arrays as A
 from peakloom.functions.arrays import fixed
 from peakloom.operators.signal import as_arrays, by_x, interpolate, own, resample, snip_arrays
+from peakloom.operators.storage import written
 
 NO_PEAKS = "CAST(array() AS array<struct<i:int,y:double,prominence:double,width:double>>)"
 
@@ -382,7 +383,9 @@ def choose_background(traces: DataFrame) -> DataFrame:
     long = described(traces.where(F.size("ys") >= 15))
     y, step, n, noise = F.col("ys"), F.col("step"), F.col("n"), F.col("noise")
     smooth = lambda percent, width, sigma: A.gaussian_filter(A.rank_filter(y, percent, A.odd_points(width, step, 5, n)), F.greatest(sigma / step, F.lit(2.0)))
+    # stages that several branches read are written once
     rows = fixed(long, span=F.greatest(A.quantile(y, 0.99) - A.quantile(y, 0.01), F.lit(1.0)), floor=smooth(12.0, 1.2, 0.6), support_curve=smooth(18.0, 5.0, 2.0), edge=F.greatest(F.lit(5), _div(n, 12)))
+    rows = written(rows)
     bases = {
         "snip": rows.withColumn("baseline", snip_arrays(y, 24)), "series": with_series(rows, "ys", 6, "baseline"), "envelope": envelope(rows),
     }
@@ -397,7 +400,7 @@ def choose_background(traces: DataFrame) -> DataFrame:
     every = fixed(every, own_cost=2.2 * median(F.transform("gap", lambda v: F.abs(v))) + 2.5 * ends)
     scales = F.explode(F.array(*(F.struct(F.lit(a).alias("support"), F.lit(b).alias("smoothing")) for a, b in TRIAL_SCALES)))
     trials = every.withColumn("scale", scales).select("*", "scale.*").drop("scale")
-    trials = trials.withColumn("low", halo_support(trials, F.col("support"), F.col("smoothing")))
+    trials = written(trials.withColumn("low", halo_support(trials, F.col("support"), F.col("smoothing"))))
     keys = ["pattern_id", "k", "support"]
     trials = trials.join(fitted_series(trials, keys, "low", TRIAL_DEGREES), keys)
     trials = fixed(trials, total=F.zip_with("baseline", series_values(F.col("xs"), F.col("coefficients")), lambda b, h: b + F.greatest(h, F.lit(0.0))))
