@@ -41,6 +41,8 @@ SLICE_CODES, COUNTED = 4 << 20, 2_000_000
 COUNTED_PART, DELETED_PART, TEST_PART = 0, 1, 2
 DELETED_EVERY = 10
 ROUNDS, CLOSE = 30, 1e-5
+#: The even share keeps this weight at least, so that no text is impossible.
+LEAST_EVEN = 1e-9
 #: Documents whose sums travel together (a power of two).
 BLOCK_DOCUMENTS = 1024
 #: Hashes of the tokens that no text holds, and the key of the first.
@@ -342,7 +344,8 @@ def learn_weights(pairs: DataFrame, tokens: int, words: int, rounds: int = ROUND
         fit = sum(r.fit for r in found)
         for r in found:
             mass = np.array([r.s0, r.s1, r.s2])
-            weights[r.digits], seen[r.digits] = np.round(mass / mass.sum(), 9), True
+            mass[2] = max(mass[2], LEAST_EVEN * mass.sum())
+            weights[r.digits], seen[r.digits] = mass / mass.sum(), True
         if last is not None and abs(fit - last) <= CLOSE * abs(last):
             break
         last = fit
@@ -372,7 +375,7 @@ def model_scores(docs: DataFrame, head, hot, weights: np.ndarray, buckets: int)
             here = known | (vn == 0) | (s.n == 0)
             a, q = mixture(head.value, weights, vn[here], s.n[here])
             n = np.where(known, counts[at], 0)[here] if len(hashes) else 0
-            sums = np.bincount(s.doc[here], np.log10(a * n + q), s.documents)
+            sums = np.bincount(s.doc[here], np.log10(a * n + q), s.documents).astype(np.float64)  # of nothing it counts whole numbers
             there = np.flatnonzero(~here)
             bucket = (h >> np.uint64(20)) % np.uint64(buckets)
             # sorted by v and w, columns pack well
@@ -399,7 +402,7 @@ def model_scores(docs: DataFrame, head, hot, weights: np.ndarray, buckets: int)
     def _by_document(rows: np.ndarray, sums: np.ndarray) -> pa.Table:
         """A row a block of documents: their numbers, and the sums of each."""
         rows, at = np.unique(rows, return_inverse=True)
-        sums = np.bincount(at, sums, len(rows))
+        sums = np.bincount(at, sums, len(rows)).astype(np.float64)
         place = rows // BLOCK_DOCUMENTS
         first = _first(place)
         cuts = pa.array(np.r_[first, len(rows)], pa.int32())
@@ -408,7 +411,7 @@ def model_scores(docs: DataFrame, head, hot, weights: np.ndarray, buckets: int)
     def total(group: pa.Table) -> pa.Table:
         rows, sums = (group.column(c).combine_chunks().flatten().to_numpy() for c in ("rows", "sums"))
         rows, at = np.unique(rows, return_inverse=True)
-        return pa.table({"row": rows, "score": np.round(np.bincount(at, sums, len(rows)), 9)})
+        return pa.table({"row": rows, "score": np.round(np.bincount(at, sums, len(rows)).astype(np.float64), 9)})
 
     blocks = docs.mapInArrow(spread, "bucket long, block binary, rows array<long>, sums array<double>")
     parts = blocks.groupBy("bucket").applyInArrow(gather, "place long, rows array<long>, sums array<double>")

@@ -38,6 +38,10 @@ RATIO = 2
 #: Of the hashes of (document, run), those that this divides lose a code point.
 DROP_EVERY = 97
 
+#: Code points up to which a word travels with its keys.
+LONG = 100
+VERIFIED = "levenshtein(a, b, 1) = 1"
+
 #: Runs of A-Z, a-z and U+00C0 to U+00FF in UTF-8 after lower-casing A-Z.
 _RUN = re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -119,7 +123,9 @@ def neighbourhood(reduced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def _keys(words: DataFrame, edited: bool) -> DataFrame:
-    """(key, word, n): the reduced word's own key, or those of its neighbourhood."""
+    """(key, word, n): the reduced word's own key, or those of its neighbourhood; word is the id where words has a column id."""
+
+    name = "id" if "id" in words.columns else "word"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,19 +143,32 @@ def _keys(words: DataFrame, edited: bool) -> DataFrame:
                         own, keys, who = neighbourhood(symbols(points))
                         keys, rows = (keys, mine[who]) if edited else (own, mine)
                         take = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column("word").take(take), b.column("n").take(take)], ["key", "word", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(name).take(take), b.column("n").take(take)], ["key", "word", "n"])
 
     return words.mapInArrow(run, "key long, word string, n long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, b, n_a, n_b): all pairs of words one edit apart, each once. words: a written table (word, n) of distinct words."""
+    """(a, b, n_a, n_b): all pairs of words one edit apart, each once. words: a written table (word, n) of distinct words.
+
+    Words longer than LONG code points are known by hash until a pair is found, as a neighbourhood holds its word once a key.
+    """
+    size = F.char_length("word")
+    pairs = _pairs(words.where(size <= LONG)).where(VERIFIED)
+    ids = words.where(size >= LONG).select("word", "n", F.xxhash64("word").cast("string").alias("id"))
+    met = _pairs(ids)
+    for side in "ab":
+        met = met.join(ids.select(F.col("id").alias(side), F.col("word").alias(f"{side}_word")), side)
+    met = met.select(F.col("a_word").alias("a"), F.col("b_word").alias("b"), "n_a", "n_b").where(F.greatest(F.char_length("a"), F.char_length("b")) > LONG)
+    return pairs.unionByName(met.where(VERIFIED))
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b): pairs of words, or of their ids where they have some, whose reduced words meet."""
     own = _keys(words, False).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
     other = _keys(words, True).select("key", F.col("word").alias("a"), F.col("n").alias("n_a"))
     same = own.select("key", F.col("b").alias("a"), F.col("n_b").alias("n_a"))
-    verified = F.levenshtein("a", "b", 1) == 1
-    pairs = other.join(own, "key").where(verified).unionByName(same.join(own, "key").where(F.col("a") < F.col("b")).where(verified))
-    return pairs.select("a", "b", "n_a", "n_b")
+    return other.join(own, "key").unionByName(same.join(own, "key").where(F.col("a") < F.col("b"))).select("a", "b", "n_a", "n_b")
 
 
 def variants(words: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ def expected_scores(rows):
                 mass[one[0][v].bit_length()] += times * p / p.sum()
                 fit += times * math.log(p.sum())
         for k, m in mass.items():
+            m[2] = max(m[2], scoring.LEAST_EVEN * m.sum())
             weights[k] = m / m.sum()
             seen.add(k)
         if last is not None and abs(fit - last) <= scoring.CLOSE * abs(last):
