@@ -14,7 +14,7 @@ from peakloom.functions.scattering import atomic_weight, debye_waller, scatterin
 from peakloom.operators.fitting import cell_fit
 from peakloom.operators.library import expand_atoms, parse_symop
 from peakloom.operators.ranges import nearest, range_join
-from peakloom.operators.storage import written
+from peakloom.operators.storage import dealt, written
 
 CELL = ("a", "b", "c", "alpha", "beta", "gamma")
 
@@ -170,28 +170,38 @@ def diffraction_rows(peaks: DataFrame, wavelength: float = 1.5406, most: int = 6
 # -- reflections ---------------------------------------------------------------------------------------------
 
 
-def hkl_images(h: Column, k: Column, l: Column, ops: Column) -> Column:  # noqa: E741
-    """Array of struct(h, k, l): the images of a reflection under the rotations of parsed operations, and their opposites."""
+#: Indices h k l as one whole number h * SPAN^2 + k * SPAN + l: its order is theirs, and its opposite stands for -h -k -l.
+SPAN = 1 << 21
 
-    def image(m: Column, sign: int) -> Column:
-        part = lambda c: (sign * (h * m[0][c] + k * m[1][c] + l * m[2][c])).cast("int")
-        return F.struct(part("x").alias("h"), part("y").alias("k"), part("z").alias("l"))
 
-    return F.concat(F.transform(ops, lambda m: image(m, 1)), F.transform(ops, lambda m: image(m, -1)))
+def rotation_codes(m: Column) -> Column:
+    """Struct(h, k, l) of a parsed operation: what one step of each index adds to the code of the image under its rotation."""
+    code = lambda r: sum(r[c].cast("long") * (SPAN**p) for c, p in (("x", 2), ("y", 1), ("z", 0)))
+    return F.struct(*(code(m[i]).alias(c) for i, c in enumerate("hkl")))
+
+
+def _index(code: Column, power: int) -> Column:
+    """The index of h k l (power 2, 1 or 0) that a code holds."""
+    for _ in range(power):
+        code = F.floor((code + SPAN // 2) / F.lit(SPAN)).cast("long")
+    return code.cast("int") if power == 2 else (F.pmod(code + SPAN // 2, F.lit(SPAN)) - SPAN // 2).cast("int")
 
 
 def reflections(cells: DataFrame, symops: DataFrame, low: float = 5.0, high: float = 120.0, wavelength: float = 1.5406, most: int = 12) -> DataFrame:
     """(entry_id, h, k, l, d, two_theta, multiplicity): one of every class of symmetry-equal reflections within the angles.
 
     Indices are generated a phase at a time, as far as its reciprocal axes need for the smallest distance and `most`
-    at most; the least image names a class, and the least member that lies within the angles stands for it.
+    at most; the least image names a class, and the least member that lies within the angles stands for it. Images and
+    members are whole numbers (SPAN), so classes are counted by hash, without a sort.
     """
     dmin, dmax = (wavelength / (2 * math.sin(math.radians(t / 2))) for t in (high, low))
     v = cell_volume()
     edge = lambda x, y, angle: F.col(x) * F.col(y) * F.sin(F.radians(F.col(angle))) / v
     reach = lambda q: F.when(v > 0, F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(1 / dmin / F.greatest(q, F.lit(1e-12))).cast("int") + 1))).otherwise(most)
-    ops = symops.select("entry_id", parse_symop(F.col("op")).alias("m")).where(F.size("m") == 3).groupBy("entry_id").agg(F.collect_set("m").alias("ops"))
-    rows = cells.select("entry_id", *CELL, reach(edge("b", "c", "alpha")).alias("hm"), reach(edge("a", "c", "beta")).alias("km"), reach(edge("a", "b", "gamma")).alias("lm")).join(ops, "entry_id")
+    # a cell and its operations are rows of some bytes, but have thousands of indices and images
+    parsed = fixed(dealt(symops.select("entry_id", "op"), "entry_id"), m=parse_symop(F.col("op"))).where(F.size("m") == 3)
+    ops = fixed(parsed, code=rotation_codes(F.col("m"))).groupBy("entry_id").agg(F.collect_set("code").alias("ops"))
+    rows = dealt(cells.select("entry_id", *CELL), "entry_id").select("entry_id", *CELL, reach(edge("b", "c", "alpha")).alias("hm"), reach(edge("a", "c", "beta")).alias("km"), reach(edge("a", "b", "gamma")).alias("lm")).join(ops, "entry_id")
     # 1/d^2 is a quadratic form of the indices, computed once a phase; of h k l and its opposite only the lesser is listed
     ca, cb, cg = (F.cos(F.radians(F.col(x))) for x in ("alpha", "beta", "gamma"))
     bottom = 1 - ca * ca - cb * cb - cg * cg + 2 * ca * cb * cg
@@ -203,9 +213,11 @@ def reflections(cells: DataFrame, symops: DataFrame, low: float = 5.0, high: flo
         rows = rows.withColumn(name, F.explode(F.sequence(-F.col(f"{name}m"), F.col(f"{name}m"))))
     rows = rows.where("h < 0 OR (h = 0 AND k < 0) OR (h = 0 AND k = 0 AND l < 0)")
     rows = rows.withColumn("q", F.expr("h*h*q_a + k*k*q_b + l*l*q_c + h*k*q_ab + k*l*q_bc + h*l*q_ac")).where("q > 0").withColumn("d", 1 / F.sqrt("q")).where(F.col("d").between(dmin, dmax))
-    rows = rows.withColumn("class", F.array_min(hkl_images(F.col("h"), F.col("k"), F.col("l"), F.col("ops"))))
-    best = rows.groupBy("entry_id", "class").agg(F.min(F.struct("h", "k", "l", "d")).alias("r"), (2 * F.count("*")).alias("multiplicity"))
-    return best.select("entry_id", "r.h", "r.k", "r.l", "r.d", two_theta_of_d(F.col("r.d"), wavelength).alias("two_theta"), "multiplicity").where("two_theta IS NOT NULL")
+    images = F.transform("ops", lambda o: -F.abs(F.col("h") * o["h"] + F.col("k") * o["k"] + F.col("l") * o["l"]))
+    rows = rows.select("entry_id", "d", F.expr(f"h * {SPAN**2} + k * {SPAN} + l").alias("code"), F.array_min(images).alias("class"))
+    best = rows.groupBy("entry_id", "class").agg(F.min("code").alias("code"), F.min_by("d", "code").alias("d"), (2 * F.count("*")).alias("multiplicity"))
+    indices = (_index(F.col("code"), 2 - i).alias(c) for i, c in enumerate("hkl"))
+    return best.select("entry_id", *indices, "d", two_theta_of_d(F.col("d"), wavelength).alias("two_theta"), "multiplicity").where("two_theta IS NOT NULL")
 
 
 def expanded_sites(sites: DataFrame, symops: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many tasks as the session has shuffle partitions, for rows of few bytes and much work.
+
+    Adaptive execution sizes tasks by bytes, so it would join such rows into one or two tasks; an explicit number it leaves alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def stored(spark: SparkSession, name: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
     """The table of this name: built and written on its first use in an application, then read.
 
