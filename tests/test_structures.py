@@ -66,7 +66,7 @@ def test_files_are_read_in_one_pass(spark):
 HKL = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 1, 1), (2, 1, 0), (2, 0, 1), (1, 2, 1), (2, 1, 2), (3, 1, 1)]
 SYSTEMS = {
     "cubic": ((5.40, 5.40, 5.40, 90.0), (5.42, 5.42, 5.42, 90.0)), "tetragonal": ((7.70, 7.70, 5.05, 90.0), (7.73, 7.73, 5.07, 90.0)),
-    "hexagonal": ((3.20, 3.20, 5.20, 120.0), (3.21, 3.21, 5.19, 120.0)), "orthorhombic": ((5.20, 6.30, 7.40, 90.0), (5.22, 6.28, 7.43, 90.0)),
+    "hexagonal": ((3.50, 3.50, 5.20, 120.0), (3.51, 3.51, 5.19, 120.0)), "orthorhombic": ((5.20, 6.30, 7.40, 90.0), (5.22, 6.28, 7.43, 90.0)),
 }
 
 
