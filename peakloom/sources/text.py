@@ -63,7 +63,7 @@ def mineral_name(path: Column) -> Column:
 
 def card_summary(record: Column) -> Column:
     """struct(entry_id, name, formula, chemical_name, quality) of a card-summary record; null if it has no card number."""
-    tail = r"\s+([0-9]{1,2})-\s*([0-9]{1,5})\s*([A-Za-z]*)\s*$"
+    tail = r"\s+([0-9]{1,2})-\s*([0-9]+)\s*([A-Za-z]*)\s*$"
     part = lambda i: F.regexp_extract(record, tail, i)
     prefix = F.rtrim(F.regexp_replace(record, tail, ""))
     chemical = F.when(prefix.contains("/"), F.trim(F.substring_index(prefix, "/", 1))).otherwise("")
@@ -71,7 +71,7 @@ def card_summary(record: Column) -> Column:
     formula = F.regexp_extract(rest, r"\s{2,}([^\s](?:(?!\s{2,}).)*[0-9](?:(?!\s{2,}).)*)$", 1)
     formula = F.when(formula.rlike("[A-Z]"), F.trim(formula)).otherwise("")
     name = F.when(formula != "", F.trim(F.regexp_replace(F.regexp_replace(rest, r"\s{2,}\S(?:(?!\s{2,}).)*$", ""), r"\s{2,}", " "))).otherwise(F.trim(rest))
-    number = F.format_string("%s-%03d-%04d", F.when(part(3).contains("C"), "01").otherwise("00"), part(1).try_cast("int"), part(2).try_cast("int"))
+    number = F.format_string("%s-%03d-%04d", F.when(part(3).contains("C"), "01").otherwise("00"), part(1).try_cast("int"), part(2).try_cast("long"))
     return F.when(part(1) != "", F.struct(number.alias("entry_id"), name.alias("name"), formula.alias("formula"), chemical.alias("chemical_name"), part(3).alias("quality")))
 
 

@@ -40,3 +40,8 @@ def test_card_lines_and_sites(spark):
     lines, two, site = df.select(T.card_lines(F.col("p")), T.card_lines(F.col("p"), 2), C.site_tokens(F.col("s"))).first()
     assert [tuple(x) for x in lines] == [(3.3425, 100.0), (4.257, 22.0), (1.5418, 100.0)] and len(two) == 2
     assert tuple(site) == ("Fe", 0.5, 0.0, None)
+
+
+def test_card_numbers_of_six_digits(spark):
+    df = spark.createDataFrame([("tin oxide / tin oxide  Ca2O3  7- 120000 C",), ("tin oxide / tin oxide  Ca2O3  7- 12 I",)], "r string").select(T.card_summary(F.col("r")).alias("c")).select("c.*")
+    assert [(r.entry_id, r.formula, r.quality) for r in df.collect()] == [("01-007-120000", "Ca2O3", "C"), ("00-007-0012", "Ca2O3", "I")]
