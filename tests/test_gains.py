@@ -127,3 +127,12 @@ def test_profile_gains_check_line_gains(spark, case):
     gains = {r.entry_id: r.profile_gain for r in G.profile_gains(context.curve, profiles, context.stages.select("pattern_id", "remaining")).collect()}
     remaining = context.stages.where("pattern_id = 0").first().remaining
     assert gains["0-00"] > 0.9 * remaining and 0 <= gains["0-20"] < 0.3 * remaining
+
+
+def test_a_line_at_exactly_the_tolerance_is_near(spark):
+    """5.44 - 0.42 is a little more than 5.02 in doubles; rounded to nine digits it is within it."""
+    lines = spark.createDataFrame([(1, "e", 0, 5.02), (1, "e", 1, 5.01), (2, "e", 0, 10.0)], "pattern_id long, entry_id string, peak_index int, two_theta double")
+    places = spark.createDataFrame([(1, 5.44), (2, 10.42)], "pattern_id long, place double")
+    assert 5.44 - 0.42 > 5.02
+    rows = G.near_any(lines, places, 0.42, "hit").collect()
+    assert {(r.pattern_id, r.peak_index): r.hit for r in rows} == {(1, 0): True, (1, 1): False, (2, 0): True}
