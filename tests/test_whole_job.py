@@ -113,3 +113,25 @@ def test_element_order_has_the_whole_table(spark, sf):
     seen = {r[0] for r in view(spark, sf, "ref_phase").select(F.explode(C.formula_elements(F.col("formula")))).distinct().collect()}
     assert {r.element for r in rows} == seen and dict(map(tuple, rows))["Ba"] == 56
     assert [r.z for r in rows] == sorted(r.z for r in rows)
+
+
+def test_strong_hits_are_counted_by_blocks_and_never_shuffled(spark, monkeypatch):
+    """Several blocks of phases and patterns give what a loop gives; the plan has no join of lines with positions."""
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(S, "PHASES_A_BLOCK", 9)
+    monkeypatch.setattr(S, "PATTERNS_A_BLOCK", 3)
+    tops = [(str(e), round(rng.uniform(5, 25), 2), k + 1) for e in range(60) for k in range(10)]
+    anchors = [(p, round(rng.uniform(5, 25), 2), 1) for p in range(8) for _ in range(1 if p == 7 else 10)]
+    library = spark.createDataFrame(tops, "entry_id string, two_theta double, top_rank int")
+    able = S.strong_candidates(library, spark.createDataFrame(anchors, "pattern_id long, position double, anchor_weight int"), 5)
+    assert "__bucket" not in able._jdf.queryExecution().toString()
+    want = set()
+    for p in range(8):
+        hits = {}
+        for e, x, _ in tops:
+            hits[e] = hits.get(e, 0) + sum(q == p and a - 0.35 <= x <= a + 0.35 for q, a, _ in anchors)
+        some = {e: n for e, n in hits.items() if n}
+        want |= {(p, e, len(some) >= 5) for e, n in some.items() if sum(m > n for m in some.values()) < 5}
+    assert {tuple(r) for r in able.collect()} == want
