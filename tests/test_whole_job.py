@@ -135,3 +135,9 @@ def test_strong_hits_are_counted_by_blocks_and_never_shuffled(spark, monkeypatch
         some = {e: n for e, n in hits.items() if n}
         want |= {(p, e, len(some) >= 5) for e, n in some.items() if sum(m > n for m in some.values()) < 5}
     assert {tuple(r) for r in able.collect()} == want
+
+
+def test_all_pairs_are_not_cut_to_the_ranked_phases(spark, sf):
+    """A pattern meets more phases than the twenty that a search ranks."""
+    rows = search_queries.QUERIES["j1_range_join"](spark, sf, every=100).groupBy("pattern_id").count().collect()
+    assert rows and min(r["count"] for r in rows) > 20
