@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from peakloom.functions.arrays import fixed
+from peakloom.operators.storage import dealt
+
 KEY = ["source", "entry_id"]
 
 
@@ -61,7 +64,9 @@ def parse_symop(op: Column) -> Column:
 
 def expand_atoms(atoms: DataFrame, symops: DataFrame) -> DataFrame:
     """Distinct images of atoms (entry_id, element, x, y, z) under symops (entry_id, op), within [0, 1), at five digits."""
-    ops = symops.select("entry_id", parse_symop(F.col("op")).alias("m")).where(F.size("m") == 3)
+    # both are rows of some bytes, but parsing and images are work
+    atoms, symops = dealt(atoms, "entry_id"), dealt(symops.select("entry_id", "op"), "entry_id")
+    ops = fixed(symops, m=parse_symop(F.col("op"))).where(F.size("m") == 3).select("entry_id", "m")
 
     def image(i: int) -> Column:
         r = F.col("m")[i]
