@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.operators import library as L
@@ -29,15 +29,21 @@ _PHASES = "ph AS (SELECT DISTINCT l_orderkey AS pattern_id, 'P' || CAST(l_partke
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phases of all results. Equal ones occur several times; snapshots and the catalogue take them once."""
     l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
-    rows = l.select(F.col("l_orderkey").alias("pattern_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("phase_id"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 40 / 2).alias("fraction_percent"), "l_partkey").distinct()
-    p = view(spark, sf_dir, "ref_phase")
-    return rows.join(p.select(F.col("entry_id").cast("long").alias("l_partkey"), "name", "formula", "source", F.col("entry_id").alias("source_id")), "l_partkey", "left")
+    return l.select(F.col("l_orderkey").alias("pattern_id"), _phase_id().alias("phase_id"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey") % 40 / 2).alias("fraction_percent"))
+
+
+def _phase_id() -> Column:
+    return F.concat(F.lit("P"), F.col("l_partkey").cast("string"))
 
 
 @query("a35_phase_catalogue", with_views("ref_phase") + f", {_PHASES}, u AS (SELECT DISTINCT phase_id, CAST(l_partkey AS VARCHAR) AS e FROM ph) SELECT phase_id, name, formula, source, entry_id AS source_id FROM u LEFT JOIN ref_phase ON entry_id = e")
 def phase_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.phase_catalogue(_phases(spark, sf_dir))
+    # a phase is described by its part alone, so its least pattern is found before it meets its description
+    first = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_partkey").agg(F.min("l_orderkey").alias("pattern_id"))
+    parts = view(spark, sf_dir, "ref_phase").select(F.col("entry_id").cast("long").alias("l_partkey"), "name", "formula", "source", F.col("entry_id").alias("source_id"))
+    return L.phase_catalogue(first.join(parts, "l_partkey", "left").withColumn("phase_id", _phase_id()))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
