@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions.chemistry import cell_volume
 from peakloom.operators import library as L
 from peakloom.operators.search import ranked_library
-from peakloom.plans.fixtures import view, with_views
+from peakloom.plans.fixtures import library_lines, view, with_views
 from peakloom.sources import text as T
 
 QUERIES: dict = {}
@@ -100,7 +100,7 @@ SELECT entry_id, peak_index, round(two_theta, 5) AS two_theta, intensity, h, k,
 )
 def peak_index_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks packed as JSON, parsed again and ranked."""
-    rows = ranked_library(L.peak_rows(L.peaks_json(view(spark, sf_dir, "ref_peak"))))
+    rows = ranked_library(L.peak_rows(L.peaks_json(library_lines(spark, sf_dir))))
     return rows.select("entry_id", "peak_index", F.round("two_theta", 5).alias("two_theta"), "intensity", "h", "k", "l", F.round("norm_intensity", 6).alias("norm_intensity"), "top_rank")
 
 
