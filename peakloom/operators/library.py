@@ -34,11 +34,10 @@ def replace_rows(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return index.join(fresh.select(*KEY).distinct(), KEY, "left_anti").unionByName(fresh)
 
 
-def peaks_json(peaks: DataFrame, most: int = 300) -> DataFrame:
-    """(entry_id, peaks_json) with at most `most` peaks by index."""
-    rank = F.row_number().over(Window.partitionBy("entry_id").orderBy("peak_index"))
+def peaks_json(peaks: DataFrame, size: int = 300) -> DataFrame:
+    """(entry_id, peaks_json) with all peaks by index: a row for each `size` indexes of a phase, so that no text grows with it."""
     one = F.struct("peak_index", F.round("two_theta", 5).alias("two_theta"), F.round("intensity", 4).alias("intensity"), "h", "k", "l")
-    packed = peaks.withColumn("n", rank).where(F.col("n") <= most).groupBy("entry_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    packed = peaks.groupBy("entry_id", F.floor(F.col("peak_index") / size).alias("part")).agg(F.array_sort(F.collect_list(one)).alias("p"))
     return packed.select("entry_id", F.to_json("p").alias("peaks_json"))
 
 
